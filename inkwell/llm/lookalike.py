@@ -15,8 +15,6 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import bounded
-
 # Letters of other scripts with the shape of a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTXaesijopcyxdhqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov"))
@@ -65,6 +63,8 @@ def _class(text: str) -> str:
 
 #: A value without any of these is its own mapped form.
 ODD = "[\\p{M}" + _class("".join(k for k in [*LETTERS, *LIGATURES, *sorted(INVISIBLE)])) + "]"
+#: A character that ASCII text doesn't have; a tab may stand for a space.
+BEYOND = r"[^\x00-\x7f]|\t"
 WORD = r"[\p{L}\p{N}\p{M}\p{Cf}_]"
 GAP = r"[\p{Zs}\t]"
 
@@ -103,7 +103,7 @@ def windows(text: Column, most_words: int) -> Column:
     return F.array_distinct(F.concat(*runs)) if len(runs) > 1 else F.array_distinct(runs[0])
 
 
-def look_alikes(records: DataFrame, terms: DataFrame, most_words: int | None = None, whole: bool = False, most_terms: int = 1_000_000) -> DataFrame:
+def look_alikes(records: DataFrame, terms: DataFrame, most_words: int | None = None, whole: bool = False) -> DataFrame:
     """``record_id, term_id`` where a record holds a term in characters other than the term's own.
 
     ``records(record_id, text)``; ``terms(term_id, term)``. With ``whole`` the entire text must
@@ -112,14 +112,18 @@ def look_alikes(records: DataFrame, terms: DataFrame, most_words: int | None = N
     out once, however often it occurs. ``most_terms`` bounds the vocabulary (an error above it).
     """
     terms = terms.where("term IS NOT NULL AND term <> ''").select("term_id", "term")
+    # ASCII text looks like a term in other characters only if such a term's own mapped form is ASCII
+    ascii_form = (F.col("term").rlike(BEYOND)) & ~mapped(F.col("term")).rlike(BEYOND)
+    everything = terms.where(ascii_form).limit(1).count() > 0
+    may = lambda c: F.lit(True) if everything else F.col(c).rlike(BEYOND)
     if whole:
-        cand = records.select("record_id", F.col("text").alias("value")).where(F.col("value").rlike(ODD))
+        cand = records.select("record_id", F.col("text").alias("value")).where(may("value"))
     else:
         if most_words is None:
             got = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0]
             most_words = got or 1
-        cand = records.where(F.col("text").rlike(ODD)).select("record_id", F.explode(windows(F.col("text"), most_words)).alias("value"))
-        cand = cand.where(F.col("value").rlike(ODD))
+        cand = records.where(may("text")).select("record_id", F.explode(windows(F.col("text"), most_words)).alias("value"))
+        cand = cand.where(may("value"))
     keys = terms.select(base_key(F.col("term")).alias("near")).distinct()
     cand = cand.withColumn("near", base_key(F.col("value"))).join(keys, "near", "left_semi").select("record_id", "value").distinct()
     forms = canonical_forms(cand.select("value"), terms.select(F.col("term").alias("value")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("terms", "lookalike")
+_MODULES = ("terms", "lookalike", "markup")
 
 
 def _parts():
