@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("terms", "sentences", "lookalike", "markup", "codetext", "quality")
+_MODULES = ("terms", "sentences", "lookalike", "markup", "codetext", "packing", "mixing", "quality")
 
 
 def _parts():
