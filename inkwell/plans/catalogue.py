@@ -1,15 +1,455 @@
-"""The registered queries of the core engine."""
+"""The registered queries of the core engine, each over whole tables, with the same question in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from inkwell.functions import text as X
+from inkwell.operators import native as N
+from inkwell.operators import reports as R
+from inkwell.operators.lint import lint
+from inkwell.operators.matching import GRADES
+from inkwell.plans.config import Config, glob_regex
+from inkwell.plans.rules import Rule, parse_rule
+from inkwell.sources.blocks import extract_blocks, tag_counts
+from inkwell.sources.files import json_values
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+WEASEL = ["several", "some", "every", "all", "weak", "passive", "clear", "long", "empty", "hidden", "old"]
+SWAP = {"overrides": "replaces", "hidden": "invisible", "the same message twice": "one message twice", "stale": "outdated", "foreign terms": "loan words"}
+PAIRS = {"list": "table", "rule": "check"}
+FIRST, SECOND = r"\b([A-Z]{2,6})\b", r"\(([A-Z]{2,6})\)"
+SECTIONS = [("*", "Plainly"), ("*.{md,qmd,markdown}", "Lexa,Klar"), ("**/guide/**", "Readwell"), ("*.rst", "Tonic"), ("*-core/lib/*", "Termin")]
+OR = "|".join
+_WEASEL = r"(?i)\b(?:" + OR(N.longest_first(WEASEL)) + r")\b"
+_SWAP = r"(?i)\b(?:" + OR(N.longest_first(list(SWAP))) + r")\b"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def put(f: Query) -> Query:
+        _Q[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _Q.items() if s}
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _alerts(spark, d):
+    return R.distinct_alerts(_read(spark, d, "alerts"))
+
+
+def java(pattern: str) -> str:
+    return pattern.replace(r"\b", N.EDGE)
+
+
+A = "WITH a AS (SELECT DISTINCT ON (alert_id) * FROM alerts) "
+
+# ---------------------------------------------------------------- rule kinds
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_WEASEL}')) AS n FROM documents WHERE regexp_matches(text, '{_WEASEL}')")
+def existence_count(spark, d):
+    return N.count_matches(_read(spark, d, "documents").select("doc_id", "text"), "text", WEASEL).select("doc_id", "n")
+
+
+@query(f"SELECT doc_id, match_text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_WEASEL}')) AS match_text FROM documents) GROUP BY 1, 2")
+def existence_matches(spark, d):
+    return N.matches(_read(spark, d, "documents"), "doc_id", "text", WEASEL)
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, regexp_split_to_array(text, '{_WEASEL}') AS ps, regexp_extract_all(text, '{_WEASEL}') AS ms FROM documents),
+u AS (SELECT doc_id, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS match_text, unnest(range(len(ms))) AS i FROM m),
+c AS (SELECT *, sum(length(p) + length(match_text)) OVER w AS e, 1 + sum(length(p) - length(replace(p, chr(10), ''))) OVER w AS line_no FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, CAST(e - length(match_text) AS BIGINT) AS begin_at, CAST(e AS BIGINT) AS end_at, CAST(line_no AS BIGINT) AS line_no, match_text FROM c""")
+def existence_spans(spark, d):
+    return N.spans(_read(spark, d, "documents"), "doc_id", "text", _WEASEL)
+
+
+@query(f"SELECT doc_id, match_text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_WEASEL}')) AS match_text FROM documents) WHERE NOT regexp_matches(match_text, '(?i)every|clear') GROUP BY 1, 2")
+def existence_exceptions(spark, d):
+    return N.without_exceptions(N.matches(_read(spark, d, "documents"), "doc_id", "text", WEASEL), "match_text", ["clear", "every"])
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(regexp_replace(replace(text, 'term list', '*********'), 'list of exceptions', '******************', 'g'), '(?i)\b(?:exceptions|list)\b')) AS n
+FROM documents WHERE regexp_matches(regexp_replace(replace(text, 'term list', '*********'), 'list of exceptions', '******************', 'g'), '(?i)\b(?:exceptions|list)\b')""")
+def phrase_mask(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", N.mask_phrases(F.col("text"), ["term list", "list of exceptions"]).alias("text"))
+    return N.count_matches(docs, "text", ["exceptions", "list"]).select("doc_id", "n")
+
+
+@query(
+    f"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SWAP}')) AS observed FROM documents), s AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{k}', '{v}')" for k, v in SWAP.items())
+    + ") t(k, expected)) SELECT doc_id, observed, expected, count(*) AS n FROM m JOIN s ON lower(observed) = k WHERE observed <> expected GROUP BY ALL"
+)
+def substitution_suggest(spark, d):
+    return N.substitutions(_read(spark, d, "documents"), "doc_id", "text", SWAP)
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]{12,}')) AS n FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]{12,}')) > 9")
+def occurrence_max(spark, d):
+    return N.occurrences(_read(spark, d, "documents"), "doc_id", "text", "[A-Za-z]{12,}", most=9)
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]')) AS n FROM documents WHERE len(regexp_extract_all(text, '[.!?]')) < 2")
+def occurrence_min(spark, d):
+    return N.occurrences(_read(spark, d, "documents"), "doc_id", "text", "[.!?]", least=2)
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ts FROM documents),
+u AS (SELECT doc_id, lower(unnest(ts)) AS token, unnest(range(len(ts))) AS pos FROM t),
+l AS (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM u) SELECT doc_id, CAST(pos AS INT) AS pos, token FROM l WHERE token = b""")
+def repetition_adjacent(spark, d):
+    return N.repetitions(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def _pair_sql(a, b):
+    return f"""SELECT doc_id, block_seq, '{a}' AS first_form, '{b}' AS second_form FROM (SELECT *, bool_or(ha) OVER w AS sa, bool_or(hb) OVER w AS sb FROM
+(SELECT doc_id, block_seq, regexp_matches(block, '(?i)\\b(?:{a})\\b') AS ha, regexp_matches(block, '(?i)\\b(?:{b})\\b') AS hb FROM l) WINDOW w AS (PARTITION BY doc_id ORDER BY block_seq)) WHERE (ha OR hb) AND sa AND sb"""
+
+
+_LINES = "WITH l AS (SELECT doc_id, unnest(x) AS block, CAST(unnest(range(len(x))) AS INT) AS block_seq FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) "
+
+
+@query(_LINES + " UNION ALL ".join(_pair_sql(a, b) for a, b in sorted(PAIRS.items())))
+def consistency_pairs(spark, d):
+    return N.inconsistencies(N.lines(_read(spark, d, "documents"), "doc_id", "text"), "doc_id", "block_seq", "block", PAIRS)
+
+
+@query(_LINES.rstrip() + f""", u AS (SELECT DISTINCT doc_id, block_seq, unnest(regexp_extract_all(block, '{FIRST}', 1)) AS term FROM l),
+g AS (SELECT doc_id, term, min(block_seq) AS since FROM (SELECT doc_id, block_seq, unnest(regexp_extract_all(block, '{SECOND}', 1)) AS term FROM l) GROUP BY 1, 2)
+SELECT u.doc_id, u.block_seq, u.term FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.term = u.term WHERE since IS NULL OR since > block_seq""")
+def conditional_defined(spark, d):
+    blocks = N.lines(_read(spark, d, "documents"), "doc_id", "text")
+    return N.undefined(blocks, "doc_id", "block_seq", "block", java(FIRST), SECOND)
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\bpassive\b') AND NOT regexp_matches(text, '(?i)\breviewer\b')")
+def conditional_presence(spark, d):
+    return N.requires(_read(spark, d, "documents"), "doc_id", "text", java(r"(?i)\bpassive\b"), java(r"(?i)\breviewer\b"))
+
+
+@query(A + r"""SELECT match_text, match_text = lower(match_text) AS is_lower, match_text = upper(match_text) AS is_upper, regexp_matches(match_text, '^[A-Z][a-z]*( [A-Z][a-z]*)*$') AS is_capped, count(*) AS n
+FROM a WHERE regexp_matches(match_text, '^[A-Za-z][A-Za-z ]*$') GROUP BY ALL""")
+def capitalization_forms(spark, d):
+    m = F.col("match_text")
+    x = _alerts(spark, d).where(m.rlike("^[A-Za-z][A-Za-z ]*$")).groupBy("match_text").agg(F.count(F.lit(1)).alias("n"))
+    return x.select("match_text", (m == F.lower(m)).alias("is_lower"), (m == F.upper(m)).alias("is_upper"), m.rlike("^[A-Z][a-z]*( [A-Z][a-z]*)*$").alias("is_capped"), "n")
+
+
+_W, _L = r"len(regexp_extract_all(text, '[0-9A-Za-z_]+'))", r"len(regexp_extract_all(text, '[A-Za-z]'))"
+_S = rf"CASE WHEN {_W} > 0 THEN greatest(len(regexp_extract_all(text, '[.!?]+')), 1) ELSE 0 END"
+_G = r"len(regexp_extract_all(text, '[A-Za-z]{7,}'))"
+
+
+def _metrics(spark, d):
+    t = F.col("text")
+    return _read(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.sentence_count(t).alias("sentences"), X.letter_count(t).alias("letters"), X.long_word_count(t).alias("long_words"))
+
+
+@query(f"SELECT doc_id, {_W} AS words, {_S} AS sentences, {_L} AS letters, {_G} AS long_words FROM documents")
+def document_metrics(spark, d):
+    return _metrics(spark, d)
+
+
+@query(f"""WITH m AS (SELECT doc_id, CAST({_W} AS DOUBLE) AS w, CAST({_S} AS DOUBLE) AS s, CAST({_L} AS DOUBLE) AS l, CAST({_G} AS DOUBLE) AS g FROM documents)
+SELECT doc_id, round(4.71 * (l / w) + 0.5 * (w / s) - 21.43, 4) AS ari, round(0.0588 * (l / w) * 100 - 0.296 * (s / w) * 100 - 15.8, 4) AS cli, round(w / s + g * 100 / w, 4) AS lix FROM m WHERE w > 0""")
+def readability_grades(spark, d):
+    w, s, n, g = (F.col(c).cast("double") for c in ("words", "sentences", "letters", "long_words"))
+    x = _metrics(spark, d).where("words > 0")
+    return x.select("doc_id", F.round(4.71 * (n / w) + 0.5 * (w / s) - 21.43, 4).alias("ari"), F.round(0.0588 * (n / w) * 100 - 0.296 * (s / w) * 100 - 15.8, 4).alias("cli"), F.round(w / s + g * 100 / w, 4).alias("lix"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, CAST({_W} AS DOUBLE) AS w, CAST({_S} AS DOUBLE) AS s FROM documents) SELECT doc_id, round(w / s, 6) AS value FROM m WHERE w > 0 AND round(w / s, 6) > 20""")
+def metric_condition(spark, d):
+    v = F.round(F.col("words").cast("double") / F.col("sentences"), 6)
+    return _metrics(spark, d).where("words > 0").select("doc_id", v.alias("value")).where("value > 20")
+
+
+def _dictionary(spark, d):
+    words = _read(spark, d, "rules").select(F.explode("tokens").alias("x")).unionByName(_read(spark, d, "vocab_terms").select(F.col("term").alias("x"))).unionByName(_read(spark, d, "common_words").select(F.col("word").alias("x")))
+    return words.select(F.explode(F.split(F.lower("x"), " ")).alias("word")).distinct()
+
+
+_DICT = """d AS (SELECT DISTINCT unnest(string_split(lower(x), ' ')) AS word FROM (SELECT unnest(tokens) AS x FROM rules UNION ALL SELECT term FROM vocab_terms UNION ALL SELECT word FROM common_words))"""
+
+
+@query(rf"""WITH {_DICT}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[a-z]{{4,}}\b')) AS word FROM documents)
+SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE word NOT IN (SELECT word FROM d) GROUP BY 1""")
+def spelling_unknown(spark, d):
+    return N.unknown_words(_read(spark, d, "documents"), "doc_id", "text", _dictionary(spark, d), java(r"\b[a-z]{4,}\b"))
+
+
+@query(rf"""WITH {_DICT}, w AS (SELECT DISTINCT lower(match_text) AS word FROM alerts WHERE regexp_matches(match_text, '^[A-Za-z]{{4,}}$')),
+p AS (SELECT w.word, d.word AS term, levenshtein(w.word, d.word) AS edits FROM w JOIN d ON abs(length(w.word) - length(d.word)) <= 2 AND regexp_matches(d.word, '^[a-z]{{4,}}$') AND levenshtein(w.word, d.word) <= 2 AND w.word <> d.word)
+SELECT word, term, CAST(edits AS INT) AS edits, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY edits, term) AS place FROM p) WHERE place <= 3""")
+def spelling_suggest(spark, d):
+    words = _read(spark, d, "alerts").where(F.col("match_text").rlike("^[A-Za-z]{4,}$")).select(F.lower("match_text").alias("word"))
+    return N.nearest(words, _dictionary(spark, d).where(F.col("word").rlike("^[a-z]{4,}$")).withColumnRenamed("word", "term"))
+
+
+@query(A + """, u AS (SELECT DISTINCT check_name AS word FROM a WHERE check_name NOT IN (SELECT check_name FROM rules)),
+p AS (SELECT word, check_name AS term, levenshtein(word, check_name) AS edits FROM u JOIN rules r ON abs(length(word) - length(check_name)) <= 2 AND levenshtein(word, check_name) <= 2)
+SELECT word, term, CAST(edits AS INT) AS edits, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY edits, term) AS place FROM p) WHERE place <= 1""")
+def unknown_checks_suggest(spark, d):
+    rules = _read(spark, d, "rules").select(F.col("check_name").alias("term"))
+    unknown = _read(spark, d, "alerts").where("check_name IS NOT NULL").select(F.col("check_name").alias("word")).distinct().join(rules, F.col("word") == F.col("term"), "left_anti")
+    return N.nearest(unknown, rules, k=1)
+
+
+# ---------------------------------------------------------------- scopes, sections, rules
+
+
+@query("""WITH s AS (SELECT DISTINCT scope_path, string_split(scope_path, '.') AS ls FROM code_comments WHERE scope_path IS NOT NULL)
+SELECT s.scope_path, check_name FROM s JOIN rules r ON CASE WHEN r.scope_path = '~heading & text' THEN NOT list_contains(ls, 'heading') AND list_contains(ls, 'text') ELSE list_has_all(ls, string_split(r.scope_path, '.')) END""")
+def scope_join(spark, d):
+    return N.scope_matches(_read(spark, d, "code_comments"), _read(spark, d, "rules"))
+
+
+def _section_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(file_path, '^(?:{glob_regex(g).pattern})$') THEN '{s}'" for g, s in reversed(SECTIONS))
+    return f"SELECT file_id, CASE {cases} ELSE 'Houseform' END AS styles FROM files"
+
+
+@query(_section_sql())
+def config_sections(spark, d):
+    sections = [(f"^(?:{glob_regex(g).pattern})$", s) for g, s in SECTIONS]
+    return _read(spark, d, "files").select("file_id", N.section_styles(_read(spark, d, "files"), "file_path", sections, "Houseform").alias("styles"))
+
+
+@query("SELECT file_id, file_path FROM files WHERE regexp_matches(file_path, '^.*/lib/.*\\.(py|rb|go)$')")
+def path_glob(spark, d):
+    return _read(spark, d, "files").where(F.col("file_path").rlike("^" + glob_regex("*/lib/*.{py,rb,go}").pattern + "$")).select("file_id", "file_path")
+
+
+@query("""SELECT r.check_name, count(*) AS n_files FROM (SELECT file_id, unnest(list_distinct(base_styles)) AS style_name FROM files) f JOIN rules r USING (style_name) WHERE r.severity IN ('warning', 'error') GROUP BY 1""")
+def rules_enabled(spark, d):
+    # the level is tested on the rules, before the join
+    rules = R.at_least(_read(spark, d, "rules"), "warning").select("check_name", "style_name")
+    styles = _read(spark, d, "files").select("file_id", F.explode(F.array_distinct("base_styles")).alias("style_name")).groupBy("style_name").agg(F.count(F.lit(1)).alias("n_files"))
+    return rules.join(styles, "style_name").select("check_name", "n_files")
+
+
+@query("SELECT check_name, extends, severity FROM rules WHERE extends IN ('existence', 'substitution') AND severity <> 'suggestion' AND (list_contains(tokens, 'scope') OR ignore_case)")
+def rule_filter(spark, d):
+    return _read(spark, d, "rules").where("extends IN ('existence', 'substitution') AND severity <> 'suggestion' AND (array_contains(tokens, 'scope') OR ignore_case)").select("check_name", "extends", "severity")
+
+
+@query("SELECT t.term_id, t.term FROM vocab_terms t WHERE accepted AND term NOT IN (SELECT match_text FROM alerts WHERE match_text IS NOT NULL)")
+def terms_unused(spark, d):
+    seen = _read(spark, d, "alerts").select(F.col("match_text").alias("term")).where("term IS NOT NULL").distinct()
+    return _read(spark, d, "vocab_terms").where("accepted").join(seen, "term", "left_anti").select("term_id", "term")
+
+
+@query("SELECT word FROM (SELECT lower(unnest(tokens)) AS word FROM rules INTERSECT SELECT lower(match_text) FROM alerts) EXCEPT SELECT word FROM common_words")
+def vocabulary_sets(spark, d):
+    a = _read(spark, d, "rules").select(F.explode("tokens").alias("word")).select(F.lower("word").alias("word"))
+    b = _read(spark, d, "alerts").where("match_text IS NOT NULL").select(F.lower("match_text").alias("word"))
+    return a.intersect(b).subtract(_read(spark, d, "common_words").select("word"))
+
+
+# ---------------------------------------------------------------- alerts
+
+
+@query(A + ", b AS (SELECT *, row_number() OVER (PARTITION BY file_id, line_no, col_begin, check_name ORDER BY linted_at, alert_id) AS n FROM a) SELECT alert_id, file_id, line_no, col_begin, check_name FROM b WHERE n = 1")
+def alert_dedup(spark, d):
+    a = _alerts(spark, d).select("alert_id", "file_id", "line_no", "col_begin", "check_name", "linted_at")
+    return R.first_at_place(a, ["file_id", "line_no", "col_begin", "check_name"], ["linted_at", "alert_id"]).drop("linted_at")
+
+
+@query(A + """, b AS (SELECT a.alert_id, coalesce(alert_limit, 0) AS lim, row_number() OVER (PARTITION BY a.file_id, a.check_name ORDER BY a.linted_at, a.alert_id) AS n FROM a LEFT JOIN rules r ON r.check_name = a.check_name)
+SELECT alert_id FROM b WHERE lim <= 0 OR n <= lim""")
+def alert_limit(spark, d):
+    a = _alerts(spark, d).select("alert_id", "file_id", "check_name", "linted_at")
+    return R.limited(a, _read(spark, d, "rules"), ["file_id", "check_name"], ["linted_at", "alert_id"]).select("alert_id")
+
+
+@query(A + "SELECT severity, count(*) AS n FROM a GROUP BY 1")
+def alert_totals(spark, d):
+    return R.totals(_alerts(spark, d))
+
+
+@query(A + """, s AS (SELECT split_part(check_name, '.', 1) AS style_name, check_name, severity FROM a WHERE check_name IS NOT NULL AND severity IS NOT NULL)
+SELECT style_name, check_name, severity, count(*) AS n FROM s GROUP BY ROLLUP (style_name, check_name, severity)""")
+def alert_rollup(spark, d):
+    a = _alerts(spark, d).where("check_name IS NOT NULL AND severity IS NOT NULL").withColumn("style_name", F.substring_index("check_name", ".", 1))
+    return a.rollup("style_name", "check_name", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(A + "SELECT file_id, count(*) AS n, CAST(max(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS INT) AS failed FROM a GROUP BY 1")
+def file_status(spark, d):
+    return _alerts(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("failed"))
+
+
+@query(A + ", f AS (SELECT file_id, bool_or(severity = 'error') AS bad FROM a GROUP BY 1) SELECT CASE WHEN coalesce(bad, false) THEN 'failed' ELSE 'passed' END AS outcome, count(*) AS n FROM files LEFT JOIN f USING (file_id) GROUP BY 1")
+def outcome_totals(spark, d):
+    bad = _read(spark, d, "alerts").where("severity = 'error'").select("file_id").distinct().withColumn("bad", F.lit(True))
+    return _read(spark, d, "files").select("file_id").join(bad, "file_id", "left").groupBy(F.when(F.col("bad"), "failed").otherwise("passed").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(A + "SELECT check_name, count(*) AS n FROM a WHERE check_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, check_name LIMIT 20")
+def top_checks(spark, d):
+    return _alerts(spark, d).where("check_name IS NOT NULL").groupBy("check_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "check_name").limit(20)
+
+
+@query(A + "SELECT file_path || ':' || line_no || ':' || col_begin || ':' || check_name || ':' || message AS report_line FROM a JOIN files USING (file_id) WHERE line_no IS NOT NULL AND col_begin IS NOT NULL AND check_name IS NOT NULL AND message IS NOT NULL")
+def report_lines(spark, d):
+    a = _alerts(spark, d).where("line_no IS NOT NULL AND col_begin IS NOT NULL AND check_name IS NOT NULL AND message IS NOT NULL")
+    x = a.join(_read(spark, d, "files").select("file_id", "file_path"), "file_id")
+    return R.line_report(x, F.col("file_path"), F.col("line_no"), F.col("col_begin"), F.col("check_name"), F.col("message"))
+
+
+@query(A + """SELECT file_id, count(*) AS n, string_agg(line_no || ':' || col_begin || ' ' || check_name || ' ' || alert_id, ';' ORDER BY line_no, col_begin, check_name, alert_id) AS alerts
+FROM a WHERE line_no IS NOT NULL AND col_begin IS NOT NULL AND check_name IS NOT NULL GROUP BY 1""")
+def report_by_file(spark, d):
+    a = _alerts(spark, d).where("line_no IS NOT NULL AND col_begin IS NOT NULL AND check_name IS NOT NULL").select("file_id", "line_no", "col_begin", "check_name", "alert_id")
+    one = lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), x["col_begin"].cast("string"), F.lit(" "), x["check_name"], F.lit(" "), x["alert_id"].cast("string"))
+    return R.by_file(a, "file_id").select("file_id", "n", F.array_join(F.transform("alerts", one), ";").alias("alerts"))
+
+
+@query(A + "SELECT alert_id, action_name, CASE action_name WHEN 'replace' THEN action_params[1] WHEN 'remove' THEN '' END AS suggestion FROM a WHERE action_name IN ('replace', 'remove', 'suggest')")
+def alert_fixes(spark, d):
+    a = _alerts(spark, d).where("action_name IN ('replace', 'remove', 'suggest')")
+    return R.suggestions(a, X.fixed(F.col("match_text"), F.col("action_name"), F.col("action_params"))).select("alert_id", "action_name", "suggestion")
+
+
+@query(A + """, l AS (SELECT file_id, match_text, alert_id, row_number() OVER (PARTITION BY file_id, match_text ORDER BY linted_at, alert_id) AS k FROM a WHERE match_text IS NOT NULL),
+r AS (SELECT file_id, match_text, alert_id AS other_id, row_number() OVER (PARTITION BY file_id, match_text ORDER BY line_no, col_begin, alert_id) AS k FROM a WHERE match_text IS NOT NULL)
+SELECT alert_id, other_id FROM l JOIN r USING (file_id, match_text, k) WHERE alert_id <> other_id""")
+def nth_equal_value(spark, d):
+    from pyspark.sql import Window
+
+    a = _alerts(spark, d).where("match_text IS NOT NULL").select("file_id", "match_text", "alert_id", "linted_at", "line_no", "col_begin")
+    w = Window.partitionBy("file_id", "match_text")
+    x = a.withColumn("k", F.row_number().over(w.orderBy("linted_at", "alert_id"))).withColumn("j", F.row_number().over(w.orderBy(F.col("line_no").asc_nulls_last(), F.col("col_begin").asc_nulls_last(), "alert_id")))
+    right = x.select("file_id", "match_text", F.col("j").alias("k"), F.col("alert_id").alias("other_id"))
+    return x.select("file_id", "match_text", "k", "alert_id").join(right, ["file_id", "match_text", "k"]).where("alert_id <> other_id").select("alert_id", "other_id")
+
+
+@query("""WITH c AS (SELECT DISTINCT ON (comment_id) comment_id, file_id, line_no, comment_source FROM code_comments),
+e AS (SELECT *, CASE WHEN regexp_matches(comment_source, 'eslint-disable|noqa') THEN 'off' WHEN regexp_matches(comment_source, 'region') THEN 'on' END AS s FROM c)
+SELECT comment_id, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no, comment_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'on') AS state FROM e""")
+def control_state(spark, d):
+    from pyspark.sql import Window
+
+    c = _read(spark, d, "code_comments").select("comment_id", "file_id", "line_no", "comment_source").dropDuplicates(["comment_id"])
+    s = F.when(F.col("comment_source").rlike("eslint-disable|noqa"), "off").when(F.col("comment_source").rlike("region"), "on")
+    w = Window.partitionBy("file_id").orderBy(F.col("line_no").asc_nulls_last(), "comment_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return c.select("comment_id", F.coalesce(F.last(s, ignorenulls=True).over(w), F.lit("on")).alias("state"))
+
+
+# ---------------------------------------------------------------- text functions and sources
+
+
+@query("SELECT file_id, length(replace(replace(replace(file_content, '&rsquo;', ''''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS size, md5(replace(replace(replace(file_content, '&rsquo;', ''''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM files")
+def sanitize_text(spark, d):
+    t = X.sanitized(F.col("file_content"))
+    return _read(spark, d, "files").select("file_id", F.length(t).alias("size"), F.md5(F.encode(t, "UTF-8")).alias("digest"))
+
+
+@query("""WITH p AS (SELECT file_id, string_split(file_content, chr(10) || chr(10)) AS ps FROM files), u AS (SELECT file_id, len(ps) AS k, unnest(ps) AS p, unnest(range(len(ps))) AS seq FROM p)
+SELECT file_id, CAST(seq AS INT) AS seq, length(p) + CASE WHEN seq < k - 1 THEN 2 ELSE 0 END AS size FROM u""")
+def paragraph_split(spark, d):
+    return _read(spark, d, "files").select("file_id", F.posexplode(X.paragraphs(F.col("file_content"))).alias("seq", "p")).select("file_id", "seq", F.length("p").alias("size"))
+
+
+@query("""WITH l AS (SELECT file_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files WHERE file_format = 'data'))
+SELECT file_id, CAST(i + 1 AS INT) AS line_no, CAST(sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY i) - length(line) - 1 AS BIGINT) AS start_at FROM l""")
+def line_starts(spark, d):
+    """Start offsets are summed inside each document's array of lines, without a window."""
+    x = _read(spark, d, "files").where("file_format = 'data'").select("file_id", F.split("file_content", "\n").alias("x"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    step = lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).cast("long").alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+    return x.select("file_id", F.posexplode(F.aggregate("x", zero, step)["starts"]).alias("i", "start_at")).select("file_id", (F.col("i") + 1).alias("line_no"), "start_at")
+
+
+@query(r"""WITH m AS (SELECT DISTINCT match_text FROM alerts WHERE regexp_matches(match_text, '^[ -~]*$'))
+SELECT match_text, upper(substr(match_text, 1, 1)) || substr(match_text, 2) AS capped, regexp_matches(match_text, '^[A-Za-z]*$') AS letters_only, regexp_replace(match_text, '.', '*', 'g') AS masked, trim(match_text) AS trimmed, reverse(match_text) AS reversed FROM m""")
+def scalar_functions(spark, d):
+    m = F.col("match_text")
+    return _read(spark, d, "alerts").where(m.rlike("^[ -~]*$")).select("match_text").distinct().select(
+        "match_text", X.cap_first(m).alias("capped"), X.is_letters(m).alias("letters_only"), X.masked(m).alias("masked"), F.trim(m).alias("trimmed"), F.reverse(m).alias("reversed")
+    )
+
+
+@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def json_view(spark, d):
+    e = _read(spark, d, "events")
+    v = json_values(e, "event_type", "props", {"k": "$.k"})
+    return v.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("k_sum"))
+
+
+@query(r"""WITH l AS (SELECT file_id, unnest(x) AS line, CAST(unnest(range(len(x))) + 1 AS INT) AS line_no FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files WHERE file_format = 'data')),
+s AS (SELECT *, levenshtein(line, 'level: warning') AS edits FROM l WHERE regexp_matches(line, '^[ -~]+$'))
+SELECT file_id, line_no, CAST(edits AS INT) AS edits FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY edits, line_no) AS n FROM s) WHERE n = 1""")
+def closest_line(spark, d):
+    x = _read(spark, d, "files").where("file_format = 'data'").select("file_id", F.posexplode(F.split("file_content", "\n")).alias("i", "line")).where(F.col("line").rlike("^[ -~]+$"))
+    best = F.min(F.struct(F.levenshtein("line", F.lit("level: warning")).alias("edits"), (F.col("i") + 1).alias("line_no")))
+    return x.groupBy("file_id").agg(best.alias("b")).select("file_id", "b.line_no", "b.edits")
+
+
+@query(r"""SELECT file_id, tag_name, count(*) AS n FROM (SELECT file_id, lower(unnest(regexp_extract_all(regexp_replace(file_content, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1))) AS tag_name
+FROM files WHERE file_format = 'markup' AND normed_ext = '.html') WHERE NOT starts_with(tag_name, 'table') GROUP BY 1, 2""")
+def html_tag_counts(spark, d):
+    t = F.regexp_replace("file_content", r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "")
+    x = _read(spark, d, "files").where("file_format = 'markup' AND normed_ext = '.html'").select("file_id", F.explode(F.regexp_extract_all(t, F.lit(r"<([A-Za-z][A-Za-z0-9]*)[^<>]*>"), 1)).alias("tag"))
+    return x.groupBy("file_id", F.lower("tag").alias("tag_name")).agg(F.count(F.lit(1)).alias("n")).where("tag_name NOT LIKE 'table%'")
+
+
+# ---------------------------------------------------------------- the engine itself (no SQL: checked by tests)
+
+
+def flagship_rules() -> list[Rule]:
+    r = lambda name, **k: parse_rule(name, k)
+    return [
+        r("Plain.Weasel", extends="existence", message="'%s' is a weasel word", tokens=WEASEL, ignorecase=True), r("Plain.Swaps", extends="substitution", message="Use '%s' instead of '%s'", swap=SWAP, ignorecase=True, level="error"),
+        r("Plain.Repeats", extends="repetition", message="'%s' is repeated", tokens=[r"[^\s.!?]+"], ignorecase=True, alpha=True), r("Plain.Length", extends="occurrence", message="A sentence of %s words", token=r"\b\w+\b", max=25, scope="sentence", level="suggestion"),
+        r("Plain.Pairs", extends="consistency", message="Inconsistent use of '%s'", either=PAIRS, ignorecase=True), r("Plain.Acronyms", extends="conditional", message="'%s' has no definition", first=FIRST, second=SECOND),
+        r("Plain.Headings", extends="capitalization", message="'%s' should be in sentence case", match="$sentence", scope="heading"), r("Plain.Grade", extends="metric", message="A grade of %s", formula=GRADES["Automated Readability"], condition="> 10"),
+        r("Plain.Fog", extends="readability", message="A fog of %s", metrics=["Gunning Fog"], grade=12), r("Plain.Modal", extends="sequence", message="'%[1]s %[2]s'", tokens=[{"tag": "MD"}, {"tag": "RB", "skip": 1}, {"tag": "VB"}]),
+    ]
+
+
+def flagship(spark, d):
+    return lint(_read(spark, d, "documents"), flagship_rules())
+
+
+@query()
+def lint_documents(spark, d):
+    return lint(_read(spark, d, "documents"), flagship_rules())
+
+
+@query()
+def lint_files(spark, d):
+    files = _read(spark, d, "files").withColumn("ext", F.lower(F.coalesce("normed_ext", "real_ext", F.lit(".txt"))))
+    return lint(files, flagship_rules(), Config(styles=["Plain"]), key="file_id", text="file_content", path="file_path", ext="ext")
+
+
+@query()
+def file_blocks(spark, d):
+    files = _read(spark, d, "files").withColumn("ext", F.lower(F.coalesce("normed_ext", "real_ext", F.lit(".txt"))))
+    return extract_blocks(files, key="file_id", text="file_content", ext="ext").select("doc_id", "block_seq", "scope", "text", "line", "offset")
+
+
+@query()
+def page_tags(spark, d):
+    f = F.udf(tag_counts, T.MapType(T.StringType(), T.IntegerType()), useArrow=True)
+    return _read(spark, d, "files").where("file_format = 'markup' AND normed_ext = '.html'").select("file_id", F.explode(f("file_content")).alias("tag_name", "n"))
