@@ -194,7 +194,7 @@ def code_languages(rows: DataFrame, model: LineModel, chunk: int = CHUNK) -> Dat
     nothing; unknown endings are read by the marks most languages share. Repeated keys add up,
     so repeated rows should be taken out before.
     """
-    rows = rows.where("key IS NOT NULL AND text IS NOT NULL")
+    rows = rows.select("key", "ext", "real_ext", "text").where("key IS NOT NULL AND text IS NOT NULL")
 
     def whole(batches):
         for pdf in batches:

@@ -152,9 +152,12 @@ def pack(items: DataFrame, packs: DataFrame, spread: int = 64, most_packs: int =
     for r in ps.values():
         if r["capacity_tokens"] is None or r["capacity_tokens"] < 1:
             raise ValueError(f"pack {r['pack_name']} needs a capacity of one token at least")
-    p = F.broadcast(packs.select("pack_name", F.lower("lang").alias("pack_lang"), F.col("capacity_tokens").cast("long").alias("cap"), F.coalesce("gap_tokens", F.lit(0)).cast("long").alias("gap")))
-    fits = F.col("pack_lang").isNull() | (F.col("pack_lang") == F.lower("lang"))
-    each = items.select("item_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "lang").join(p, fits)
+    # the packs are a handful of literals, so items meet them without a join
+    kinds = [F.struct(F.lit(r["pack_name"]).alias("name"), F.lit(r["lang"].lower() if r["lang"] else None).cast("string").alias("lang"), F.lit(int(r["capacity_tokens"])).cast("long").alias("cap"), F.lit(int(r["gap_tokens"] or 0)).cast("long").alias("gap")) for r in ps.values()]
+    kinds = F.array(*kinds) if kinds else F.array().cast("array<struct<name:string,lang:string,cap:bigint,gap:bigint>>")
+    fits = F.filter(kinds, lambda p: p["lang"].isNull() | (p["lang"] == F.lower("lang")))
+    each = items.select("item_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.explode(fits).alias("p"))
+    each = each.select("item_id", "size", F.col("p.name").alias("pack_name"), F.col("p.cap").alias("cap"), F.col("p.gap").alias("gap"))
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("cap"))).cast("int")
     each = each.select("pack_name", "item_id", "size", "cap", "gap", F.posexplode(F.array_repeat(F.lit(0), n)).alias("piece_no", "zero"))
     first = F.col("piece_no") * F.col("cap")

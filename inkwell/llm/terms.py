@@ -113,8 +113,7 @@ def marked_terms(freq: DataFrame, limits: DataFrame, rows: DataFrame, record: st
     A field without limits gets no mark. ``limits`` has one row per field.
     """
     total = rows.agg(F.countDistinct(record).alias("total"))
-    # one row on one side, so this is a projection and no product of two tables
-    bounds = limits.select("field_name", "min_files", "max_permille").join(F.broadcast(total), F.lit(True))
+    bounds = limits.select("field_name", "min_files", "max_permille", total.scalar().alias("total"))
     mark = F.when(F.col("n_records") < F.col("min_files"), "rare").when(F.col("n_records") * 1000 > F.col("max_permille") * F.col("total"), "common")
     return freq.join(bounds, "field_name", "left").withColumn("mark", mark).drop("min_files", "max_permille", "total")
 
