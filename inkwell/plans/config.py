@@ -179,9 +179,12 @@ def filter_rules(rules: list[Rule], expression: str) -> list[Rule]:
     import ast
 
     names = {".Name": "name", ".Level": "level", ".Extends": "kind", ".Scope": "scope", ".Message": "message", ".Link": "link", ".Description": "description"}
-    text = re.sub(r"\.([A-Z]\w*)", lambda m: names.get(m.group(), "_unknown"), expression)
-    text = text.replace("&&", " and ").replace("||", " or ").replace("!=", "\x00")
-    text = re.sub(r"!(?!=)", " not ", text).replace("\x00", "!=")
+    words = {"&&": " and ", "||": " or ", "!": " not "}
+
+    def each(m: re.Match) -> str:  # strings stay as they are
+        return m.group() if m.group()[0] in "\"'" else words.get(m.group()) or (names.get(m.group(), "_unknown") if m.group()[0] == "." else m.group())
+
+    text = re.sub(r"\"[^\"]*\"|'[^']*'|!=|&&|\|\||!|\.[A-Z]\w*", each, expression)
     tree = ast.parse(text.strip(), mode="eval")
     allowed = (ast.Expression, ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.Compare, ast.Eq, ast.NotEq, ast.In, ast.NotIn, ast.Name, ast.Load, ast.Constant, ast.List, ast.Tuple)
     for node in ast.walk(tree):

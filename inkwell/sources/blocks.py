@@ -183,8 +183,9 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
         flush()
         if shut:
             seen.clear()
-            if classes and classes[-1][0] == tag:
-                classes.pop()
+            if any(t == tag for t, _ in classes):
+                while classes.pop()[0] != tag:
+                    pass  # elements left open inside end with it
             inline.clear()
         else:
             seen.append(tag)
