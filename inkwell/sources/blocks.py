@@ -174,7 +174,8 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
                 where = text.find(attrs["alt"], m.start())
                 out.append(Block(f"text.attr.alt{ext}", attrs["alt"], [(0, base + where, len(attrs["alt"]))]))
             elif tag == "br":
-                now.add(" ", base + m.start())
+                now.runs.append((len(now.text), base + m.start(), 1))
+                now.text += " "
             elif shut and tag in inline:
                 inline.remove(tag)
             elif not shut:
