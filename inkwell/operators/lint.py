@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.operators.matching import Program, State
 from inkwell.plans.config import Config, vocabulary_rules
 from inkwell.plans.rules import Rule, message
+from inkwell.session import spread
 from inkwell.sources.blocks import Source, document_blocks, tag_counts
 
 ALERT_SCHEMA = (
@@ -129,4 +130,4 @@ def lint(docs: DataFrame, rules: list[Rule], cfg: Config | None = None, key: str
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "int64", "alert_seq": "int32", "line": "int32", "col_begin": "int32", "col_end": "int32"})
 
     cols = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (F.col(path) if path else F.lit("")).alias("p"), F.expr(ext).alias("e"))
-    return cols.where("k IS NOT NULL AND t IS NOT NULL").mapInPandas(run, ALERT_SCHEMA)
+    return spread(cols.where("k IS NOT NULL AND t IS NOT NULL"), "k").mapInPandas(run, ALERT_SCHEMA)

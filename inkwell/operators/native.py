@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import EDGE
 from inkwell.plans.rules import longest_first, scope_parts
+from inkwell.session import spread
 
 
 def word_regex(words: list[str], ignorecase: bool = True) -> str:
@@ -60,7 +61,7 @@ def spans(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["k", "begin_at", "end_at", "line_no", "match_text"]).astype({"k": "int64", "begin_at": "int64", "end_at": "int64", "line_no": "int64"})
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    return rows.mapInPandas(run, "k long, begin_at long, end_at long, line_no long, match_text string").withColumnRenamed("k", key)
+    return spread(rows, "k").mapInPandas(run, "k long, begin_at long, end_at long, line_no long, match_text string").withColumnRenamed("k", key)
 
 
 def without_exceptions(found: DataFrame, match: str, exceptions: list[str]) -> DataFrame:

@@ -65,6 +65,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, for a Python stage over tables smaller than the cluster.
+
+    Judged by the plan's own estimate and the number of files, without running anything: a
+    table that is read in as many tasks as there are cores, or more, is left as it is, so this
+    never shuffles large data.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if max(size / most, len(df.inputFiles())) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """The rows of a table that must be small; an error where it isn't.
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from inkwell.functions.text import sentences
 from inkwell.plans.config import Config
+from inkwell.session import spread
 
 BLOCK_SCHEMA = (
     "doc_id long, block_seq int, scope string, sections array<string>, text string, line int, offset int, "
@@ -456,7 +457,7 @@ def extract_blocks(docs: DataFrame, cfg: Config | None = None, nested: bool = Fa
             yield pd.DataFrame(rows, columns=["doc_id", "block_seq", "scope", "sections", "text", "line", "offset", "runs"]).astype({"doc_id": "int64", "block_seq": "int32", "line": "int32", "offset": "int32"})
 
     cols = docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t", f"{ext} AS e").where("k IS NOT NULL")
-    return cols.mapInPandas(run, BLOCK_SCHEMA)
+    return spread(cols, "k").mapInPandas(run, BLOCK_SCHEMA)
 
 
 def tag_counts(text: str | None) -> dict[str, int]:
