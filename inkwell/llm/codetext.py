@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.lexing import CHUNK, cut, family, lexer, scan
-from inkwell.session import bounded, written
+from inkwell.session import bounded, spread, written
 
 LANGS = ["en", "de", "fr", "es", "ru", "zh", "ja"]
 CLASSES = ["none", *LANGS, "other"]
@@ -230,6 +230,7 @@ def code_languages(rows: DataFrame, model: LineModel, chunk: int = CHUNK) -> Dat
                 out += [(k, lang, n) for lang, n in languages(lexer(f).spans(c, a, None if b < 0 else b), model).items()]
             yield pd.DataFrame(out, columns=["key", "lang", "n"]).astype({"key": "int64", "n": "int64"})
 
+    rows = spread(rows, "key")
     small = rows.where(F.length("text") <= chunk).mapInPandas(whole, "key long, lang string, n long")
     cutup = rows.where(F.length("text") > chunk).mapInPandas(chunks, "key long, family string, seq int, chunk string")
     cutup = written(cutup.repartition("key", "seq"))

@@ -18,6 +18,7 @@ from inkwell.llm.crf import LinearChainCRF
 from inkwell.llm.inline import Cleaner, squeeze, undelimited
 from inkwell.llm.leaves import Leaf, guess_format, leaves_of
 from inkwell.llm.pages import LABELS, PAGES_PER_FORMAT, page
+from inkwell.session import spread
 
 FORMS = ["md", "html", "rst", "org", "adoc", "wiki", "tex"]
 _MARK = re.compile(r"zq\d+x\d+qz")
@@ -107,8 +108,8 @@ def markup_units(docs: DataFrame, key: str = "file_id", text: str = "file_conten
     Kinds are ``heading``, ``item``, ``para``, ``row``, ``code`` and ``formula``. Endings are
     hints and may be null or wrong. Null and blank texts give no rows; a document of any length
     is read whole; repeated units of a document come out once. A repeated document under
-    another key has its own rows. There is no shuffle: each document is worked on where it
-    lies, and the model (a few thousand weights) travels with the task.
+    another key has its own rows. There is no shuffle (but of tables smaller than the cluster): each document is
+    worked on where it lies, and the model (a few thousand weights) travels with the task.
     """
     model = block_model()
 
@@ -120,7 +121,7 @@ def markup_units(docs: DataFrame, key: str = "file_id", text: str = "file_conten
             yield pd.DataFrame(rows, columns=["k", "unit_kind", "unit_level", "unit_text"]).astype({"k": "int64", "unit_level": "int32"})
 
     cols = docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t", f"`{normed_ext}` AS n", f"`{real_ext}` AS r").where("k IS NOT NULL AND t IS NOT NULL")
-    return cols.mapInPandas(run, "k long, unit_kind string, unit_level int, unit_text string").withColumnRenamed("k", key)
+    return spread(cols, "k").mapInPandas(run, "k long, unit_kind string, unit_level int, unit_text string").withColumnRenamed("k", key)
 
 
 def found(spark, sf_dir: str) -> DataFrame:

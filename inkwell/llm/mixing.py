@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.sizes import TOKENIZERS, with_tokens
-from inkwell.session import bounded, written
+from inkwell.session import bounded, spread, written
 
 BITS = 12  # of the hash a level; 62 bits of it are used
 LEVELS = 5
@@ -133,7 +133,7 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
 
 def _mix(spark, sf_dir: str, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    records = with_tokens(docs, "text", "n_tokens", folder=folder).select(F.col("doc_id").alias("record_id"), "source", "n_tokens")
+    records = with_tokens(spread(docs, "doc_id"), "text", "n_tokens", folder=folder).select(F.col("doc_id").alias("record_id"), "source", "n_tokens")
     return mix(records, spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
 
 

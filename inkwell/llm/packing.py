@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.sizes import TOKENIZERS, with_tokens
-from inkwell.session import bounded, written
+from inkwell.session import bounded, spread, written
 
 #: The unused share of a container that a combination may have, the combinations that are weighed, and the rounds of the solver.
 WINDOW, MOST_COMBINATIONS, ROUNDS = 0.01, 30_000, 300
@@ -200,7 +200,7 @@ def pack(items: DataFrame, packs: DataFrame, spread: int = 64, most_packs: int =
 
 def _items(spark, sf_dir: str, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    items = with_tokens(docs, "text", "size", folder=folder).select(F.col("doc_id").alias("item_id"), "size", "lang")
+    items = with_tokens(spread(docs, "doc_id"), "text", "size", folder=folder).select(F.col("doc_id").alias("item_id"), "size", "lang")
     return items, spark.read.parquet(f"{sf_dir}/pack_sizes.parquet")
 
 
