@@ -76,7 +76,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if df.isStreaming:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if max(size / most, len(df.inputFiles())) >= cores:
         return df
