@@ -17,7 +17,12 @@ from inkwell.session import spread
 
 
 def word_regex(words: list[str], ignorecase: bool = True) -> str:
-    """An alternation of words between ASCII boundaries, the longest first, for Java."""
+    """An alternation of words between ASCII boundaries, the longest first, for Java.
+
+    Where all words begin and end with word characters, the boundary is a look at one character.
+    """
+    if all(re.fullmatch(r"\w(?:.*\w)?", w, re.ASCII) and not re.search(r"[|?*+(]", w) for w in words):
+        return ("(?i)" if ignorecase else "") + "(?<![0-9A-Za-z_])(?:" + "|".join(longest_first(words)) + ")(?![0-9A-Za-z_])"
     return ("(?i)" if ignorecase else "") + EDGE + "(?:" + "|".join(longest_first(words)) + ")" + EDGE
 
 
