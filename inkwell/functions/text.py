@@ -56,6 +56,14 @@ def cap_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
+def titled(c: Column) -> Column:
+    """A capital after each character that parts words, the rest as it is; letters, digits and ``_`` don't part words."""
+    parts = F.split(c, r"(?<=[\x00-/:-@\[-^`{-\x7f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])", -1)
+    first = lambda x: F.upper(F.substring(x, 1, 1))
+    # a letter whose capital is more than one (ß) stays
+    return F.array_join(F.transform(parts, lambda x: F.when(F.length(first(x)) == 1, F.concat(first(x), F.substring(x, F.lit(2), F.length(x)))).otherwise(x)), "")
+
+
 def masked(c: Column) -> Column:
     """Every character but line feeds as a star, the length kept."""
     return F.regexp_replace(c, r"[^\n]", "*")

@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import EDGE
+from inkwell.functions.text import EDGE, titled
 from inkwell.plans.rules import longest_first, scope_parts
-from inkwell.session import spread
+from inkwell.session import bounded, spread
 
 
 def word_regex(words: list[str], ignorecase: bool = True) -> str:
@@ -168,6 +168,35 @@ def nearest(words: DataFrame, terms: DataFrame, most: int = 2, k: int = 3) -> Da
     return near.withColumn("place", place).where(F.col("place") <= k).select("word", "term", "edits", "place")
 
 
+def closest(words: DataFrame, dictionaries: list[DataFrame], each: int = 5, k: int = 6, block: int = 4096, most: int = 2_000_000) -> DataFrame:
+    """``word, term, similarity, place``: the ``each`` terms of each dictionary most like a word, of these the ``k`` most like it.
+
+    Whole dictionaries are ranked, without a bound on the edits: similarity is 1 - edits over the
+    longer length, by code points, ties by text. A word with capitals as in a title gets its terms so.
+    Terms lie in blocks of ``block``; each word meets each block once and keeps ``each`` of it, so
+    no more than that is ever sorted.
+    """
+    spark, rows = words.sparkSession, []
+    for i, d in enumerate(dictionaries):
+        terms = [r["term"] for r in bounded(d.select("term").where("term IS NOT NULL").distinct(), most, "the dictionary")]
+        rows += [(len(rows) + n, i, terms[at : at + block]) for n, at in enumerate(range(0, len(terms), block))]
+    blocks = F.broadcast(spark.createDataFrame(rows, "block int, dictionary int, terms array<string>"))
+    w = words.select("word").where("word IS NOT NULL").distinct()
+    # a shuffle of its own, which isn't folded into that of the distinct words or merged for their size
+    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    w = w.repartition(n_parts, F.xxhash64("word")).withColumn("block", F.explode(F.array(*[F.lit(r[0]) for r in rows]).cast("array<int>")))
+    # the negative comes first, so that the least structs are the most like and then the first by text
+    score = lambda t: F.struct((F.levenshtein("word", t) / F.greatest(F.length("word"), F.length(t), F.lit(1)) - 1).alias("away"), t.alias("term"))
+    best = w.join(blocks, "block").select("word", "dictionary", F.explode(F.slice(F.sort_array(F.transform("terms", score)), 1, each)).alias("x"))
+    best = best.select("word", "dictionary", "x.*")
+    n = F.row_number().over(Window.partitionBy("word", "dictionary").orderBy("away", "term"))
+    best = best.withColumn("n", n).where(F.col("n") <= each)
+    place = F.row_number().over(Window.partitionBy("word").orderBy("away", "term", "dictionary"))
+    best = best.withColumn("place", place).where(F.col("place") <= k)
+    term = F.when(F.col("word") == titled(F.col("word")), titled(F.col("term"))).otherwise(F.col("term"))
+    return best.select("word", term.alias("term"), (-F.col("away")).alias("similarity"), "place")
+
+
 def scope_matches(scopes: DataFrame, rules: DataFrame) -> DataFrame:
     """``scope_path, check_name``: rules that see each distinct scope; see ``rules.in_scope``.
 

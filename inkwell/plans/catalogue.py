@@ -206,6 +206,13 @@ def spelling_suggest(spark, d):
     return N.nearest(words, _dictionary(spark, d).where(F.col("word").rlike("^[a-z]{4,}$")).withColumnRenamed("word", "term"))
 
 
+@query()
+def spelling_ranked(spark, d):
+    """The whole of what ``spelling_suggest`` asks for words near ASCII terms: any match, the whole dictionary, no bound on the edits."""
+    words = _read(spark, d, "alerts").select(F.col("match_text").alias("word"))
+    return N.closest(words, [_dictionary(spark, d).withColumnRenamed("word", "term")])
+
+
 @query(A + """, u AS (SELECT DISTINCT check_name AS word FROM a WHERE check_name NOT IN (SELECT check_name FROM rules)),
 p AS (SELECT word, check_name AS term, levenshtein(word, check_name) AS edits FROM u JOIN rules r ON abs(length(word) - length(check_name)) <= 2 AND levenshtein(word, check_name) <= 2)
 SELECT word, term, CAST(edits AS INT) AS edits, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY edits, term) AS place FROM p) WHERE place <= 1""")

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from inkwell.functions.spell import distance
 from inkwell.operators import native as N
 from inkwell.operators import reports as R
 from inkwell.plans import catalogue
@@ -63,3 +64,29 @@ def test_pushdown_and_plans(spark):
     assert "PushedFilters: [In(severity" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     plan = QUERIES["existence_count"](spark, AT)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_closest_ranks_the_whole_dictionary(spark):
+    terms = ["index", "heading", "éclair", "a-b", "list", "lists", "wörterbuch", "table"]
+    d = spark.createDataFrame([(t,) for t in [*terms, "list", None]], "term string")
+    words = ["qqqqqqqqqqqq", "Lsit", "ecl", "list", "", "Lsit", "A-c", None]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+
+    def by_hand(w, ts, k):
+        got = sorted(ts, key=lambda t: (distance(w, t) / max(len(w), len(t), 1), t))[:k]
+        return [t[:1].upper() + t[1:] if w[:1] == w[:1].upper() else t for t in got]
+
+    for block in (3, 4096):
+        rows = N.closest(df, [d], block=block).collect()
+        for w in {*words} - {None, "A-c"}:
+            assert [r.term for r in sorted(rows, key=lambda r: r.place) if r.word == w] == [t if t != "A-b" else "A-B" for t in by_hand(w, terms, 5)]
+        assert next(r for r in rows if r.word == "list" and r.place == 1).similarity == 1.0
+    two = N.closest(df, [d, spark.createDataFrame([("lost",), ("lust",)], "term string")]).where("word = 'Lsit'").orderBy("place").collect()
+    assert len(two) == 6 and {"Lost", "Lust"} <= {r.term for r in two}
+    assert N.closest(df, [d.limit(0)]).collect() == [] == N.closest(df.limit(0), [d]).collect()
+
+
+def test_suggestions_for_words_far_from_all_terms(spark):
+    words = spark.read.parquet(f"{AT}/alerts.parquet").where("match_text IS NOT NULL").select("match_text").distinct().count()
+    got = {r["count"] for r in QUERIES["spelling_ranked"](spark, AT).groupBy("word").count().collect()}
+    assert got == {5} and QUERIES["spelling_ranked"](spark, AT).select("word").distinct().count() == words
