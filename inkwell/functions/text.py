@@ -106,6 +106,79 @@ def fixed(match: Column, name: Column, params: Column) -> Column:
 
 # ---------------------------------------------------------------- Python side
 
+# The characters trimmed from an edited match.
+BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_GROUP = re.compile(r"\$(?:(\$)|([0-9A-Za-z_]+)|\{([0-9A-Za-z_]+)\})")
+
+
+def _filled(template: str, m: re.Match) -> str:
+    """A template with ``$1``, ``$name``, ``${name}`` and ``$$``; groups that aren't there are empty."""
+
+    def each(g: re.Match) -> str:
+        name = g.group(2) or g.group(3)
+        if name is None:
+            return "$"
+        if name.isdigit():
+            return (m.group(int(name)) or "") if int(name) <= m.re.groups else ""
+        return m.groupdict().get(name) or ""
+
+    return _GROUP.sub(each, template)
+
+
+def _replaced(pattern: str, template: str, text: str) -> str:
+    """All matches filled in; an empty match right after another one isn't a match."""
+    out, at = [], None
+    for m in re.compile(pattern, re.ASCII).finditer(text):
+        if m.end() != at:
+            out += [text[at or 0 : m.start()], _filled(template, m)]
+            at = m.end()
+    return "".join(out) + text[at or 0 :]
+
+
+def _edited(match: str, params: list[str]) -> str:
+    name, n = params[0], len(params)
+    if name in ("regex", "split") and n != 3 or name in ("trim", "trim_left", "trim_right", "truncate") and n != 2:
+        raise ValueError("invalid number of parameters")
+    if name == "regex":
+        try:
+            return _replaced(params[1], params[2], match)
+        except re.error as e:
+            raise ValueError(f"error parsing regexp: {e}") from e
+    if name in ("trim", "trim_left", "trim_right"):
+        return {"trim": str.strip, "trim_left": str.lstrip, "trim_right": str.rstrip}[name](match, params[1])
+    if name in ("truncate", "split"):
+        parts = match.split(params[1]) if params[1] else list(match)
+        if name == "truncate":
+            return parts[0] if parts else ""
+        if not re.fullmatch(r"[+-]?[0-9]+", params[2]):
+            raise ValueError(f'strconv.Atoi: parsing "{params[2]}": invalid syntax')
+        if not 0 <= int(params[2]) < len(parts):
+            raise ValueError("index out of range")
+        return parts[int(params[2])]
+    return match
+
+
+def solution(match: str | None, name: str | None, params: list[str] | None) -> tuple[list[str], str | None]:
+    """All suggestions of an action for a match, and what went wrong; ``suggest spellings`` isn't for this function."""
+    match, params = match or "", [p or "" for p in (params if params is not None else [])]
+    if name == "replace":
+        return params, None
+    if name == "remove":
+        return [""], None
+    if name not in ("suggest", "edit", "convert"):
+        return [], f"unknown action '{name or ''}'"
+    if not params:
+        return [], "no parameters"
+    if name == "suggest":
+        return [], f"script '{params[0]}' not found"
+    if name == "convert":
+        return [match.lower() if params[0] == "simple" else match], None
+    try:
+        return [_edited(match, params).strip(BLANK)], None
+    except ValueError as e:
+        return [], str(e)
+
+
 # Words that stay in lower case inside a title, by style.
 SMALL = {
     "AP": set("a an and as at but by en for if in of on or the to v via vs nor".split()),

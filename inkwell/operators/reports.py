@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import solution
+from inkwell.operators.native import closest
 from inkwell.plans.rules import LEVELS
 
 
@@ -107,3 +109,21 @@ def render(alerts: DataFrame, template: str, path: str) -> str:
 def suggestions(alerts: DataFrame, fixed: Column) -> DataFrame:
     """Alerts with an action and what it makes of the match."""
     return alerts.where("action_name IS NOT NULL").withColumn("suggestion", fixed)
+
+
+def solutions(alerts: DataFrame, dictionaries: list[DataFrame], key: str = "alert_id") -> DataFrame:
+    """``key, action_name, suggestions, error`` for each alert with an action, by any of the fixers.
+
+    ``suggest spellings`` is answered by ranking the distinct matches once and joining them on; the
+    others are one Arrow stage.
+    """
+    a = alerts.where("action_name IS NOT NULL").select(key, "action_name", F.coalesce("match_text", F.lit("")).alias("match_text"), "action_params")
+    a = distinct_alerts(a, key)
+    spelled = F.coalesce((F.col("action_name") == "suggest") & (F.get("action_params", F.lit(0)) == "spellings"), F.lit(False))
+    words = a.where(spelled)
+    ranked = closest(words.select(F.col("match_text").alias("word")), dictionaries).groupBy(F.col("word").alias("match_text"))
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("place", "term")))["term"].alias("suggestions"))
+    near = words.join(ranked, "match_text", "left").select(key, "action_name", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"), F.lit(None).cast("string").alias("error"))
+    fix = F.udf(solution, "suggestions array<string>, error string", useArrow=True)
+    rest = a.where(~spelled).select(key, "action_name", fix("match_text", "action_name", "action_params").alias("x")).select(key, "action_name", "x.suggestions", "x.error")
+    return near.unionByName(rest)

@@ -338,6 +338,12 @@ def alert_fixes(spark, d):
     return R.suggestions(a, X.fixed(F.col("match_text"), F.col("action_name"), F.col("action_params"))).select("alert_id", "action_name", "suggestion")
 
 
+@query()
+def alert_solutions(spark, d):
+    """The whole of what ``alert_fixes`` asks for three actions: all actions, all suggestions of each, and what went wrong."""
+    return R.solutions(_read(spark, d, "alerts"), [_dictionary(spark, d).withColumnRenamed("word", "term")])
+
+
 @query(A + """, l AS (SELECT file_id, match_text, alert_id, row_number() OVER (PARTITION BY file_id, match_text ORDER BY linted_at, alert_id) AS k FROM a WHERE match_text IS NOT NULL),
 r AS (SELECT file_id, match_text, alert_id AS other_id, row_number() OVER (PARTITION BY file_id, match_text ORDER BY line_no, col_begin, alert_id) AS k FROM a WHERE match_text IS NOT NULL)
 SELECT alert_id, other_id FROM l JOIN r USING (file_id, match_text, k) WHERE alert_id <> other_id""")

@@ -90,3 +90,24 @@ def test_suggestions_for_words_far_from_all_terms(spark):
     words = spark.read.parquet(f"{AT}/alerts.parquet").where("match_text IS NOT NULL").select("match_text").distinct().count()
     got = {r["count"] for r in QUERIES["spelling_ranked"](spark, AT).groupBy("word").count().collect()}
     assert got == {5} and QUERIES["spelling_ranked"](spark, AT).select("word").distinct().count() == words
+
+
+def test_solutions_of_all_actions(spark):
+    rows = [
+        ("replace", ["a", "b"], "x", ["a", "b"], None), ("remove", None, "x", [""], None), ("edit", ["split", ".", "1"], "a.b .c", ["b"], None), ("edit", ["split", "", "2"], "abc", ["c"], None),
+        ("edit", ["split", ".", "3"], "a.b", [], "index out of range"), ("edit", ["split", ".", "-1"], "a.b", [], "index out of range"), ("edit", ["split", ".", "x"], "a.b", [], 'strconv.Atoi: parsing "x": invalid syntax'),
+        ("edit", ["regex"], "x", [], "invalid number of parameters"), ("edit", ["regex", "(a)(?P<n>b)?", "<${1}$n$9$$>"], "abca", ["<ab$>c<a$>"], None), ("edit", ["regex", "x*", "-"], "abxd", ["-a-b-d-"], None),
+        ("edit", ["trim", "*_"], "*_a*", ["a"], None), ("edit", ["trim_left", "."], "..a.", ["a."], None), ("edit", ["trim_right", "."], "..a.", ["..a"], None), ("edit", ["truncate", "(s"], "a(s)", ["a"], None),
+        ("edit", ["other"], " a ", ["a"], None), ("edit", [], "x", [], "no parameters"), ("edit", None, "x", [], "no parameters"), ("convert", ["simple"], "A B", ["a b"], None), ("convert", ["else"], "A B", ["A B"], None),
+        ("suggest", ["spellings"], "Lsit", ["List", "Lists", "Table"], None), ("suggest", ["my.tengo"], "x", [], "script 'my.tengo' not found"), ("suggest", ["spellings"], "lists", ["lists", "list", "table"], None), ("other", [], "x", [], "unknown action 'other'"),
+    ]
+    a = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)] + [(0, *rows[0][:3]), (99, None, None, "x")], "alert_id long, action_name string, action_params array<string>, match_text string")
+    got = R.solutions(a, [spark.createDataFrame([("list",), ("lists",), ("table",)], "term string")]).collect()
+    assert {r.alert_id: (r.action_name, r.suggestions, r.error) for r in got} == {i: (r[0], r[3], r[4]) for i, r in enumerate(rows)} and len(got) == len(rows)
+
+
+def test_solutions_of_the_tables(spark):
+    alerts = spark.read.parquet(f"{AT}/alerts.parquet").where("action_name IS NOT NULL")
+    got = QUERIES["alert_solutions"](spark, AT).collect()
+    assert len(got) == alerts.select("alert_id").distinct().count() and {"edit", "replace", "suggest"} <= {r.action_name for r in got}
+    assert {len(r.suggestions) for r in got if r.action_name == "suggest"} == {5} and {r.error for r in got if r.action_name == "edit"} == {"invalid number of parameters"}
