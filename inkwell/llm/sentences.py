@@ -223,7 +223,7 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
 
 def language_of(text: str, common: dict[str, set[str]]) -> str | None:
     """The language whose frequent words the text holds most; ties go to the first by name."""
-    n = Counter(k for k, *_ in words(text[:20000]))
+    n = Counter(k for k, *_ in words(text))
     hits = {lang: sum(n[w] for w in ws) for lang, ws in common.items()}
     best = max(sorted(hits), key=lambda x: hits[x], default=None)
     return best if best is not None and hits[best] else None

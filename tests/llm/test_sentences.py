@@ -49,3 +49,9 @@ def test_learns_and_finds_places(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k long, lang string, body string")
     assert S.sentence_units(df, "k", "body", "lang").collect() == []
+
+
+def test_language_by_the_whole_text():
+    text = "der und die. " * 2000 + "the and of. " * 4000
+    assert S.language_of(text, {"de": {"der", "und", "die"}, "en": {"the", "and", "of"}}) == "en"
+    assert S.language_of("1 2 3 " * 5000 + "the and", {"de": {"der"}, "en": {"the"}}) == "en"
