@@ -117,28 +117,43 @@ def _association(both, first, second, total):
     return F.when(p1 > p2, -2 * ratio).otherwise(F.lit(0.0))
 
 
-def _count_types(batches):
-    for pdf in batches:
-        n: dict[tuple[str, str], list[int]] = {}
-        for lang, text in zip(pdf["lang"], pdf["text"]):
-            if lang is None or not text:
-                continue
-            for para in _PARA.split(text):
-                for kind, dot, case, fresh, _ in words(para):
-                    row = n.setdefault((lang, kind[:40]), [0, 0, 0, 0])
-                    row[dot] += 1
-                    row[2] += case < 1
-                    row[3] += case == 1 and not fresh
-        yield pd.DataFrame([(*k, *v) for k, v in n.items()], columns=["lang", "type", "c0", "c1", "low", "up"])
-
-
-def _count_pairs(models):
+def _count_types(common):
+    def run(batches):
+        for pdf in batches:
+            n: dict[tuple[str, str], list[int]] = {}
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                if not text:
+                    continue
+                lang = placed(lang, text, common)
+                for para in _PARA.split(text):
+                    for kind, dot, case, fresh, _ in words(para):
+                        row = n.setdefault((lang, kind[:40]), [0, 0, 0, 0])
+                        row[dot] += 1
+                        row[2] += case < 1
+                        row[3] += case == 1 and not fresh
+            yield pd.DataFrame([(*k, *v) for k, v in n.items()], columns=["lang", "type", "c0", "c1", "low", "up"])
+
+    return run
+
+
+def _types(rows: DataFrame, common: dict[str, set[str]]) -> DataFrame:
+    return _summed(rows.mapInPandas(_count_types(common), "lang string, type string, c0 long, c1 long, low long, up long"))
+
+
+def _summed(types: DataFrame) -> DataFrame:
+    return types.groupBy("lang", "type").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "low", "up")])
+
+
+def _count_pairs(models, common):
     def run(batches):
         for pdf in batches:
             n: Counter = Counter()
             for lang, text in zip(pdf["lang"], pdf["text"]):
+                if not text:
+                    continue
+                lang = placed(lang, text, common)
                 m = models.get(lang)
-                if m is None or not text:
+                if m is None:
                     continue
                 for para in _PARA.split(text):
                     before = None
@@ -159,16 +174,21 @@ def _count_pairs(models):
 def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], dict[str, set[str]]]:
     """Models by language, and each language's most frequent words, from ``texts(lang, text)``.
 
-    All texts count; those without a language teach nothing. The counts are added up before
-    the shuffle and after it; the driver gets only types that pass the ratios and
-    ``LEAST_SHARE``.
+    All texts count. The frequent words are those of texts that state their language; the
+    others are placed by them, see ``placed``. The counts are added up before the shuffle and
+    after it; the driver gets only types that pass the ratios and ``LEAST_SHARE``.
     """
-    rows = texts.select(F.lower("lang").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    types = rows.mapInPandas(_count_types, "lang string, type string, c0 long, c1 long, low long, up long")
-    types = types.groupBy("lang", "type").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "low", "up")])
+    rows = texts.select(F.nullif(F.lower("lang"), F.lit("")).alias("lang"), "text").where("text IS NOT NULL")
+    stated = _types(rows.where("lang IS NOT NULL"), {}).persist()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(_gap("c0", "c1")), "type"))
+    top = stated.where("type <> '##number##'").withColumn("rank", rank).where(F.col("rank") <= LANG_WORDS)
+    common: dict[str, set[str]] = {}
+    for r in bounded(top.select("lang", "type"), 10_000 * LANG_WORDS, "the common words"):
+        common.setdefault(r["lang"], set()).add(r["type"])
+
+    types = _summed(stated.unionByName(_types(rows.where("lang IS NULL"), common))).persist()
     totals = types.groupBy("lang").agg(F.sum(_gap("c0", "c1")).alias("n"), F.sum("c1").alias("dots"))
     known = types.join(F.broadcast(totals), "lang").where(_gap("c0", "c1") >= F.col("n") * LEAST_SHARE)
-    known = known.persist()
     n, k, p = _gap("c0", "c1"), F.col("c1"), F.col("dots") / F.col("n")
     core = F.length(F.replace("type", F.lit("."), F.lit("")))
     inner = F.length("type") - core + 1
@@ -186,13 +206,8 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
         models.setdefault(lang, Model())
     for r in bounded(known.where("low > 0 AND low >= up").select("lang", "type"), most, "the types in lower case"):
         models[r["lang"]].lower.add(r["type"])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(_gap("c0", "c1")), "type"))
-    top = known.where("type <> '##number##'").withColumn("rank", rank).where(F.col("rank") <= LANG_WORDS)
-    common: dict[str, set[str]] = {}
-    for r in bounded(top.select("lang", "type"), 10_000 * LANG_WORDS, "the common words"):
-        common.setdefault(r["lang"], set()).add(r["type"])
 
-    pairs = rows.mapInPandas(_count_pairs(models), "lang string, what string, first string, second string, open boolean, n long")
+    pairs = rows.mapInPandas(_count_pairs(models, common), "lang string, what string, first string, second string, open boolean, n long")
     pairs = pairs.groupBy("lang", "what", "first", "second", "open").agg(F.sum("n").alias("both"))
     after = known.select("lang", F.col("type").alias("second"), _gap("c0", "c1").alias("of_second"), "n", "c0", "c1")
     first = known.select("lang", F.col("type").alias("first"), F.col("c1").alias("of_first"))
@@ -216,8 +231,8 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
         m = models[r["lang"]]
         if r["second"] not in m.starters:
             m.collocations.add((r["first"], r["second"]))
-    known.unpersist()
-    pairs.unpersist()
+    for x in (stated, types, pairs):
+        x.unpersist()
     return models, common
 
 
@@ -229,6 +244,11 @@ def language_of(text: str, common: dict[str, set[str]]) -> str | None:
     return best if best is not None and hits[best] else None
 
 
+def placed(lang: str | None, text: str, common: dict[str, set[str]]) -> str:
+    """The language stated for a text, else the one it is told by; texts that tell none are a language of their own, ``""``."""
+    return lang.lower() if isinstance(lang, str) and lang else language_of(text, common) or ""
+
+
 def _pairs_in(s: str) -> list[tuple[int, int, bool]]:
     """``(open, close, is_quote)`` for the outermost matched quotations and brackets of a paragraph."""
     out, k, n = [], 0, len(s)
@@ -374,9 +394,9 @@ def sentence_units(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame
     """``key, start_at, end_at``: offsets of code points from 0, one row per sentence.
 
     Rows with a null key or text give nothing, nor do blank texts. A null or unknown language
-    is told by the learned frequent words; a text in a language that taught nothing is split
-    by its marks alone. Repeated keys give repeated rows; other columns are not looked at. Two
-    passes learn, one splits; only the counts of types are shuffled.
+    is told by the learned frequent words; texts that hold none of these are learned from and
+    split as one language. Repeated keys give repeated rows; other columns are not looked at. Two
+    passes learn, one splits, and texts without a language are placed in each; only the counts of types are shuffled.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("k IS NOT NULL AND text IS NOT NULL")
     rows = spread(rows, "k")
@@ -387,8 +407,7 @@ def sentence_units(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame
         for pdf in batches:
             out = []
             for k, t, lg in zip(pdf["k"], pdf["text"], pdf["lang"]):
-                m = models.get(lg.lower()) if isinstance(lg, str) else None
-                m = m or models.get(language_of(t, common)) or none
+                m = models.get(placed(lg, t, common)) or none
                 out += [(k, a, b) for a, b in split_text(t, m)]
             yield pd.DataFrame(out, columns=["k", "start_at", "end_at"]).astype("int64")
 

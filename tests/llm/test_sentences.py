@@ -55,3 +55,14 @@ def test_language_by_the_whole_text():
     text = "der und die. " * 2000 + "the and of. " * 4000
     assert S.language_of(text, {"de": {"der", "und", "die"}, "en": {"the", "and", "of"}}) == "en"
     assert S.language_of("1 2 3 " * 5000 + "the and", {"de": {"der"}, "en": {"the"}}) == "en"
+
+
+def test_texts_without_a_language_teach(spark):
+    rows = [("en", f"The cat saw {i} dogs. We saw the dogs and the cat. The end came, and the cat ran. ") for i in range(60)]
+    bare = [(None, f"The dog met approx. {i} cats and Dr. Zed{i} saw the cat. We saw the cat and the dog. ") for i in range(60)] + [("", "We met Dr. No.")]
+    models, common = S.learn(spark.createDataFrame(rows + bare, "lang string, text string"))
+    assert {"approx", "dr"} <= models["en"].abbreviations and set(common) == {"en"} == set(models)
+    df = spark.createDataFrame([(i, None, t) for i, (_, t) in enumerate(bare)], "k long, lang string, text string")
+    assert "approx" in S.learn(df.select("lang", "text"))[0][""].abbreviations
+    got = [(r.start_at, r.end_at) for r in S.sentence_units(df, "k", "text", "lang").where("k = 5").orderBy("start_at").collect()]
+    assert [bare[5][1][a:b] for a, b in got] == ["The dog met approx. 5 cats and Dr. Zed5 saw the cat.", "We saw the cat and the dog."]
