@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from inkwell.session import bounded, spread
 
-#: A type must make up this share of its language's tokens to enter the model, which so has
-#: at most 1 / LEAST_SHARE types in a language, whatever the size of the corpus.
-LEAST_SHARE = 2e-6
 ABBREV_LEVEL, COLLOC_LEVEL, STARTER_LEVEL = 0.3, 7.88, 30.0
 FINAL_SHARE, ENDER_SHARE = 0.93, 0.5
 LANG_WORDS = 60  # the most frequent types of a language, to tell the language of texts that don't state it
@@ -36,6 +33,7 @@ ATTRIBUTES = ("と", "って", "问", "說", "说", "答", "写道", "写", "喊
 _BREAK = r"(?:\r\n|\n|\r(?!\n))"
 _PARA = re.compile(rf"{_BREAK}[^\S\r\n]*{_BREAK}\s*")
 _WORD = re.compile(r"\S+")
+_CLOSE = "".join(CLOSERS)
 _STRIP = "“”«»„‘’'\"()[]{}「」『』（），,;:¿¡—–-…"
 _NUMBER = re.compile(r"^[\d.,]*\d[\d.,]*%?$")
 _THAI = re.compile("[฀-๿]")
@@ -67,7 +65,7 @@ class Model:
     abbreviations: set[str] = field(default_factory=set)
     collocations: set[tuple[str, str]] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
-    lower: set[str] = field(default_factory=set)  # types met in lower case
+    lower: set[str] = field(default_factory=set)  # types met in lower case, of those that follow a period that may not end
     enders: set[str] = field(default_factory=set)  # abbreviations after which a capital mostly is a sentence starter's
 
     def ends(self, left: str, right: str) -> bool:
@@ -80,9 +78,9 @@ class Model:
         initial = len(w) == 1 and w.isalpha()
         if not nxt:
             return not (w in self.abbreviations or initial) or right[:1] in "“«„¿¡「\"("
-        kind = "##number##" if number else w
+        kind = _key(w)
         known = kind in self.abbreviations or initial and not (w.isascii() is False and not w.isupper() and w not in self.abbreviations and not left[:1].isupper())
-        n = re.sub(r"[^\w'’-].*$", "", nxt).lower()
+        n = _first_word(nxt)
         if (kind, n) in self.collocations:
             return False
         if number and "##number##" not in self.abbreviations:
@@ -117,6 +115,27 @@ def _association(both, first, second, total):
     return F.when(p1 > p2, -2 * ratio).otherwise(F.lit(0.0))
 
 
+def _asked(para: str, m: Model):
+    """The types that splitting may look up in ``lower``: those after an ellipsis or a period of a candidate, as it reads them."""
+    left = ""
+    for t in _WORD.finditer(para):
+        end = left.rstrip(_CLOSE)
+        if end.endswith((".", "…")):
+            w = end.strip(_STRIP).rstrip(".").lower()
+            if end[-2:-1] in ("", ".", "…") or end[-1] == "…" or len(w) == 1 and w.isalpha() or (_key(w) in m.abbreviations):
+                yield _first_word(t.group()[:60])
+                yield _first_word(para[t.start() : t.start() + 60])
+        left = t.group()
+
+
+def _key(w: str) -> str:
+    return "##number##" if _NUMBER.match(w) else w
+
+
+def _first_word(s: str) -> str:
+    return re.sub(r"[^\w'’-].*$", "", s.lstrip(_STRIP)).lower()
+
+
 def _count_types(common):
     def run(batches):
         for pdf in batches:
@@ -156,6 +175,8 @@ def _count_pairs(models, common):
                 if m is None:
                     continue
                 for para in _PARA.split(text):
+                    for kind in _asked(para, m):
+                        n[(lang, "asked", "", kind, False)] += 1
                     before = None
                     for kind, dot, case, _, hard in words(para):
                         if before is not None and (case >= 0 or before[0] == "pair"):
@@ -176,7 +197,8 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
 
     All texts count. The frequent words are those of texts that state their language; the
     others are placed by them, see ``placed``. The counts are added up before the shuffle and
-    after it; the driver gets only types that pass the ratios and ``LEAST_SHARE``.
+    after it, and no type is left out for being rare; the driver gets only types that pass the
+    ratios, and types in lower case that splitting asks for, see ``_asked``.
     """
     rows = texts.select(F.nullif(F.lower("lang"), F.lit("")).alias("lang"), "text").where("text IS NOT NULL")
     stated = _types(rows.where("lang IS NOT NULL"), {}).persist()
@@ -188,7 +210,7 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
 
     types = _summed(stated.unionByName(_types(rows.where("lang IS NULL"), common))).persist()
     totals = types.groupBy("lang").agg(F.sum(_gap("c0", "c1")).alias("n"), F.sum("c1").alias("dots"))
-    known = types.join(F.broadcast(totals), "lang").where(_gap("c0", "c1") >= F.col("n") * LEAST_SHARE)
+    known = types.join(F.broadcast(totals), "lang")
     n, k, p = _gap("c0", "c1"), F.col("c1"), F.col("dots") / F.col("n")
     core = F.length(F.replace("type", F.lit("."), F.lit("")))
     inner = F.length("type") - core + 1
@@ -204,14 +226,15 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
         models.setdefault(r["lang"], Model()).abbreviations.add(r["type"])
     for lang in totals_of:
         models.setdefault(lang, Model())
-    for r in bounded(known.where("low > 0 AND low >= up").select("lang", "type"), most, "the types in lower case"):
-        models[r["lang"]].lower.add(r["type"])
 
     pairs = rows.mapInPandas(_count_pairs(models, common), "lang string, what string, first string, second string, open boolean, n long")
     pairs = pairs.groupBy("lang", "what", "first", "second", "open").agg(F.sum("n").alias("both"))
     after = known.select("lang", F.col("type").alias("second"), _gap("c0", "c1").alias("of_second"), "n", "c0", "c1")
     first = known.select("lang", F.col("type").alias("first"), F.col("c1").alias("of_first"))
     pairs = pairs.persist()
+    asked = pairs.where("what = 'asked'").select("lang", F.col("second").alias("type"))
+    for r in bounded(asked.join(known.where("low > 0 AND low >= up").select("lang", "type"), ["lang", "type"]), most, "the types in lower case"):
+        models[r["lang"]].lower.add(r["type"])
     starts = pairs.where("what = 'start'").groupBy("lang").agg(F.sum("both").alias("breaks"))
     s = pairs.where("what = 'start'").groupBy("lang", "second").agg(F.sum("both").alias("both")).join(after, ["lang", "second"]).join(F.broadcast(starts), "lang")
     s = s.where(_association(F.col("both"), F.col("breaks"), F.col("of_second"), F.col("n")) > STARTER_LEVEL)
@@ -356,7 +379,7 @@ def split_paragraph(s: str, model: Model) -> list[tuple[int, int]]:
                 left = s[:k].rstrip()
                 cut = spaced and bool(after) and (after[0].isupper() or after[0] in "¿¡" or after[0] in QUOTES) and bool(left)
                 if cut and not s[k - 1 : k].isspace():
-                    w = re.sub(r"[^\w'’-].*$", "", after.lstrip(_STRIP)).lower()
+                    w = _first_word(after)
                     cut = w in model.starters or w in model.lower or not w or after[0].isupper()
             elif spaced:
                 left = re.search(r"\S*$", s[:k]).group()

@@ -66,3 +66,24 @@ def test_texts_without_a_language_teach(spark):
     assert "approx" in S.learn(df.select("lang", "text"))[0][""].abbreviations
     got = [(r.start_at, r.end_at) for r in S.sentence_units(df, "k", "text", "lang").where("k = 5").orderBy("start_at").collect()]
     assert [bare[5][1][a:b] for a, b in got] == ["The dog met approx. 5 cats and Dr. Zed5 saw the cat.", "We saw the cat and the dog."]
+
+
+def test_rare_abbreviations_of_a_large_corpus(spark):
+    much = "the cat saw the dog and the dog saw a cat that ran on. " * 3000
+    rows = [("en", much)] * 40 + [("en", "We met xq. Ann and xq. Bo at the zo with a ze. "), ("en", "Then zo. Rem came, ze. Rem went, and a rem ran. ")]
+    models, _ = S.learn(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert "xq" in models["en"].abbreviations
+
+
+def test_asks_for_what_splitting_looks_up():
+    class Kept(set):
+        def __contains__(self, x):
+            seen.add(x)
+            return False
+
+    text = "Dr. Silve met J. Rem, etc. The “etc.” And Fig. 7 (etc.) Then ... So? And… “Quoted” one. A... “Two\nlines” No. Im 7. Mai. etc.) Über e.g. D’accord I. *Bold* etc.\nNew"
+    for name in (text, text.replace(" ", "  "), text.replace('“', '"').replace('”', '"')):
+        seen = set()
+        kept = S.Model(M.abbreviations, M.collocations, set(), Kept(), set())
+        S.split_text(name, kept)
+        assert seen and seen <= {w for p in S._PARA.split(name) for w in S._asked(p, kept)}
