@@ -116,6 +116,19 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("block_seq", "block"))
 
 
+def line_starts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, line_no, start_at``: lines from 1 with their offsets from 0, in one pass over each text.
+
+    An Arrow stage: the built-ins have no running sum inside an array that is linear.
+    """
+    f = F.udf(_starts, "array<bigint>", useArrow=True)
+    return docs.select(key, F.posexplode(f(text)).alias("i", "start_at")).select(key, (F.col("i") + 1).alias("line_no"), "start_at")
+
+
+def _starts(text: str | None) -> list[int] | None:
+    return None if text is None else [0, *(m.end() for m in re.finditer("\n", text))]
+
+
 def inconsistencies(blocks: DataFrame, key: str, seq: str, text: str, either: dict[str, str]) -> DataFrame:
     """``key, seq, first_form, second_form``: blocks with a form of a pair of which both were seen so far in the document."""
     out = None

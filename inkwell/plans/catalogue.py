@@ -387,11 +387,13 @@ def paragraph_split(spark, d):
 @query("""WITH l AS (SELECT file_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files WHERE file_format = 'data'))
 SELECT file_id, CAST(i + 1 AS INT) AS line_no, CAST(sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY i) - length(line) - 1 AS BIGINT) AS start_at FROM l""")
 def line_starts(spark, d):
-    """Start offsets are summed inside each document's array of lines, without a window."""
-    x = _read(spark, d, "files").where("file_format = 'data'").select("file_id", F.split("file_content", "\n").alias("x"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    step = lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).cast("long").alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
-    return x.select("file_id", F.posexplode(F.aggregate("x", zero, step)["starts"]).alias("i", "start_at")).select("file_id", (F.col("i") + 1).alias("line_no"), "start_at")
+    return N.line_starts(_read(spark, d, "files").where("file_format = 'data'"), "file_id", "file_content")
+
+
+@query()
+def file_line_starts(spark, d):
+    """``line_starts`` for files of any format."""
+    return N.line_starts(_read(spark, d, "files"), "file_id", "file_content")
 
 
 @query(r"""WITH m AS (SELECT DISTINCT match_text FROM alerts WHERE regexp_matches(match_text, '^[ -~]*$'))
@@ -462,7 +464,19 @@ def file_blocks(spark, d):
     return extract_blocks(files, key="file_id", text="file_content", ext="ext").select("doc_id", "block_seq", "scope", "text", "line", "offset")
 
 
+# Extensions of pages, and of markup that isn't one.
+PAGES = [".html", ".htm", ".xhtml", ".shtml"]
+OTHER_MARKUP = [".md", ".markdown", ".mdown", ".mkd", ".qmd", ".rmd", ".mdx", ".myst", ".rst", ".rest", ".org", ".adoc", ".asciidoc", ".asc", ".wiki", ".mediawiki", ".tex", ".typ", ".xml", ".dita"]
+
+
+def is_page(normed: str, real: str, text: str):
+    """Whether markup is HTML: the first of the extensions that is known says so, else the start of the text."""
+    known = lambda c: F.when(F.lower(c).isin(PAGES), True).when(F.lower(c).isin(OTHER_MARKUP), False)
+    return F.coalesce(known(normed), known(real), F.col(text).rlike(r"(?i)^\uFEFF?\s*(?:<\?xml[^>]*>\s*)?(?:<!--(?s:.*?)-->\s*)*<(?:!doctype\s+html|html|head|body)\b"), F.lit(False))
+
+
 @query()
 def page_tags(spark, d):
+    """Pages are told by ``normed_ext``, else ``real_ext``, else by how the text begins."""
     f = F.udf(tag_counts, T.MapType(T.StringType(), T.IntegerType()), useArrow=True)
-    return _read(spark, d, "files").where("file_format = 'markup' AND normed_ext = '.html'").select("file_id", F.explode(f("file_content")).alias("tag_name", "n"))
+    return _read(spark, d, "files").where(F.col("file_format") == "markup").where(is_page("normed_ext", "real_ext", "file_content")).select("file_id", F.explode(f("file_content")).alias("tag_name", "n"))

@@ -111,3 +111,16 @@ def test_solutions_of_the_tables(spark):
     got = QUERIES["alert_solutions"](spark, AT).collect()
     assert len(got) == alerts.select("alert_id").distinct().count() and {"edit", "replace", "suggest"} <= {r.action_name for r in got}
     assert {len(r.suggestions) for r in got if r.action_name == "suggest"} == {5} and {r.error for r in got if r.action_name == "edit"} == {"invalid number of parameters"}
+
+
+def test_pages_by_extension_or_content(spark):
+    rows = [(".html", None, "x"), (None, ".HTM", "x"), (".zzz", ".html", "x"), (None, None, " <!-- a -->\n<!DOCTYPE html><p>"), (None, ".zzz", "<html lang=en>"), (".md", ".html", "<html>"), (None, ".rst", "<html>"), (None, None, "# a <html>"), (None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, t string")
+    assert [r.p for r in df.select(catalogue.is_page("a", "b", "t").alias("p")).collect()] == [True] * 5 + [False] * 4
+
+
+def test_line_starts_of_any_file(spark):
+    df = spark.createDataFrame([(1, "é\n\nab"), (2, ""), (3, None), (4, "x\n")], "k long, t string")
+    assert sorted(map(tuple, N.line_starts(df, "k", "t").collect())) == [(1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 1, 0), (4, 1, 0), (4, 2, 2)]
+    n = spark.read.parquet(f"{AT}/files.parquet").where("file_content IS NOT NULL").select("file_id").distinct().count()
+    assert QUERIES["file_line_starts"](spark, AT).select("file_id").distinct().count() == n
