@@ -29,7 +29,7 @@ def features(leaves: list[Leaf]) -> list[list[str]]:
     out = []
     for i, x in enumerate(leaves):
         t = x.text.strip()
-        letters = sum(c.isalpha() for c in t[:400]) / max(1, len(t[:400]))
+        letters = sum(c.isalpha() for c in t) / max(1, len(t))
         out.append(
             ["bias", f"tag={x.tags[-1]}", f"pair={x.tags[-2:]}", *(f"in={a}" for a in set(x.tags[1:])), f"len={min(len(t).bit_length(), 8)}"]
             + [f"letters={int(letters * 5)}", f"end={'stop' if t[-1:] in '.!?:。！？' else 'other'}", f"depth={min(x.depth, 3)}", f"first={i == 0}"]

@@ -1,8 +1,8 @@
 import pytest
 
 from inkwell.llm.crf import LinearChainCRF
-from inkwell.llm.leaves import guess_format
-from inkwell.llm.markup import FORMS, block_model, labelled, markup_units, units
+from inkwell.llm.leaves import Leaf, guess_format
+from inkwell.llm.markup import FORMS, block_model, features, labelled, markup_units, units
 
 CASES = {
     "md": "---\ntitle: x\n---\n# A **big** head #\n\nText with `a*b` and $x^2$, 5 \\* 3 &lt; 4.[^1]\n\n- one [link](http://a.b)\n    - two\n\n| a | b |\n|---|---|\n| c | d |\n\n```py\nx = 1\n```\n\n<!-- no -->\n\n[^1]: A note.\n",
@@ -46,3 +46,8 @@ def test_edges(spark):
     assert [tuple(r) for r in got if r.file_id == 4] == [(4, "heading", 1, "a")]
     assert {r.file_id for r in got} == {1, 4, 5} and max(len(r.unit_text) for r in got) == 299_999
     assert markup_units(df.limit(0)).collect() == []
+
+
+def test_letters_of_the_whole_leaf():
+    leaf = Leaf(("doc", "p"), "1 " * 200 + "a" * 4000)
+    assert "letters=4" in features([leaf])[0]
