@@ -10,6 +10,8 @@ its rank among the items of its length.
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +24,7 @@ from inkwell.session import bounded, spread, written
 
 #: The unused share of a container that a combination may have, the combinations that are weighed, and the rounds of the solver.
 WINDOW, MOST_COMBINATIONS, ROUNDS = 0.01, 30_000, 300
+PARTNERS = 6  # the random second lengths that each length is tried with
 
 
 @dataclass
@@ -32,23 +35,21 @@ class Pattern:
     repeats: int
 
 
-def combinations(sizes: np.ndarray, capacity: int, window: int, most: int = MOST_COMBINATIONS) -> list[dict[int, int]]:
-    """Sets of up to four items, of at most three lengths, that fill the capacity to within the window."""
+def combinations(sizes: np.ndarray, capacity: int, window: int, most: int = MOST_COMBINATIONS, counts: np.ndarray | None = None) -> list[dict[int, int]]:
+    """Sets of up to four items, of at most three lengths, that fill the capacity to within the window.
+
+    Where there are more than ``most``, each length leads one before any leads more; the others
+    go to the lengths by their ``counts``, so that no part of the histogram is passed over.
+    """
     have = np.zeros(capacity + 1, bool)
     have[sizes] = True
     under = np.maximum.accumulate(np.where(have, np.arange(capacity + 1), -1))  # the largest length not above
     out: dict[tuple, dict[int, int]] = {}
+    r = np.random.default_rng(5)
 
-    def add(*parts: int) -> None:
-        c: dict[int, int] = {}
-        for p in parts:
-            c[p] = c.get(p, 0) + 1
-        out.setdefault(tuple(sorted(c.items())), c)
-
-    for a in sizes[::-1]:
-        a = int(a)
+    def led_by(a: int):
         if capacity - a <= window:
-            add(a)
+            yield (a,)
         for times in (1, 2, 3):
             left = capacity - times * a
             if left <= 0:
@@ -57,20 +58,25 @@ def combinations(sizes: np.ndarray, capacity: int, window: int, most: int = MOST
             for _ in range(4):
                 if b <= 0 or left - b > window:
                     break
-                add(*[a] * times, b)
+                yield (*[a] * times, b)
                 b = int(under[b - 1])
-        if len(out) > most:
-            break
-    r = np.random.default_rng(5)
-    for a in sizes[::-1]:
-        a = int(a)
-        if len(out) >= most:
-            break
-        for b in r.choice(sizes, min(6, len(sizes)), replace=False):
+        for b in r.choice(sizes, min(PARTNERS, len(sizes)), replace=False):
             left = capacity - a - int(b)
             if left > 0 and (c := int(under[left])) > 0 and left - c <= window:
-                add(a, int(b), c)
-    return list(out.values())[:most]
+                yield (a, int(b), c)
+
+    weights = np.ones(len(sizes)) if counts is None else counts
+    turns = [(0.0, -float(n), -int(a), 0, led_by(int(a))) for a, n in zip(sizes, weights)]
+    heapq.heapify(turns)
+    while turns and len(out) < most:
+        _, n, a, taken, more = heapq.heappop(turns)
+        for parts in more:
+            c = dict(Counter(parts))
+            if (key := tuple(sorted(c.items()))) not in out:
+                out[key] = c
+                heapq.heappush(turns, ((taken + 1) / -n, n, a, taken + 1, more))
+                break
+    return list(out.values())
 
 
 def solve(combos: list[dict[int, int]], histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -98,7 +104,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
         left[s] = n
     sizes = np.flatnonzero(left)
     out: list[Pattern] = []
-    if len(sizes) and (combos := combinations(sizes, capacity, max(1, int(capacity * WINDOW)))):
+    if len(sizes) and (combos := combinations(sizes, capacity, max(1, int(capacity * WINDOW)), counts=left[sizes])):
         x = solve(combos, left)
         for j in np.argsort(-x, kind="stable"):
             times = min([int(round(x[j])), *(int(left[s]) // m for s, m in combos[j].items())])

@@ -123,3 +123,17 @@ def test_repeated_rows_and_nothing(spark):
     got = Q.text_statistics(docs, words).collect()
     assert len(got) == 1 and got[0].n_chars == len(PROSE)
     assert Q.text_statistics(docs.limit(0), words).collect() == []
+
+
+def test_combinations_are_shared_by_all_lengths():
+    import numpy as np
+
+    from inkwell.llm.packing import MOST_COMBINATIONS, combinations
+
+    sizes = np.arange(1, 8193)
+    got = combinations(sizes, 8192, 81, counts=np.ones(8192))
+    assert len(got) == MOST_COMBINATIONS == len({tuple(sorted(c.items())) for c in got})
+    assert all(8192 - 81 <= sum(s * n for s, n in c.items()) <= 8192 for c in got)
+    led = np.bincount([int(max(c, key=lambda s: s * c[s])) * 8 // 8193 for c in got], minlength=8)
+    used = {s for c in got for s in c}
+    assert len(used) > 8000 and led[2:].min() > 0 and any(len(c) == 3 for c in combinations(sizes[::8], 8192, 81))
