@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-# The forms of words that are never checked.
-SKIPPED = (re.compile(r"[A-Z]{1}[a-z]+[A-Z]+\w+"), re.compile(r"[^a-zA-Z_']"), re.compile(r"[0-9]"), re.compile(r"[A-Z]$"))
+# Patterns of the words that are never checked.
+SKIPPED = (re.compile(r"[A-Z]{1}[a-z]+[A-Z]+\w+"), re.compile(r"[A-Z]+$"), re.compile(r"[^a-zA-Z_']"))
 _NUMBER, _HEX, _BINARY, _HASH = (re.compile(p) for p in (r"^[-+]?\d[\d,.]*$", r"^0[xX][0-9a-fA-F]+$", r"^0[bB][01]+$", r"^[0-9a-fA-F]{40}$"))
 _UNIT = re.compile(r"^\d+(?:\.\d+)?([A-Za-zµ]+)$")
 

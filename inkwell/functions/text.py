@@ -252,13 +252,18 @@ def metrics_of(text: str) -> dict[str, float]:
     }
 
 
+_ENDS = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s+[^\sa-zß-ÿ])|[.!?…]+[\"'”’»)\]]*\s*$|[。！？]+[」』”]*|\n\s*\n")
+_SHORT = re.compile(r"[\"'(]*(?:[A-Z]|Mr|Mrs|Ms|Dr|Prof|St|vs|etc|e\.g|i\.e|No|Fig|al|cf|approx)")
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Places of sentences by closing marks before a space and a capital; known short forms don't end one."""
     out, at = [], 0
-    for m in re.finditer(r"[.!?…]+[\"'”’»)\]]*(?=\s+[^\sa-zß-ÿ])|[.!?…]+[\"'”’»)\]]*\s*$|[。！？]+[」』”]*|\n\s*\n", text):
-        left = text[at : m.start()].rsplit(None, 1)[-1:] or [""]
-        if m.group().startswith(".") and len(m.group().rstrip("\"'”’»)] \n")) == 1 and (re.fullmatch(r"[\"'(]*(?:[A-Z]|Mr|Mrs|Ms|Dr|Prof|St|vs|etc|e\.g|i\.e|No|Fig|al|cf|approx)", left[0])):
-            continue
+    for m in _ENDS.finditer(text):
+        if m.group().rstrip("\"'”’»)] \n") == ".":
+            left = text[max(at, m.start() - 12) : m.start()].rsplit(None, 1)[-1:] or [""]  # no short form is longer
+            if _SHORT.fullmatch(left[0]):
+                continue
         out.append((at, m.end()))
         at = m.end()
     if at < len(text):

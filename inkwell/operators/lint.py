@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,35 +29,45 @@ class Controls:
     """
 
     def __init__(self, text: str, word: str):
-        self.events: list[tuple[int, str, str]] = []
-        rx = re.compile(rf"(?:<!--|\{{/\*|#|//|%|\.\.)\s*{re.escape(word)}\s+(off|on|styles?\s*=\s*[^\n>]+?|[A-Za-z][\w.]*(?:\[[^\]]*\])?\s*=\s*\w+)\s*(?:-->|\*/\}}|$)", re.M)
-        for m in rx.finditer(text):
+        rx = re.compile(rf"(?:<!--|\{{/\*|/\*|#|//|--|;|%|\.\.)[ \t]*{re.escape(word)}[ \t]+(off|on|styles?[ \t]*=[ \t]*[^\n>]+?|[A-Za-z][\w.]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*\w+)[ \t]*(?:-->|\*/\}}?|$)", re.M)
+        # one timeline of settings for each thing that can be set, so that a place is looked up by bisection
+        self.lines: dict[tuple, tuple[list[int], list]] = {}
+        for m in rx.finditer(text) if word in text else ():
             key, _, value = m.group(1).partition("=")
-            self.events.append((m.start(), key.strip(), value.strip()))
-
-    def allows(self, rule: Rule, at: int, match: str) -> bool:
-        off, styles, rules, matches, only = False, {}, {}, {}, None
-        for pos, key, value in self.events:
-            if pos > at:
-                break
+            key, value = key.strip(), value.strip()
             on = value.upper() in ("YES", "ON", "TRUE")
             if key in ("off", "on"):
-                off = key == "off"
+                self._set(("off",), m.start(), key == "off")
             elif key in ("style", "styles"):
-                only = {v.strip() for v in value.split(",")}
+                self._set(("only",), m.start(), frozenset(v.strip() for v in value.split(",")))
             elif "[" in key:
                 name, _, body = key.partition("[")
                 for x in re.findall(r"[\"']([^\"']*)[\"']", body):
-                    matches[(name.strip(), x)] = on
-            elif "." in key:
-                rules[key] = on
+                    self._set(("match", name.strip(), x), m.start(), on)
             else:
-                styles[key] = on
-        if off or only is not None and rule.style not in only:
+                self._set(("rule" if "." in key else "style", key), m.start(), on)
+
+    def _set(self, key: tuple, at: int, value) -> None:
+        places, values = self.lines.setdefault(key, ([], []))
+        places.append(at)
+        values.append(value)
+
+    def _at(self, key: tuple, at: int, default):
+        if key not in self.lines:
+            return default
+        places, values = self.lines[key]
+        i = bisect_right(places, at) - 1
+        return values[i] if i >= 0 else default
+
+    def allows(self, rule: Rule, at: int, match: str) -> bool:
+        if not self.lines:
+            return True
+        only = self._at(("only",), at, None)
+        if self._at(("off",), at, False) or only is not None and rule.style not in only:
             return False
-        if not rules.get(rule.name, styles.get(rule.style, True)):
+        if not self._at(("rule", rule.name), at, self._at(("style", rule.style), at, True)):
             return False
-        return matches.get((rule.name, match), True)
+        return self._at(("match", rule.name, match), at, True)
 
 
 def lint_document(text: str | None, ext: str | None, path: str, program: Program, run: list[Rule] | None = None) -> list[tuple]:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import ast
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from inkwell.functions.spell import Dictionary, checked
-from inkwell.functions.tagger import AUX_WORDS, UPOS, tag
+from inkwell.functions.tagger import tag, universal
 from inkwell.functions.text import metrics_of, recase, sentence_case, syllables, title_case
 from inkwell.plans.config import Config
 from inkwell.plans.rules import Rule, RuleError, compiled, in_scope, literals, longest_first, message, options, portable, to_sentence, words_pattern
@@ -51,17 +52,20 @@ def exceptions(rule: Rule, cfg: Config) -> re.Pattern | None:
     return compiled(("" if rule.params.get("matchcase") else "(?i)") + r"\b(?:" + "|".join(longest_first(parts)) + r")\b")
 
 
-def phrase_spans(text: str, cfg: Config, lower: str) -> list[tuple[int, int]]:
-    """Places of accepted phrases of several words, in which nothing is reported."""
-    out = []
-    for p in cfg.accept:
-        if re.search(r"\w\s+\w", p):
-            out += [m.span() for m in re.finditer(rf"\b(?:{portable(p)})\b", text, re.I)]
-    return out
+def _phrases(cfg: Config) -> re.Pattern | None:
+    """One expression for the accepted phrases of several words, in which nothing is reported."""
+    many = [p for p in cfg.accept if re.search(r"\w(?:\s|\\s[+*]?)+\w", p)]
+    return compiled("(?i)\\b(?:" + "|".join(longest_first(many)) + ")\\b") if many else None
+
+
+def phrase_spans(text: str, phrases: re.Pattern | None) -> list[tuple[int, int]]:
+    """Places of accepted phrases in order; they don't overlap."""
+    return [m.span() for m in phrases.finditer(text)] if phrases else []
 
 
 def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x <= a and b <= y for x, y in spans)
+    i = bisect_right(spans, (a, 1 << 62)) - 1
+    return i >= 0 and b <= spans[i][1]
 
 
 def _cheap(parts: list[str] | None, plain: bool) -> Callable[[str], bool]:
@@ -78,11 +82,12 @@ def existence(rule: Rule, cfg: Config) -> Runner:
     raw = "".join(p.get("raw") or ())
     rx = compiled(words_pattern(tokens, bool(p.get("nonword")) or not tokens, bool(p.get("ignorecase")), raw, bool(p.get("append")), cfg.word_template))
     skip, may = exceptions(rule, cfg), _cheap(tokens, bool(raw))
+    phrases = _phrases(cfg) if p.get("vocab", True) else None
 
     def run(text: str, state: State) -> list[Hit]:
         if not may(text.lower()):
             return []
-        spans = phrase_spans(text, cfg, "") if rule.params.get("vocab", True) else []
+        spans = phrase_spans(text, phrases)
         return [
             Hit(m.start(), m.end(), m.group(), (m.group(),)) for m in rx.finditer(text)
             if m.group().strip() and not (skip and skip.search(m.group())) and not _inside(spans, *m.span())
@@ -100,11 +105,12 @@ def substitution(rule: Rule, cfg: Config) -> Runner:
     rx = compiled(words_pattern([f"({k})" for k in flat], bool(p.get("nonword")), ignore, template=cfg.word_template))
     own = [compiled(("(?i)" if ignore else "") + k) for k in keys]
     skip, may = exceptions(rule, cfg), _cheap(keys, False)
+    phrases = _phrases(cfg) if p.get("vocab", True) else None
 
     def run(text: str, state: State) -> list[Hit]:
         if not may(text.lower()):
             return []
-        spans = phrase_spans(text, cfg, "") if p.get("vocab", True) else []
+        spans = phrase_spans(text, phrases)
         out = []
         for m in rx.finditer(text):
             got = m.group()
@@ -349,12 +355,13 @@ def spelling(rule: Rule, cfg: Config) -> Runner:
     dic = p.get("dictionary") or Dictionary(set())
     ignore = {w.lower() for w in p.get("ignore_words") or ()}
     filters = [compiled(f) for f in p.get("filters") or ()]
+    phrases = _phrases(cfg)
     accept = compiled("(?i)" + "|".join(rf"\b(?:{t})\b" for t in cfg.accept)) if cfg.accept else None
 
     def run(text: str, state: State) -> list[Hit]:
         shown = text
-        for a, b in phrase_spans(text, cfg, ""):
-            shown = shown[:a] + "*" * (b - a) + shown[b:]
+        if phrases:
+            shown = phrases.sub(lambda m: "*" * len(m.group()), text)
         out = []
         for m in _TOKEN.finditer(shown):
             w = dic.convert(m.group())
@@ -375,8 +382,10 @@ def sequence(rule: Rule, cfg: Config) -> Runner:
         if t.get("tag"):
             test["tag"] = re.compile(t["tag"])
         if t.get("upos"):
-            test["tag"] = re.compile(rf"^(?:{UPOS[t['upos']]})$")
-            test["words"] = AUX_WORDS if t["upos"] == "AUX" else None
+            try:
+                test["tag"], test["words"] = universal(t["upos"])
+            except ValueError as e:
+                raise RuleError(f"{rule.name}: {e}") from e
         if t.get("pattern"):
             test["pattern"] = re.compile(rf"^(?:{portable(t['pattern'])})$", fold)
         bare = not (test["tag"] or test["pattern"])

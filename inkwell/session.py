@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def local_session(app: str = "inkwell", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -30,12 +31,16 @@ def local_session(app: str = "inkwell", cores: str = "*", partitions: int = 8) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made, and removed when Python ends.
+    It is read from ``spark.checkpoint.dir``. Only in local mode, where there is one machine,
+    a temporary folder stands in for it, and is removed when Python ends; on a cluster a missing
+    setting is an error, as each executor would write to a disk that the others can't read.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _MADE:
         _MADE.append(tempfile.mkdtemp(prefix="inkwell-"))
         atexit.register(shutil.rmtree, _MADE[0], ignore_errors=True)
@@ -47,40 +52,48 @@ def written(df: DataFrame) -> DataFrame:
 
     This cuts the lineage and gives the planner true sizes; it survives the loss of
     executors, as the files aren't on their disks. Use it where a result is read more
-    than once. The files are removed when Python ends.
+    than once. The files are removed by ``release``, at the latest when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before us
-        pass
+def release(*tables: DataFrame) -> None:
+    """Removes what ``written`` wrote: the given tables, or all of them.
+
+    A long session calls it once a result that reads such tables is consumed.
+    """
+    for path in [t._written for t in tables] or list(_WRITTEN):
+        if (spark := _WRITTEN.pop(path, None)) is None:
+            continue
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before us
+            pass
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over all cores, for a Python stage over tables smaller than the cluster.
 
-    Judged by the plan's own estimate and the number of files, without running anything: a
-    table that is read in as many tasks as there are cores, or more, is left as it is, so this
-    never shuffles large data.
+    Judged by the plan's own estimate of the size alone, without running or listing anything: a
+    table that fills a read of full size on every core is left as it is, so no more than
+    ``spark.sql.files.maxPartitionBytes`` a core is ever shuffled.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     if df.isStreaming:
         return df
+    cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if max(size / most, len(df.inputFiles())) >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df if size >= cores * most else df.repartition(cores, key)
 
 
 def bounded(df: DataFrame, most: int, what: str) -> list:

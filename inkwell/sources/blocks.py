@@ -10,7 +10,6 @@ import html
 import json
 import re
 from bisect import bisect_right
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -38,41 +37,72 @@ INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd
 SCOPE_TAGS = {"th": "table.header", "td": "table.cell", "li": "list", "blockquote": "blockquote", "caption": "table.caption", "figcaption": "figure.caption"}
 
 
-@dataclass
 class Block:
-    scope: str
-    text: str = ""
-    runs: list[tuple[int, int, int]] = field(default_factory=list)
-    split: bool = False
+    """A scoped piece of text made of pieces of the source; appending and finding places stay linear in its length."""
 
-    def add(self, text: str, src: int) -> None:
+    __slots__ = ("scope", "split", "runs", "_pieces", "_size", "_starts")
+
+    def __init__(self, scope: str, text: str = "", runs: list[tuple[int, int, int]] | None = None, split: bool = False):
+        self.scope, self.split = scope, split
+        self.runs: list[tuple[int, int, int]] = runs if runs is not None else []
+        self._pieces, self._size = [text] if text else [], len(text)
+        self._starts: list[int] | None = None
+
+    def __len__(self) -> int:
+        return self._size
+
+    @property
+    def text(self) -> str:
+        if len(self._pieces) > 1:
+            self._pieces = ["".join(self._pieces)]
+        return self._pieces[0] if self._pieces else ""
+
+    def add(self, text: str, src: int, n: int | None = None) -> None:
+        """Appends text that stands for ``n`` characters of the source at ``src``, by default its own length."""
         if not text:
             return
-        if self.runs and self.runs[-1][1] + self.runs[-1][2] == src and self.runs[-1][0] + self.runs[-1][2] == len(self.text):
-            at, s, n = self.runs[-1]
-            self.runs[-1] = (at, s, n + len(text))
+        n = len(text) if n is None else n
+        if self.runs and n == len(text) and self.runs[-1][1] + self.runs[-1][2] == src and self.runs[-1][0] + self.runs[-1][2] == self._size:
+            at, s, k = self.runs[-1]
+            self.runs[-1] = (at, s, k + n)
         else:
-            self.runs.append((len(self.text), src, len(text)))
-        self.text += text
+            self.runs.append((self._size, src, min(n, len(text))))
+        self._pieces.append(text)
+        self._size += len(text)
+        self._starts = None
+
+    def join(self, other: Block, gap: str = "") -> None:
+        """Appends another block after a gap that has no place."""
+        at = self._size + len(gap)
+        self.runs += [(at + a, s, n) for a, s, n in other.runs]
+        self._pieces += [x for x in (gap, other.text) if x]
+        self._size = at + len(other)
+        self._starts = None
+
+    def _run(self, at: int) -> int:
+        if self._starts is None or len(self._starts) != len(self.runs):
+            self._starts = [r[0] for r in self.runs]
+        return bisect_right(self._starts, at) - 1
 
     def source(self, at: int) -> int:
         """The source offset of an offset in the text; -1 where the block has no place."""
-        i = bisect_right([r[0] for r in self.runs], at) - 1
+        i = self._run(at)
         if i < 0:
             return -1
         a, s, n = self.runs[i]
         return s + min(at - a, n)
 
     def trimmed(self) -> Block | None:
-        lead = len(self.text) - len(self.text.lstrip())
         body = self.text.strip()
         if not body:
             return None
-        return self.part(lead, lead + len(body), self.scope)
+        lead = len(self.text) - len(self.text.lstrip())
+        return self if len(body) == len(self) else self.part(lead, lead + len(body), self.scope)
 
     def part(self, a: int, b: int, scope: str) -> Block:
+        """The text from ``a`` to ``b`` with the runs that touch it, found from both ends."""
         runs = []
-        for at, s, n in self.runs:
+        for at, s, n in self.runs[max(0, self._run(a)) : self._run(b - 1) + 1]:
             x, y = max(at, a), min(at + n, b)
             if x < y:
                 runs.append((x - a, s + x - at, y - x))
@@ -134,10 +164,7 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
         mask = bool(set(seen[-1:]) & set(cfg.ignored_scopes)) or any(t in cfg.ignored_scopes for t in inline)
         for m in _ENTITY.finditer(text, a, b):
             now.add("*" * (m.start() - at) if mask else text[at : m.start()], base + at)
-            if now.text or not text[m.start() : m.end()].isspace():
-                piece = html.unescape(m.group())
-                now.runs.append((len(now.text), base + m.start(), len(piece)))
-                now.text += piece
+            now.add(html.unescape(m.group()), base + m.start(), len(m.group()))
             at = m.end()
         now.add("*" * (b - at) if mask else text[at:b], base + at)
 
@@ -175,8 +202,7 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
                 where = text.find(attrs["alt"], m.start())
                 out.append(Block(f"text.attr.alt{ext}", attrs["alt"], [(0, base + where, len(attrs["alt"]))]))
             elif tag == "br":
-                now.runs.append((len(now.text), base + m.start(), 1))
-                now.text += " "
+                now.add(" ", base + m.start(), len(m.group()))
             elif shut and tag in inline:
                 inline.remove(tag)
             elif not shut:
@@ -217,9 +243,7 @@ def _md_inline(b: Block, text: str, base: int) -> None:
         elif m.group("label") is not None:
             _md_inline(b, m.group("label"), base + m.start("label"))
         elif m.group("ent"):
-            piece = html.unescape(m.group())
-            b.runs.append((len(b.text), base + m.start(), len(piece)))
-            b.text += piece
+            b.add(html.unescape(m.group()), base + m.start(), len(m.group()))
     b.add(text[at:], base + at)
 
 
@@ -343,10 +367,7 @@ def code_blocks(text: str, ext: str) -> list[Block]:
             b.add(body + ("\n" if k < raw.count("\n") else ""), at + lead)
             at += len(part) + 1
         if not block and last == (line - 1, col) and out and out[-1].scope == b.scope:
-            out[-1].text += "\n"
-            for a, s, k in b.runs:
-                out[-1].runs.append((len(out[-1].text) + a, s, k))
-            out[-1].text += b.text
+            out[-1].join(b, "\n")
         elif b.text.strip():
             out.append(b)
         last = None if block else (line, col)
@@ -430,11 +451,9 @@ def document_blocks(text: str | None, ext: str | None, cfg: Config, nested: bool
     if kind in ("md", "html", "org"):
         prose = [b for b in top if not any(k in b.scope for k in (".heading", ".table", ".attr", ".frontmatter"))]
         s = Block(f"summary{ext}")
-        for b in prose:
-            for a, src, n in b.runs:
-                s.runs.append((len(s.text) + a, src, n))
-            s.text += b.text + "\n\n"
-        if s.text:
+        for i, b in enumerate(prose):
+            s.join(b, "\n\n" if i else "")
+        if len(s):
             out.append(s)
     return out
 
