@@ -3,20 +3,22 @@
 Method: abbreviations, collocations and sentence starters are learned per language without
 supervision, by log-likelihood ratios over the counts of all texts; each period is then
 classified with these statistics. Quotations, brackets, and scripts with their own marks or
-none are handled around that.
+none are handled around that. Every step is linear in the length of a text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import bounded, spread
+from inkwell.session import bounded, release, spread, written
 
 ABBREV_LEVEL, COLLOC_LEVEL, STARTER_LEVEL = 0.3, 7.88, 30.0
 FINAL_SHARE, ENDER_SHARE = 0.93, 0.5
@@ -30,6 +32,12 @@ CLOSERS = set("”»“」』›\")]）】’'")
 # Words that attribute a quotation, for scripts without case.
 ATTRIBUTES = ("と", "って", "问", "說", "说", "答", "写道", "写", "喊", "पूछा", "कहा", "लिखा", "قال", "سأل", "كتب")
 
+_OPENED_BY: dict[str, list[str]] = {}
+for _o, _cs in (QUOTES | BRACKETS).items():
+    for _c in _cs:
+        if _o != '"':
+            _OPENED_BY.setdefault(_c, []).append(_o)
+
 _BREAK = r"(?:\r\n|\n|\r(?!\n))"
 _PARA = re.compile(rf"{_BREAK}[^\S\r\n]*{_BREAK}\s*")
 _WORD = re.compile(r"\S+")
@@ -39,23 +47,53 @@ _NUMBER = re.compile(r"^[\d.,]*\d[\d.,]*%?$")
 _THAI = re.compile("[฀-๿]")
 
 
+WIDE_TYPE = 40  # a longer type is known by its 128-bit hash, which keeps it distinct and its row short
+_MEMO = 400_000  # tokens whose reading a worker remembers
+
+
+def _read(raw: str) -> tuple[str | None, bool, int, bool, bool]:
+    """``(type, has a period, case, ends hard, ends a sentence as far as it shows)`` of a token; case is 1 upper, -1 lower, 0 none."""
+    core = raw.strip(_STRIP)
+    while core and core[-1] in HARD:
+        core = core[:-1].rstrip(_STRIP)
+    hard = any(c in HARD for c in raw[-3:])
+    base = core.rstrip(".")
+    if not base:
+        return None, False, 0, hard, hard
+    dots = len(core) - len(base)
+    return _key(base.lower()), dots == 1, base[:1].isupper() - base[:1].islower(), hard, hard or dots > 0 or raw[-1] == ":"
+
+
+class _Tokens(dict):
+    """Tokens as ``_read`` reads them, each once; text repeats its tokens, so most are looked up."""
+
+    def __missing__(self, raw: str):
+        if len(self) >= _MEMO:
+            self.clear()
+        got = _read(raw)
+        if len(raw) <= 4 * WIDE_TYPE:
+            self[raw] = got
+        return got
+
+
+_TOKENS = _Tokens()
+
+
 def words(text: str):
-    """``(type, has_period, case, begins, ends_hard)`` for each token of a paragraph; case is 1 upper, -1 lower, 0 none."""
+    """``(type, has a period, case, begins a sentence, ends hard)`` for each token of a paragraph."""
     fresh = True
-    for m in _WORD.finditer(text):
-        raw = m.group()
-        core = raw.strip(_STRIP)
-        while core and core[-1] in HARD:
-            core = core[:-1].rstrip(_STRIP)
-        hard = any(c in HARD for c in raw[-3:])
-        dots = len(core) - len(core.rstrip("."))
-        base = core.rstrip(".")
-        if not base:
+    for kind, dot, case, hard, ends in map(_TOKENS.__getitem__, text.split()):
+        if kind is None:
             fresh = fresh or hard
-            continue
-        kind = "##number##" if _NUMBER.match(base) else base.lower()
-        yield kind, dots == 1, base[:1].isupper() - base[:1].islower(), fresh, hard
-        fresh = hard or dots > 0 or raw[-1] in ":"
+        else:
+            yield kind, dot, case, fresh, hard
+            fresh = ends
+
+
+def _key(w: str) -> str:
+    if _NUMBER.match(w):
+        return "##number##"
+    return w if len(w) <= WIDE_TYPE else "##" + xxhash.xxh3_128_hexdigest(w)
 
 
 @dataclass
@@ -69,33 +107,28 @@ class Model:
     enders: set[str] = field(default_factory=set)  # abbreviations after which a capital mostly is a sentence starter's
 
     def ends(self, left: str, right: str) -> bool:
-        """Whether the period after ``left`` ends a sentence when ``right`` comes next."""
-        w = left.strip(_STRIP).rstrip(".").lower()
-        nxt = right.lstrip(_STRIP)
-        if not w:
+        """Whether the period after ``left`` ends a sentence when the token ``right`` comes next."""
+        kind = _TOKENS[left][0]
+        if kind is None:
             return True
-        number = bool(_NUMBER.match(w))
-        initial = len(w) == 1 and w.isalpha()
+        nxt = right.lstrip(_STRIP)
+        w = left.strip(_STRIP).rstrip(".")
+        initial = len(w) == 1 and w.isalpha() and (w.isascii() or w.isupper() or kind in self.abbreviations)
+        known = kind in self.abbreviations or initial
         if not nxt:
-            return not (w in self.abbreviations or initial) or right[:1] in "“«„¿¡「\"("
-        kind = _key(w)
-        known = kind in self.abbreviations or initial and not (w.isascii() is False and not w.isupper() and w not in self.abbreviations and not left[:1].isupper())
-        n = _first_word(nxt)
+            return not (kind in self.abbreviations or len(w) == 1 and w.isalpha()) or right[:1] in "“«„¿¡「\"("
+        n = _TOKENS[right][0] or ""
         if (kind, n) in self.collocations:
             return False
-        if number and "##number##" not in self.abbreviations:
+        if kind == "##number##" and kind not in self.abbreviations:
             return not nxt[0].islower()
-        if not known:
-            return True
-        if right[:1] in "¿¡":
+        if not known or right[:1] in "¿¡":
             return True
         if nxt[0].islower() or nxt[0].isdigit():
             return False
         if re.match(r"[^\W\d_]\.", nxt):
             return kind in self.enders  # an initial comes next
-        if nxt[0].isupper():
-            return kind in self.enders or n in self.starters or n in self.lower
-        return kind in self.enders or n in self.starters  # a script without case
+        return kind in self.enders or n in self.starters or nxt[0].isupper() and n in self.lower
 
 
 def _gap(c0, c1):
@@ -115,27 +148,6 @@ def _association(both, first, second, total):
     return F.when(p1 > p2, -2 * ratio).otherwise(F.lit(0.0))
 
 
-def _asked(para: str, m: Model):
-    """The types that splitting may look up in ``lower``: those after an ellipsis or a period of a candidate, as it reads them."""
-    left = ""
-    for t in _WORD.finditer(para):
-        end = left.rstrip(_CLOSE)
-        if end.endswith((".", "…")):
-            w = end.strip(_STRIP).rstrip(".").lower()
-            if end[-2:-1] in ("", ".", "…") or end[-1] == "…" or len(w) == 1 and w.isalpha() or (_key(w) in m.abbreviations):
-                yield _first_word(t.group()[:60])
-                yield _first_word(para[t.start() : t.start() + 60])
-        left = t.group()
-
-
-def _key(w: str) -> str:
-    return "##number##" if _NUMBER.match(w) else w
-
-
-def _first_word(s: str) -> str:
-    return re.sub(r"[^\w'’-].*$", "", s.lstrip(_STRIP)).lower()
-
-
 def _count_types(common):
     def run(batches):
         for pdf in batches:
@@ -146,7 +158,7 @@ def _count_types(common):
                 lang = placed(lang, text, common)
                 for para in _PARA.split(text):
                     for kind, dot, case, fresh, _ in words(para):
-                        row = n.setdefault((lang, kind[:40]), [0, 0, 0, 0])
+                        row = n.setdefault((lang, kind), [0, 0, 0, 0])
                         row[dot] += 1
                         row[2] += case < 1
                         row[3] += case == 1 and not fresh
@@ -175,16 +187,20 @@ def _count_pairs(models, common):
                 if m is None:
                     continue
                 for para in _PARA.split(text):
-                    for kind in _asked(para, m):
-                        n[(lang, "asked", "", kind, False)] += 1
                     before = None
-                    for kind, dot, case, _, hard in words(para):
-                        if before is not None and (case >= 0 or before[0] == "pair"):
-                            n[(lang, *before, kind[:40], case >= 0 and kind != "##number##")] += 1
+                    for raw in para.split():
+                        kind, dot, case, hard, _ = _TOKENS[raw]
+                        if kind is None:
+                            before = ("start", "") if hard else before
+                            continue
+                        if before is not None and (case >= 0 or before[0] != "start"):
+                            n[(lang, *before, kind, case >= 0 and kind != "##number##")] += 1
                         if hard:
                             before = ("start", "")
                         elif dot and (kind in m.abbreviations or len(kind) == 1 or kind == "##number##"):
                             before = ("pair", kind)
+                        elif raw.rstrip(_CLOSE).endswith(("…", "..")):
+                            before = ("asked", "")
                         else:
                             before = ("start", "") if dot else None
             yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["lang", "what", "first", "second", "open", "n"])
@@ -195,21 +211,25 @@ def _count_pairs(models, common):
 def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], dict[str, set[str]]]:
     """Models by language, and each language's most frequent words, from ``texts(lang, text)``.
 
-    All texts count. The frequent words are those of texts that state their language; the
-    others are placed by them, see ``placed``. The counts are added up before the shuffle and
-    after it, and no type is left out for being rare; the driver gets only types that pass the
-    ratios, and types in lower case that splitting asks for, see ``_asked``.
+    All texts count. One pass counts types and one counts what follows candidates and sentence
+    ends; both results are written, so neither is counted twice. The frequent words are those of
+    texts that state their language; the others are placed by them, see ``placed``, and only
+    they are read in a pass of their own. Counts are added up before the shuffle and after it, and
+    no type is left out for being rare; the driver gets only types that pass the ratios, and
+    types in lower case that follow a period or an ellipsis that may not end a sentence.
     """
     rows = texts.select(F.nullif(F.lower("lang"), F.lit("")).alias("lang"), "text").where("text IS NOT NULL")
-    stated = _types(rows.where("lang IS NOT NULL"), {}).persist()
+    stated = written(_types(rows.where("lang IS NOT NULL"), {}))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(_gap("c0", "c1")), "type"))
-    top = stated.where("type <> '##number##'").withColumn("rank", rank).where(F.col("rank") <= LANG_WORDS)
+    top = stated.where("type NOT LIKE '##%'").withColumn("rank", rank).where(F.col("rank") <= LANG_WORDS)
     common: dict[str, set[str]] = {}
     for r in bounded(top.select("lang", "type"), 10_000 * LANG_WORDS, "the common words"):
         common.setdefault(r["lang"], set()).add(r["type"])
 
-    types = _summed(stated.unionByName(_types(rows.where("lang IS NULL"), common))).persist()
-    totals = types.groupBy("lang").agg(F.sum(_gap("c0", "c1")).alias("n"), F.sum("c1").alias("dots"))
+    types = written(_summed(stated.unionByName(_types(rows.where("lang IS NULL"), common))))
+    release(stated)
+    sums = bounded(types.groupBy("lang").agg(F.sum(_gap("c0", "c1")).alias("n"), F.sum("c1").alias("dots")), 10_000, "the table of languages")
+    totals = types.sparkSession.createDataFrame([tuple(r) for r in sums], "lang string, n long, dots long")
     known = types.join(F.broadcast(totals), "lang")
     n, k, p = _gap("c0", "c1"), F.col("c1"), F.col("dots") / F.col("n")
     core = F.length(F.replace("type", F.lit("."), F.lit("")))
@@ -220,23 +240,21 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
         ratio * F.exp(-core.cast("double")) * inner * F.pow(F.greatest(core, F.lit(1)).cast("double"), -F.col("c0").cast("double"))
     )
     cand = known.where((F.col("c1") > 0) & F.col("type").rlike(r"^[\p{L}\p{M}.\-]+$|^##number##$")).where(score >= ABBREV_LEVEL)
-    models: dict[str, Model] = {}
-    totals_of = {r["lang"]: r["n"] for r in bounded(totals, 10_000, "the table of languages")}
+    models: dict[str, Model] = {r["lang"]: Model() for r in sums}
     for r in bounded(cand.select("lang", "type"), most, "the abbreviations"):
-        models.setdefault(r["lang"], Model()).abbreviations.add(r["type"])
-    for lang in totals_of:
-        models.setdefault(lang, Model())
+        models[r["lang"]].abbreviations.add(r["type"])
 
     pairs = rows.mapInPandas(_count_pairs(models, common), "lang string, what string, first string, second string, open boolean, n long")
-    pairs = pairs.groupBy("lang", "what", "first", "second", "open").agg(F.sum("n").alias("both"))
+    pairs = written(pairs.groupBy("lang", "what", "first", "second", "open").agg(F.sum("n").alias("both")))
     after = known.select("lang", F.col("type").alias("second"), _gap("c0", "c1").alias("of_second"), "n", "c0", "c1")
     first = known.select("lang", F.col("type").alias("first"), F.col("c1").alias("of_first"))
-    pairs = pairs.persist()
-    asked = pairs.where("what = 'asked'").select("lang", F.col("second").alias("type"))
+    asked = pairs.where("what <> 'start' AND open").select("lang", F.col("second").alias("type")).distinct()
     for r in bounded(asked.join(known.where("low > 0 AND low >= up").select("lang", "type"), ["lang", "type"]), most, "the types in lower case"):
         models[r["lang"]].lower.add(r["type"])
-    starts = pairs.where("what = 'start'").groupBy("lang").agg(F.sum("both").alias("breaks"))
-    s = pairs.where("what = 'start'").groupBy("lang", "second").agg(F.sum("both").alias("both")).join(after, ["lang", "second"]).join(F.broadcast(starts), "lang")
+    starts = pairs.where("what = 'start'").groupBy("lang", "second").agg(F.sum("both").alias("both"))
+    breaks = {r["lang"]: r["n"] for r in bounded(starts.groupBy("lang").agg(F.sum("both").alias("n")), 10_000, "the table of languages")}
+    breaks = F.broadcast(types.sparkSession.createDataFrame(list(breaks.items()), "lang string, breaks long"))
+    s = starts.join(after, ["lang", "second"]).join(breaks, "lang")
     s = s.where(_association(F.col("both"), F.col("breaks"), F.col("of_second"), F.col("n")) > STARTER_LEVEL)
     for r in bounded(s.select("lang", "second"), most, "the sentence starters"):
         models[r["lang"]].starters.add(r["second"])
@@ -254,14 +272,13 @@ def learn(texts: DataFrame, most: int = 2_000_000) -> tuple[dict[str, Model], di
         m = models[r["lang"]]
         if r["second"] not in m.starters:
             m.collocations.add((r["first"], r["second"]))
-    for x in (stated, types, pairs):
-        x.unpersist()
+    release(types, pairs)
     return models, common
 
 
 def language_of(text: str, common: dict[str, set[str]]) -> str | None:
     """The language whose frequent words the text holds most; ties go to the first by name."""
-    n = Counter(k for k, *_ in words(text))
+    n = Counter(_TOKENS[t][0] for t in text.split())
     hits = {lang: sum(n[w] for w in ws) for lang, ws in common.items()}
     best = max(sorted(hits), key=lambda x: hits[x], default=None)
     return best if best is not None and hits[best] else None
@@ -272,40 +289,55 @@ def placed(lang: str | None, text: str, common: dict[str, set[str]]) -> str:
     return lang.lower() if isinstance(lang, str) and lang else language_of(text, common) or ""
 
 
-def _pairs_in(s: str) -> list[tuple[int, int, bool]]:
-    """``(open, close, is_quote)`` for the outermost matched quotations and brackets of a paragraph."""
-    out, k, n = [], 0, len(s)
-    while k < n:
-        c = s[k]
-        quote = c in QUOTES and (c != "»" or s.find("«", k) > 0 and s.find("«") > s.find("»"))
-        shut = QUOTES[c] if quote else BRACKETS.get(c)
-        if c == '"' and k and s[k - 1].isdigit():
-            shut = None  # inches
-        if shut is None:
-            k += 1
+_PAIRED = re.compile("[" + re.escape("".join({*QUOTES, *BRACKETS, *"".join(QUOTES.values()), *BRACKETS.values()})) + "]")
+
+
+def _pairs_in(s: str) -> dict[int, tuple[int, bool]]:
+    """``open: (close, is_quote)`` for the outermost matched quotations and brackets of a paragraph, in one pass over its marks."""
+    marks = [(m.start(), m.group()) for m in _PAIRED.finditer(s)]
+    if not marks:
+        return {}
+    first, last = {}, {}
+    for k, c in marks:
+        first.setdefault(c, k)
+        last[c] = k
+    reverse = first.get("«", -1) > first.get("»", len(s))  # marks that point inwards
+    straight = [k for k, c in marks if c == '"']
+    stacks: dict[str, list[int]] = {}
+    shut: dict[int, int] = {}
+    for k, c in marks:
+        for o in _OPENED_BY.get(c, ()):
+            if stack := stacks.get(o):
+                shut[stack.pop()] = k
+        if c != '"' and (c in QUOTES or c in BRACKETS):
+            stacks.setdefault(c, []).append(k)
+    out, free = {}, 0
+    for k, c in marks:
+        if k < free:
+            continue
+        if c == '"':
+            if k and s[k - 1].isdigit():
+                continue  # inches
+            i = bisect_right(straight, k + 1)
+            end = straight[i] if i < len(straight) else None
+        elif c == "»" and not (reverse and last.get("«", -1) > k):
             continue
-        depth, e = 1, k + 1
-        while e < n:
-            if s[e] in shut and (c != '"' or e > k + 1):
-                depth -= 1
-                if not depth:
-                    break
-            elif s[e] == c:
-                depth += 1
-            e += 1
-        if e < n:
-            out.append((k, e, quote))
-            k = e + 1
         else:
-            k += 1
+            end = shut.get(k) if c in QUOTES or c in BRACKETS else None
+        if end is not None:
+            out[k] = (end, c in QUOTES)
+            free = end + 1
     return out
 
 
-def _terminal(s: str, at: int) -> bool:
-    """Whether the text before ``at`` ends with a closing mark of a sentence."""
-    while at > 0 and (s[at - 1].isspace() or s[at - 1] in CLOSERS):
+def _terminal(s: str, begin: int, at: int) -> bool:
+    """Whether the text from ``begin`` to ``at`` ends with a closing mark of a sentence."""
+    while at > begin and (s[at - 1].isspace() or s[at - 1] in CLOSERS):
         at -= 1
-    return at > 0 and (s[at - 1] in HARD or s[at - 1] in ".…")
+    return at > begin and (s[at - 1] in HARD or s[at - 1] in ".…")
+
+
+_CLAUSE = re.compile(r"[^\s。！？!?।؟.，,、「“«]{1,12}")
 
 
 def _attributed(s: str, at: int, alone: bool) -> bool:
@@ -322,74 +354,79 @@ def _attributed(s: str, at: int, alone: bool) -> bool:
         return False
     if not alone:
         return False
-    m = re.match(r"[^\s。！？!?।؟.，,、「“«]{1,12}", s[k:])
+    m = _CLAUSE.match(s, k)
     clause = m.group() if m else ""
     if k == at and clause and len(clause) <= 12 and re.match(r"[぀-ヿ一-鿿]", clause):
         return clause.startswith(ATTRIBUTES[:2]) or clause.endswith(ATTRIBUTES[2:9]) and len(clause) <= 8
     return clause.startswith(ATTRIBUTES[9:])
 
 
+_STOP = "".join(HARD) + ".…"
+_SPOT = re.compile(f"[{re.escape(_STOP)}]+|[{re.escape(''.join(QUOTES))}{re.escape(''.join(BRACKETS))}]")
+_SPOT_OR_SPACE = re.compile(_SPOT.pattern + r"|\s+")
+_OPENING = set(QUOTES) | set(BRACKETS)
+
+
 def split_paragraph(s: str, model: Model) -> list[tuple[int, int]]:
-    """Sentence places in one paragraph."""
-    n = len(s)
+    """Sentence places in one paragraph; the marks are visited in order, each once."""
+    tokens = [(m.start(), m.end()) for m in _WORD.finditer(s)]
+    begins = [a for a, _ in tokens]
+    thai = len(_THAI.findall(s)) * 3 > sum(b - a for a, b in tokens)
+    spots = _SPOT_OR_SPACE if thai else _SPOT
+    inside = _pairs_in(s)
+    n, k, start = len(s), 0, 0
     cuts: list[int] = []
-    thai = len(_THAI.findall(s)) * 3 > sum(not c.isspace() for c in s)
-    inside = {a: (b, q) for a, b, q in _pairs_in(s)}
-    k, start = 0, 0
-    while k < n:
-        c = s[k]
+
+    def solid(at: int) -> int:
+        """The first place from ``at`` on that isn't white space."""
+        if at < n and not s[at].isspace():
+            return at
+        i = bisect_right(begins, at)
+        return begins[i] if i < len(begins) else n
+
+    while m := spots.search(s, k):
+        k, c = m.start(), s[m.start()]
         if k in inside:
             shut, quote = inside[k]
-            alone = not s[start:k].strip()
+            alone = solid(start) >= k
+            done = _terminal(s, k + 1, shut)
             k = shut + 1
-            done = _terminal(s, shut)
-            if quote:
+            if done:
                 nxt = s[k : k + 1]
-                if done and not _attributed(s, k, alone) and not (nxt and (nxt in CLOSERS or nxt in HARD or nxt == ".")):
+                if alone if not quote else not _attributed(s, k, alone) and not (nxt and (nxt in CLOSERS or nxt in _STOP)):
                     cuts.append(k)
                     start = k
-            elif alone and done:
+        elif c.isspace():
+            if not re.search(r"[\r\n]", m.group()):
                 cuts.append(k)
-                start = k
-            continue
-        if thai and c.isspace():
-            e = k
-            while e < n and s[e].isspace():
-                e += 1
-            if not re.search(r"[\r\n]", s[k:e]):
-                cuts.append(k)
-                start = e
-            k = e
-            continue
-        if c in HARD or c in ".…":
-            e = k
-            while e < n and (s[e] in HARD or s[e] in ".…"):
-                e += 1
-            mark = s[k:e]
+                start = m.end()
+            k = m.end()
+        elif c in _OPENING and c not in _STOP:
+            k += 1
+        else:
+            e, mark = m.end(), m.group()
             while e < n and s[e] in CLOSERS and e not in inside:
                 e += 1
             spaced = e >= n or s[e].isspace()
+            i = bisect_right(begins, e - 1)  # the first token that begins at or after e
+            after = s[e] if not spaced else s[begins[i]] if i < len(begins) else ""
             hard = any(x in HARD for x in mark)
-            after = s[e:].lstrip()[:60]
-            cut = False
             if hard:
-                wide = any(x in "。！？．｡॥।؟‼" for x in mark)
-                cut = spaced or wide or bool(after) and after[0] in QUOTES or bool(after) and after[0] in BRACKETS
+                cut = spaced or any(x in "。！？．｡॥।؟‼" for x in mark) or after in _OPENING
             elif mark != ".":  # an ellipsis
-                left = s[:k].rstrip()
-                cut = spaced and bool(after) and (after[0].isupper() or after[0] in "¿¡" or after[0] in QUOTES) and bool(left)
-                if cut and not s[k - 1 : k].isspace():
-                    w = _first_word(after)
-                    cut = w in model.starters or w in model.lower or not w or after[0].isupper()
+                cut = spaced and bool(after) and begins[0] < k and (after.isupper() or after in "¿¡" or after in QUOTES)
+                if cut and not after.isupper() and not s[k - 1].isspace():
+                    w = _TOKENS[s[begins[i] : tokens[i][1]]][0]
+                    cut = w is None or w in model.starters or w in model.lower
             elif spaced:
-                left = re.search(r"\S*$", s[:k]).group()
-                cut = not after or model.ends(left + ".", _WORD.match(after).group())
+                left = s[begins[bisect_right(begins, k) - 1] : k + 1]
+                cut = not after or model.ends(left, s[begins[i] : tokens[i][1]])
+            else:
+                cut = False
             if cut:
                 cuts.append(e)
                 start = e
-            k = max(e, k + 1)
-            continue
-        k += 1
+            k = e
     out, a = [], 0
     for b in [*cuts, n]:
         x, y = a, b
@@ -419,7 +456,8 @@ def sentence_units(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame
     Rows with a null key or text give nothing, nor do blank texts. A null or unknown language
     is told by the learned frequent words; texts that hold none of these are learned from and
     split as one language. Repeated keys give repeated rows; other columns are not looked at. Two
-    passes learn, one splits, and texts without a language are placed in each; only the counts of types are shuffled.
+    passes learn (texts without a language are read once more, to place them), one splits; only
+    the counts of types are shuffled.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("k IS NOT NULL AND text IS NOT NULL")
     rows = spread(rows, "k")
