@@ -83,9 +83,10 @@ def release(*tables: DataFrame) -> None:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over all cores, for a Python stage over tables smaller than the cluster.
 
-    Judged by the plan's own estimate of the size alone, without running or listing anything: a
-    table that fills a read of full size on every core is left as it is, so no more than
-    ``spark.sql.files.maxPartitionBytes`` a core is ever shuffled.
+    Judged by the plan's own estimate of the size: a table that fills a read of full size on
+    every core is left as it is, without listing its files, so no more than
+    ``spark.sql.files.maxPartitionBytes`` a core is ever shuffled. A smaller one is left too if
+    it has a file for every core.
     """
     spark = df.sparkSession
     if df.isStreaming:
@@ -93,7 +94,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df if size >= cores * most else df.repartition(cores, key)
+    if size >= cores * most or len(df._jdf.inputFiles()) >= cores:  # the array stays in the JVM
+        return df
+    return df.repartition(cores, key)
 
 
 def bounded(df: DataFrame, most: int, what: str) -> list:
