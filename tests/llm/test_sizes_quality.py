@@ -109,12 +109,28 @@ def test_kinds(spark):
     assert got[40].mean_word_length is None and got[0].common_share > 0.3 and got[0].ended_share == 1
 
 
-def test_chunks_add_up(spark):
-    long = (PROSE + "\n\n- one\n- two\n\n") * 40 + "x" * 700 + " end."
-    a, b = (_stats(spark, [PROSE, long], chunk=c)[1] for c in (1 << 20, 200))
-    for c in Q.COUNTS:
-        if not c.endswith("_chars") or c == "word_chars":
-            assert a[c] == b[c], c
+def test_chunks_of_any_size_give_the_same_row(spark):
+    long = (PROSE + "\n\n- one\n  more of it\n- two\n\na = 1\nb = 2\n\n| a | b |\n| c | d |\n") * 20 + "x" * 9000 + " end. " + "good day " * 3000
+    a, b, c = (_stats(spark, [PROSE, long, long + "\n"], chunk=n) for n in (1 << 20, 200, 5000))
+    assert [a[i] for i in a] == [b[i] for i in a] == [c[i] for i in a] and a[1].list_chars and a[1].junk_chars
+
+
+def test_partials_merge_in_any_order():
+    import pickle
+
+    words = set("the and of is a to in that it not with on".split())
+    model = Q.LetterModel().fit([PROSE])
+    r = random.Random(1)
+    parts = ["- item one two\n", "  hanging on it\n", "a: b\n", "x = 12\n", "| a | b |\n", "plain words. ", "\n\n", "\tq\tw\n", "word " * 900, "tok" * 1500, "<td>x</td> " * 500, 'say "a, b" ', "a,b,c\n", "\n", " " * 5000]
+    for _ in range(60):
+        text = "".join(r.choice(parts) for _ in range(r.randint(3, 30)))
+        whole = Q.partial(Q.pieces(text), words, model, False).total()
+        for size in (40, 1000, 5000):
+            cs = [pickle.loads(pickle.dumps(Q.partial(x, words, model))) for x in Q.cut(text, size)]
+            while len(cs) > 1:
+                i = r.randrange(len(cs) - 1)
+                cs[i : i + 2] = [cs[i].merged(cs[i + 1])]
+            assert cs[0].total() == whole, (size, text)
 
 
 def test_repeated_rows_and_nothing(spark):
