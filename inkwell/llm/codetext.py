@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.lexing import CHUNK, cut, family, lexer, scan
+from inkwell.llm.lexing import CHUNK, composition, cut, family, lexer, scan, units
 from inkwell.session import bounded, spread, written
 
 LANGS = ["en", "de", "fr", "es", "ru", "zh", "ja"]
@@ -24,10 +24,12 @@ CLASSES = ["none", *LANGS, "other"]
 #: The sample that the classifier is fitted on: files of each language, and code files.
 TEXTS_PER_LANG, CODE_FILES, LINES_PER_CLASS = 150, 200, 1500
 BITS = 16
+FAN = 256  # chunks whose functions one task composes; a text of 2 GB has some 130 such groups
 MIN_WORDS, MIN_SIGNS = 3, 6
 
 _DIGITS = re.compile(r"\d")
-_WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_AROUND = ".,;:!?()[]\"'‘’“”«»„¿¡…–—*`"
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _MARKS = re.compile(r"^[\s*/#!;<>|=~+\-]+|[\s*/#=~+\-]+$")
 _HOLDERS = re.compile(r"%[-+ 0#]*\d*(?:\.\d+)?[sdifgxqv]|\{[\w.:]*\}|\$\{[\w.]+\}|\\[nrt]")
@@ -46,77 +48,130 @@ def features(line: str) -> np.ndarray:
 
 
 class LineModel:
-    """Multinomial logistic regression on hashed features, fitted by AdaGrad in a fixed order."""
+    """Multinomial logistic regression on hashed features, fitted by AdaGrad on small batches in a fixed order."""
 
     def __init__(self):
         self.w = np.zeros((1 << BITS, len(CLASSES)), dtype=np.float32)
 
-    def fit(self, lines: list[tuple[str, str]], epochs: int = 4, rate: float = 0.15) -> LineModel:
+    def fit(self, lines: list[tuple[str, str]], epochs: int = 6, rate: float = 0.15, batch: int = 64) -> LineModel:
         r = random.Random(7)
         rows = [(features(t), CLASSES.index(y)) for t, y in lines]
         g = np.full(self.w.shape, 1e-6, dtype=np.float32)
         for _ in range(epochs):
             r.shuffle(rows)
-            for x, y in rows:
-                s = self.w[x].sum(axis=0)
-                p = np.exp(s - s.max())
-                p /= p.sum()
-                p[y] -= 1
-                g[x] += p * p
-                self.w[x] -= rate * p / np.sqrt(g[x])
+            for at in range(0, len(rows), batch):
+                part = rows[at : at + batch]
+                size = np.array([len(x) for x, _ in part])
+                x = np.concatenate([x for x, _ in part])
+                s = np.add.reduceat(self.w[x], np.concatenate(([0], np.cumsum(size)[:-1])), axis=0)
+                p = np.exp(s - s.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(part)), [y for _, y in part]] -= 1
+                at_x, where = np.unique(x, return_inverse=True)  # a feature's gradient is summed over the batch
+                each = np.repeat(p, size, axis=0)
+                grad = np.stack([np.bincount(where, each[:, c], len(at_x)) for c in range(p.shape[1])], axis=1).astype(np.float32)
+                g[at_x] += grad * grad
+                self.w[at_x] -= rate * grad / np.sqrt(g[at_x])
         return self
 
     def label(self, line: str) -> str:
         return CLASSES[int(self.w[features(line)].sum(axis=0).argmax())]
 
 
+_SYLLABLES = "ba ce di fo gu ha ji ke lo mu na pi ro sa te vu wi xo ye zu bra cle dri flo gru pla sti tre".split()
+
+
 def _residue(r: random.Random) -> str:
-    """A line as code holds it that is no natural language."""
-    w = lambda: r.choice("node user item path view hash queue state field frame input cache point label group order value index rule match token level scope config buffer limit parser alert block vocab offset".split())
-    n = lambda: r.randint(0, 99)
-    b64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(r.randint(12, 40)))
-    return r.choice(
-        [
-            f"SELECT {w()}_id, {w()} FROM {w()}s WHERE {w()} > {n()}", f"INSERT INTO {w()} VALUES (?, ?)", f"UPDATE {w()} SET {w()} = {n()}", f"select {w()} from {w()} order by {w()} limit {n()}",
-            f"btn btn-{w()} mt-{n() % 9} col-{w()}", f"row col-{w()} px-{n() % 5} is-{w()}", f"/var/{w()}/{w()}/{n()}.yml", f"./{w()}/{w()}.json", f"C:\\{w()}\\{w()}.txt", f"https://{w()}.example/{w()}_{n()}", f"{w()}.{w()}.{w()}",
-            f"^[a-z]+\\d{{2,4}}({w()}|{w()})$", r"(\w+)\s*=\s*(.*)", "%Y-%m-%d %H:%M:%S", "yyyy-MM-dd HH:mm:ss zzz", f"{w()}=%d;{w()}=%s", f"{w()}: %s, {w()}: %d", b64, f"sha256:{b64.lower()}",
-            f"noqa: E{n()}", "type: ignore", f"eslint-disable-next-line no-{w()}", f"{w()} {w().title()}.{w().title()} = {r.choice(['NO', 'YES', 'off', 'on'])}", f"{w()} off", f"{w()} style = {w().title()}, {w().title()}", f"region {w()}", f"endregion {w()}", f"go:build {w()} && {w()}", f"pragma once {w()}", f"pylint: disable={w()}-{w()}", "vim: set ts=4 sw=4 et:", f"clang-format off {w()}", "-*- coding: utf-8 -*-",
-            "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0", f"Copyright (c) 20{n():02d} The {w().title()} Authors", f"(C) 20{n():02d} {w().title()} Inc. All rights reserved.", f"Licensed under the {w().title()} License, Version 2.0", f"@author {w().title()} {w().title()}",
-            f"@param {w()}", f"@param {w()} {w()}", f"@return {w()}", f":param {w()}: {w()}", f"@throws {w().title()}Error", f"@see {w()}.{w()}", "*" * n(), "=" * 20, "-----8<-----",
-            f"{w()}{n()} = {w()}({n()});", f"{w()}.{w()}({n()}, {w()}[{n()}]);", f"let {w()}_{n()} = {w()}.len() + {n()};", f"local {w()}{n()} = {w()}.get({n()})", f"{w()} {w()} = {w()} + {n()}", f"{w()}{n()} = map {w()} xs", f"this.{w()} = {w()}.get({n()});",
-            f"if ({w()} == null) return {w()};", f"for {w()} in {w()}:", f"return {w()} ? {w()} : {w()}", f"import {w()} from {w()}", f"def {w()}(self, {w()}):", f"func {w()}({w()} int) error {{", f"{w()}_{w()} = load_{w()}({w()}, {n()})", f"const {w()} = new {w().title()}();",
-            f"where {w()} {w()} = {w()}", f"data {w().title()} = {w().title()} Int", f"{w()} <- get {w()} xs", f"use {w()}::{w()};", f"${w()} = {w()}({n()});", f"end {w()}", f"<{w()} {w()}=\"{n()}\">", f"--{w()} --{w()}={n()} {w()}.txt", f"{w()} {w()} {w()}_{w()} {w()}-{n()}",
-        ]
-    )
+    """A line that stands in strings and comments and is no natural language, with invented names.
+
+    Its kinds are those of any source code: queries, markup attributes, paths, patterns, formats,
+    keys, tool directives, licence marks, tags and rulers.
+    """
+    w = lambda: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 3)))
+    n = lambda: r.randint(0, 999)
+    some = lambda f, a, b, sep: sep.join(f() for _ in range(r.randint(a, b)))
+    up = lambda x: x.upper() if r.random() < 0.6 else x
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda: "".join(r.choice(signs) for _ in range(r.randint(8, 40)))
+    name = lambda: r.choice([w(), f"{w()}_{w()}", w() + w().title(), f"{w()}{n()}"])
+
+    def query() -> str:
+        cols, where = some(name, 1, 3, ", "), f"{name()} {r.choice('=<>')} {r.choice([str(n()), '?', f':{w()}', repr(w())])}"
+        return r.choice(
+            [
+                f"{up('select')} {cols} {up('from')} {w()} {up('where')} {where}", f"{up('insert into')} {w()} ({cols}) {up('values')} ({some(lambda: '?', 1, 4, ', ')})", f"{up('update')} {w()} {up('set')} {where}",
+                f"{up('delete from')} {w()} {up('where')} {where}", f"{up('select')} {cols} {up('from')} {w()} {up('order by')} {name()} {up('limit')} {n()}", f"{up('create table')} {w()} ({name()} {up('text')}, {name()} {up('int')})",
+            ]
+        )
+
+    def attributes() -> str:
+        return some(lambda: r.choice([w(), f"{w()}-{n() % 13}", f"{w()}-{w()}", f"{w()}__{w()}", f"{w()}:{w()}"]), 3, 7, " ")
+
+    def path() -> str:
+        sep = r.choice(["/", "/", "\\"])
+        return r.choice(["", "./", "~/", f"{w().upper()[:1]}:\\", f"https://{w()}.example/"]) + some(name, 2, 5, sep) + r.choice(["", f".{w()[:3]}", f"?{w()}={n()}&{w()}={w()}"])
+
+    def pattern() -> str:
+        atom = lambda: r.choice([f"[a-{r.choice('kmz')}]", "\\d", "\\w+", "\\s*", f"({w()}|{w()})", f"[^{r.choice(',;/ ')}]", f"{{{n() % 5},{n()}}}", w(), "(.*)", "?:"])
+        return r.choice(["^", "", "(?i)"]) + some(atom, 3, 7, r.choice(["", "", " "])) + r.choice(["$", ""])
+
+    def form() -> str:
+        parts = r.sample(["%Y", "%m", "%d", "%H", "%M", "%S", "%j", "%b", "YYYY", "MM", "DD", "HH", "mm", "ss", "zzz", "%s", "%d", "%5.2f", "{}", f"{{{w()}}}", f"{w()}=%s", f"{w()}: %d"], r.randint(3, 6))
+        return r.choice(["-", ":", " ", "; ", ", ", "/"]).join(parts)
+
+    def directive() -> str:
+        verb = r.choice(["disable", "enable", "ignore", "off", "on", "skip", "begin", "end", "pragma", "region", "endregion", "nolint", "build"])
+        return r.choice(
+            [
+                f"{w()}-{verb}-{w()}-{w()} {w()}-{w()}", f"{w()}: {verb}={name()},{name()}", f"{w()}:{verb} {w()} && !{w()}", f"{verb} {w()} {w()}", f"{verb}: {w()}[{w()}-{w()}]", f"{w()} {w().title()}.{w().title()} = {r.choice(['NO', 'YES', 'off', 'on'])}",
+                f"{w()} {verb}", f"{w()} style = {w().title()}, {w().title()}", f"{w()}: set {w()[:2]}={n() % 9} {w()[:2]}={n() % 9} {w()}:", f"-*- {w()}: {w()}-{n()} -*-", f"{verb} once {name()}", f"{w()}: {r.choice('EWFC')}{n()}, {r.choice('EWFC')}{n()}",
+            ]
+        )
+
+    def licence() -> str:
+        who = f"{w().title()} {w().title()}"
+        return r.choice(
+            [
+                f"Copyright (c) {1990 + n() % 40} The {who} Authors", f"Copyright {1990 + n() % 40}-{1990 + n() % 40} {who}", f"(C) {1990 + n() % 40} {who} Inc. All rights reserved.", f"Licensed under the {who} License, Version {n() % 4}.{n() % 9}",
+                f"SPDX-License-Identifier: {w().upper()}-{n() % 4}.{n() % 9} OR {w().upper()}", f"@author {who} <{w()}@{w()}.example>", f"@license {w().upper()} {w().title()} v{n() % 5}", f"All rights reserved. {who} {1990 + n() % 40}",
+            ]
+        )
+
+    def tag() -> str:
+        return r.choice([f"@{r.choice(['param', 'arg', 'return', 'throws', 'see', 'type'])} {name()} {name()}", f":{r.choice(['param', 'type', 'raises'])} {name()}: {name()} {w()}", f"<{w()} {w()}={w()}>{w()}</{w()}>", f"\\{w()}{{{w()}}} {w()}", f"[{w()}]({path()}) {name()}"])
+
+    def secret() -> str:
+        return r.choice([key(), f"{w()}:{key()}", f"{key()}=={key()}", f"{w()} {key()} {key()}", some(lambda: f"{n():03x}", 4, 12, r.choice(["-", ":", " "]))])
+
+    def ruler() -> str:
+        return r.choice(["-", "=", "*", "#", "~", "-=", "+-"]) * r.randint(8, 40) + r.choice(["", f" {w()} ", f"[ {w()} {w()} {n()} ]"])
+
+    return r.choice([query, attributes, attributes, path, pattern, form, directive, directive, directive, licence, tag, secret, ruler])()
 
 
 def _vary(line: str, lang: str, r: random.Random) -> str:
-    """A sentence the way it may stand in code: with a holder, a task mark, or in lower case."""
+    """A sentence the way it may stand in code: a part of it, with holders, with a task mark, without its capital or its closing mark."""
     parts = line.split()
-    k = r.random()
-    if lang not in ("zh", "ja") and len(parts) > 4 and k < 0.25:
-        parts[r.randrange(1, len(parts))] = r.choice(["%s", "%d", "{path}", "{}", "%v"])
-        line = " ".join(parts)
-    elif len(parts) > 6 and k < 0.45:
+    spaced = lang not in ("zh", "ja")
+    if spaced and len(parts) > 6 and r.random() < 0.35:
         a = r.randrange(0, len(parts) - 4)
-        line = " ".join(parts[a : a + r.randint(3, 6)])
-    elif k < 0.55:
-        line = r.choice(["TODO: ", "FIXME: ", "NOTE: "]) + line
-    elif k < 0.7:
+        parts = parts[a : a + r.randint(4, 9)]
+    if spaced and len(parts) > 3 and r.random() < 0.35:
+        for _ in range(r.choice([1, 1, 2])):
+            parts[r.randrange(0, len(parts))] = r.choice(["%s", "%d", "%v", "{}", "{0}", f"{{{r.choice(_SYLLABLES)}}}"])
+    line = " ".join(parts)
+    if r.random() < 0.4:
+        line = line.rstrip(".!?。！？।")
+    if r.random() < 0.4:
         line = line[:1].lower() + line[1:]
-    elif k < 0.75:
-        line += r.choice(["\\n", " (%s)", ": %s"])
-    return line
-
-
-# Phrases that programs say, with words that running prose seldom has together.
-PHRASES = """could not load %s from the settings|skipped %d lines because the value was empty|{path} has more entries than the limit allows|failed to open the file|no such file or directory
-cannot read from a closed stream|unexpected end of input while parsing|must be greater than zero|the index is out of range|waiting for the server to start|missing required argument %s
-unable to connect to the database|user %s does not exist|the operation was cancelled by the user|please check your network connection|this method is not implemented yet|found %d errors in the input""".replace("\n", "|").split("|")
+    k = r.random()
+    if k < 0.1:
+        return r.choice(["TODO: ", "FIXME: ", "NOTE: "]) + line
+    return line + r.choice(["\\n", " (%s)", ": %s", ": {}"]) if k < 0.2 else line
 
 
 def training_lines(texts: list[tuple[str, str]], code: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Labelled lines from ``(language, text)`` and ``(family, code)``."""
+    """Labelled lines from ``(language, text)`` and ``(family, code)``, and invented residue."""
     r = random.Random(11)
     by: dict[str, list[str]] = {c: [] for c in CLASSES}
     for lang, text in texts:
@@ -132,8 +187,7 @@ def training_lines(texts: list[tuple[str, str]], code: list[tuple[str, str]]) ->
         r.shuffle(rows)
         rows = rows[:LINES_PER_CLASS]
         out += [(x, c) for x in rows] + ([(_vary(x, c, r), c) for x in rows] if c != "none" else [])
-    out += [(_residue(r), "none") for _ in range(4 * LINES_PER_CLASS)]
-    out += [(p, "en") for p in PHRASES for _ in range(6)]
+    out += [(x, "none") for x in (_residue(r) for _ in range(4 * LINES_PER_CLASS)) if worth(x)]
     return out
 
 
@@ -141,7 +195,12 @@ def worth(line: str) -> bool:
     """Whether a line has enough words, or characters of a script without spaces."""
     if len(_CJK.findall(line)) >= MIN_SIGNS:
         return True
-    return len(_WORDS.findall(_HOLDERS.sub(" ", line))) >= MIN_WORDS
+    n = 0
+    for t in _HOLDERS.sub(" ", line).split():
+        n += _WORD.fullmatch(t.strip(_AROUND)) is not None  # words stand between spaces; parts of names and paths don't count
+        if n >= MIN_WORDS:
+            return True
+    return False
 
 
 def fit_model(files: DataFrame) -> LineModel:
@@ -188,11 +247,13 @@ def languages(spans: list[tuple[str, str]], model: LineModel) -> dict[str, int]:
 def code_languages(rows: DataFrame, model: LineModel, chunk: int = CHUNK) -> DataFrame:
     """``key, lang, n_chars``: natural language in each text, by language.
 
-    ``rows(key, ext, real_ext, text)``. Texts longer than a chunk are cut; their chunks'
-    transition functions are composed by a prefix scan, the start states joined back, and the
-    chunks read apart, so one huge file keeps many tasks busy. Null and blank texts give
-    nothing; unknown endings are read by the marks most languages share. Repeated keys add up,
-    so repeated rows should be taken out before.
+    ``rows(key, ext, real_ext, text)``. Texts longer than a chunk are cut between their units (lines,
+    and parts of lines over ``LONG_LINE`` characters); the chunks' transition functions are
+    composed in a tree of ``FAN`` children, the start states are handed down it, and the chunks
+    are read apart, so one huge file keeps many tasks busy. A unit is judged alike in a chunk and in
+    a whole text, so the chunk size has no influence. Null and blank texts give nothing; unknown
+    endings are read by the marks most languages share. Repeated keys add up, so repeated rows
+    should be taken out before.
     """
     rows = rows.select("key", "ext", "real_ext", "text").where("key IS NOT NULL AND text IS NOT NULL")
 
@@ -200,7 +261,7 @@ def code_languages(rows: DataFrame, model: LineModel, chunk: int = CHUNK) -> Dat
         for pdf in batches:
             out = []
             for k, a, b, t in zip(pdf["key"], pdf["ext"], pdf["real_ext"], pdf["text"]):
-                out += [(k, lang, n) for lang, n in languages(lexer(family(a, b)).spans(t), model).items()]
+                out += [(k, lang, n) for lang, n in languages(lexer(family(a, b)).read(units(t)), model).items()]
             yield pd.DataFrame(out, columns=["key", "lang", "n"]).astype({"key": "int64", "n": "int64"})
 
     def chunks(batches):
@@ -208,35 +269,46 @@ def code_languages(rows: DataFrame, model: LineModel, chunk: int = CHUNK) -> Dat
             for k, a, b, t in zip(pdf["key"], pdf["ext"], pdf["real_ext"], pdf["text"]):
                 f = family(a, b)
                 for seq, c in enumerate(cut(t, chunk)):
-                    yield pd.DataFrame([(k, f, seq, c)], columns=["key", "family", "seq", "chunk"])
+                    yield pd.DataFrame([(k, f, seq, c)], columns=["key", "family", "seq", "units"])
 
     def functions(batches):
         for pdf in batches:
-            fs = [lexer(f).function(c) for f, c in zip(pdf["family"], pdf["chunk"])]
+            fs = [lexer(f).function("".join(c)) for f, c in zip(pdf["family"], pdf["units"])]
             yield pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "f": fs})
 
+    def composed(pdf):
+        """What the chunks of one group do, one after the other."""
+        pdf = pdf.sort_values("seq")
+        f = composition(np.stack([np.asarray(x) for x in pdf["f"]]))
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": [int(pdf["seq"].iloc[0]) // FAN], "f": [f]})
+
+    def entered(pdf):
+        """The state before each group of a text."""
+        pdf = pdf.sort_values("part")
+        return pd.DataFrame({"key": pdf["key"], "part": pdf["part"], "enter": scan([np.asarray(f) for f in pdf["f"]])})
+
     def starts(pdf):
         pdf = pdf.sort_values("seq")
         fs = [np.asarray(f) for f in pdf["f"]]
-        states = scan(fs)
-        after = [int(f[s]) for f, s in zip(fs, states)]
-        after[-1] = -1
-        return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "before": states, "after": after})
+        states = scan(fs, int(pdf["enter"].iloc[0]))
+        return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "before": states})
 
     def read(batches):
         for pdf in batches:
             out = []
-            for k, f, c, a, b in zip(pdf["key"], pdf["family"], pdf["chunk"], pdf["before"], pdf["after"]):
-                out += [(k, lang, n) for lang, n in languages(lexer(f).spans(c, a, None if b < 0 else b), model).items()]
+            for k, f, c, a in zip(pdf["key"], pdf["family"], pdf["units"], pdf["before"]):
+                out += [(k, lang, n) for lang, n in languages(lexer(f).read(list(c), a), model).items()]
             yield pd.DataFrame(out, columns=["key", "lang", "n"]).astype({"key": "int64", "n": "int64"})
 
     rows = spread(rows, "key")
     small = rows.where(F.length("text") <= chunk).mapInPandas(whole, "key long, lang string, n long")
-    cutup = rows.where(F.length("text") > chunk).mapInPandas(chunks, "key long, family string, seq int, chunk string")
-    cutup = written(cutup.repartition("key", "seq"))
-    fs = cutup.mapInPandas(functions, "key long, seq int, f array<int>")
-    at = fs.groupBy("key").applyInPandas(starts, "key long, seq int, before int, after int")  # a few numbers for each chunk, no text
-    large = cutup.join(at, ["key", "seq"]).mapInPandas(read, "key long, lang string, n long")
+    pieces = rows.where(F.length("text") > chunk).mapInPandas(chunks, "key long, family string, seq int, units array<string>")
+    pieces = written(pieces.repartition("key", "seq"))
+    fs = pieces.mapInPandas(functions, "key long, seq int, f array<int>").withColumn("part", F.floor(F.col("seq") / FAN).cast("int"))
+    groups = fs.groupBy("key", "part").applyInPandas(composed, "key long, part int, f array<int>")  # a few numbers for each chunk, no text
+    enter = groups.groupBy("key").applyInPandas(entered, "key long, part int, enter int")
+    at = fs.join(enter, ["key", "part"]).groupBy("key", "part").applyInPandas(starts, "key long, seq int, before int")
+    large = pieces.join(at, ["key", "seq"]).mapInPandas(read, "key long, lang string, n long")
     return small.unionByName(large).groupBy("key", "lang").agg(F.sum("n").alias("n_chars"))
 
 

@@ -3,6 +3,9 @@
 A file is cut into chunks. Each chunk's effect is a function from the lexer's state before it
 to the state after it; the functions are composed by a prefix scan, so every chunk learns its
 own start state and all chunks are then read independently of each other.
+
+A chunk is a run of *units*: lines, and parts of lines over ``LONG_LINE`` characters. Units depend
+on the text alone, so what is read of them doesn't depend on where chunks end.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Characters in a chunk; a chunk ends at a line break where it holds one.
-CHUNK = 65536
+#: Characters in a chunk, and in the longest line that is read in one.
+CHUNK, LONG_LINE = 65536, 16384
 
 _C = {"//": "line", "/*": "block:*/", '"': 'str:"'}
 _CHAR = {"'\"'": "code", "'\\''": "code", "'\\\"'": "code"}
@@ -93,6 +96,7 @@ class Lexer:
                     self.states.append(to)
                 row.append(seen[to])
             table.append(row)
+        self._number = seen
         self.table = np.array(table, dtype=np.int32).T.copy()  # sign, state
 
     def function(self, chunk: str) -> np.ndarray:
@@ -106,15 +110,34 @@ class Lexer:
         # a run of other characters does what one does twice, as a mark's beginning ends at the first
         keep = np.ones(len(signs), bool)
         keep[2:] = (signs[2:] != 0) | (signs[1:-1] != 0) | (signs[:-2] != 0)
-        for s in signs[keep]:
-            f = self.table[s][f]
-        return f
+        return composition(self.table[signs[keep]])
+
+    def read(self, units: list[str], state: int = 0) -> list[tuple[str, str]]:
+        """``(kind, text)`` of units that follow each other: runs of whole lines are read in one, parts of a long line by themselves.
+
+        The beginning of a mark at the end of a part is left to the next part, or to nothing.
+        """
+        out, at = [], 0
+        while at < len(units):
+            end = at + 1
+            if whole := units[at].endswith("\n"):
+                while end < len(units) and units[end].endswith("\n"):
+                    end += 1
+            text = "".join(units[at:end])
+            after = None if whole else int(self.function(text)[state])
+            got, mode = self._walk(text, state, after)
+            out += got
+            state, at = self._number[(mode, "")] if whole else after, end  # no mark begins with a line break
+        return out
 
     def spans(self, chunk: str, before: int = 0, after: int | None = None) -> list[tuple[str, str]]:
         """``(kind, text)`` of the chunk, kind being code, comment or string; ``after`` is None for the last chunk.
 
         The beginning of a mark that the next chunk may complete is left to that chunk.
         """
+        return self._walk(chunk, before, after)[0]
+
+    def _walk(self, chunk: str, before: int, after: int | None) -> tuple[list[tuple[str, str]], str]:
         mode, pending = self.states[before]
         text = pending + chunk
         if after is not None and (left := len(self.states[after][1])):
@@ -135,7 +158,7 @@ class Lexer:
                     start = at - 1
         if start < len(text):
             out.append((_KIND[mode.partition(":")[0]], text[start:]))
-        return out
+        return out, mode
 
 
 _KIND = {"code": "code", "line": "comment", "block": "comment", "str": "string", "raw": "string"}
@@ -146,19 +169,39 @@ def lexer(name: str) -> Lexer:
     return Lexer(name)
 
 
-def cut(text: str, size: int = CHUNK) -> list[str]:
-    """Chunks of at most ``size`` characters that end at line breaks where they can."""
-    out, at = [], 0
-    while len(text) - at > size:
-        end = text.rfind("\n", at, at + size) + 1
-        if end <= at:
-            end = at + size
-        out.append(text[at:end])
-        at = end
-    out.append(text[at:])
+def units(text: str) -> list[str]:
+    """The lines of a text with their ends, those over ``LONG_LINE`` characters in parts of that length."""
+    out = []
+    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", text):
+        out += [line] if len(line) <= LONG_LINE else [line[i : i + LONG_LINE] for i in range(0, len(line), LONG_LINE)]
+    return out
+
+
+def cut(text: str, size: int = CHUNK) -> list[list[str]]:
+    """Chunks: runs of units of at most ``size`` characters, or one unit."""
+    out: list[list[str]] = [[]]
+    n = 0
+    for u in units(text):
+        if out[-1] and n + len(u) > size:
+            out.append([])
+            n = 0
+        out[-1].append(u)
+        n += len(u)
     return out
 
 
+def composition(functions: np.ndarray) -> np.ndarray:
+    """What functions (rows) do one after the other, by pairs: half as many after each round."""
+    identity = np.arange(functions.shape[1], dtype=functions.dtype)[None]
+    if not len(functions):
+        return identity[0]
+    while len(functions) > 1:
+        if len(functions) % 2:
+            functions = np.concatenate((functions, identity))
+        functions = np.take_along_axis(functions[1::2], functions[::2], axis=1)
+    return functions[0]
+
+
 def compose(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """What the two chunks do one after the other; this is associative."""
     return second[first]

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from inkwell.llm import codetext as C
-from inkwell.llm.lexing import FAMILIES, compose, cut, lexer, scan
+from inkwell.llm.lexing import FAMILIES, LONG_LINE, compose, composition, cut, lexer, scan, units
 
 
 def _joined(spans):
@@ -32,8 +32,25 @@ def test_functions_compose():
 
 
 def test_cut_keeps_every_character():
-    text = "line one\nline two\n" * 50 + "x" * 300
-    assert "".join(cut(text, 64)) == text and max(map(len, cut(text, 64))) <= 64
+    text = "line one\nline two\n" * 50 + "x" * 300 + "\n" + "y" * (2 * LONG_LINE + 5)
+    assert "".join(u for c in cut(text, 64) for u in c) == text == "".join(units(text)) and units("") == [] and cut("", 64) == [[]]
+    assert [len(u) for u in units(text)[-3:]] == [LONG_LINE, LONG_LINE, 5]
+
+
+def test_units_read_alike_in_any_chunks():
+    r = random.Random(5)
+    parts = ['"', "'", "/*", "*/", "//", "#", "\\", "\n", "[[", "]]", "a ", "b" * LONG_LINE, '"""', "--", "{-", "-}", "`", "word word word "]
+    for name in FAMILIES:
+        lx = lexer(name)
+        for _ in range(12):
+            text = "".join(r.choice(parts) for _ in range(60))
+            whole = _joined(lx.read(units(text)))
+            for size in (1, 40, 20_000):
+                chunks = cut(text, size)
+                st = scan([lx.function("".join(c)) for c in chunks])
+                assert _joined([s for c, a in zip(chunks, st) for s in lx.read(c, a)]) == whole, (name, size)
+            f = composition(np.stack([lx.function("".join(c)) for c in chunks]))
+            assert np.array_equal(f, lx.function(text))
 
 
 def _files(spark):
@@ -54,6 +71,10 @@ def test_languages_by_comment(spark):
     whole = {(r.key, r.lang): r.n_chars for r in C.code_languages(df, model).collect()}
     assert set(whole) == {(1, "en"), (3, "de"), (3, "zh"), (7, "en")}
     assert {(r.key, r.lang): r.n_chars for r in C.code_languages(df, model, chunk=500).collect()} == whole
+    wide = "// " + "The old list is not clear to the reader " * 2000
+    long = df.limit(0).unionByName(spark.createDataFrame([(8, ".c", ".c", wide, 9)], df.schema))
+    one, many = ([tuple(r) for r in C.code_languages(long, model, chunk=n).collect()] for n in (1 << 20, 64))
+    assert one == many and one[0][1] == "en"
     assert C.code_languages(df.limit(0), model).collect() == []
 
 
