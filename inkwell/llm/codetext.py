@@ -317,7 +317,7 @@ def _comments(spark, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/code_comments.parquet").select("comment_id", "file_id", "comment_text", "comment_source")
     # what a comment says without its marks stands in where its source is missing
     text = F.coalesce("comment_source", F.concat(F.lit("/* "), F.col("comment_text"), F.lit(" */")))
-    c = c.dropDuplicates(["comment_id"]).withColumn("text", text)
+    c = c.withColumn("text", text)  # a repeated row gives the same languages again; the result's rows are distinct
     return c.join(files, "file_id", "left").select(F.col("comment_id").alias("key"), "ext", "real_ext", "text")
 
 
