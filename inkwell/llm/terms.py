@@ -3,8 +3,12 @@
 Method: a global integer dictionary over all values, blockwise count arrays for occurrences
 and record presence, and a sum of those arrays by identifier range.
 
+* Values travel as 64-bit codes; the strings are shuffled once a distinct value, in the dictionary.
+  Codes that collide are told apart before they are used, so the counts are exact.
 * A *block* is a bucket of records (hash of the record id), so that a record lies in one
-  block and presence can be added up over blocks.
+  block and presence can be added up over blocks. Rows move to their block once; repeats are
+  taken out and values are counted there. Rows of records that many rows have are spread by their
+  own id instead, and counted by record and value before they meet.
 * An *identifier* is a range number (hash of the value) and a dense position in that range.
   It needs no pass over one machine, and each range's array has a known length.
 * A hot value is at most one row per block once the blocks are counted, so neither the
@@ -14,44 +18,74 @@ and record presence, and a sum of those arrays by identifier range.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import written
+from inkwell.session import bounded, written
 
 #: Identifiers in one range; an array of 64k longs is half a megabyte.
 RANGE_WIDTH = 65536
 
 
-def block_counts(rows: DataFrame, record: str, fields: list[str], row_id: str | None, n_blocks: int) -> DataFrame:
-    """``block, field, term, occ, pres``: one row per value and block.
+def _code(field: str, term: Column, clashes: list[int]) -> Column:
+    """The 64-bit code of a field's value; codes that two values share are replaced by others."""
+    code = F.xxhash64(F.lit(field), term)
+    if clashes:
+        code = F.when(code.isin(clashes), F.xxhash64(F.lit(1), F.lit(field), term)).otherwise(code)
+    return F.when(term.isNotNull(), code)
 
-    A row repeated whole counts once: rows are told apart by ``row_id`` (null is a value
-    of its own). The group by (record, field, term) pre-aggregates before its shuffle, so a
-    hot record or value leaves each task as one row.
-    """
+
+def distinct_values(rows: DataFrame, fields: list[str]) -> tuple[DataFrame, list[int]]:
+    """``(field, term, code)`` of every distinct value, written, and the codes that more than one value had."""
     one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("term")) for f in fields]))
-    flat = rows.select(F.col(record).alias("rec"), (F.col(row_id) if row_id else F.lit(None)).alias("rid"), one.alias("x"))
-    flat = flat.select("rec", "rid", "x.field", "x.term").where("term IS NOT NULL")
-    if row_id:
-        flat = flat.groupBy("rec", "field", "term", "rid").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = flat.groupBy("rec", "field", "term").agg(F.count(F.lit(1)).alias("n"))
-    block = F.pmod(F.xxhash64("rec"), F.lit(n_blocks)).cast("int")
-    return pairs.groupBy(block.alias("block"), "field", "term").agg(
-        F.sum("n").alias("occ"), F.sum(F.when(F.col("rec").isNotNull(), 1).otherwise(0)).cast("long").alias("pres")
-    )
+    values = rows.select(one.alias("x")).select("x.field", "x.term").where("term IS NOT NULL").groupBy("field", "term").agg(F.lit(1).alias("one"))
+    values = written(values.select("field", "term", F.xxhash64("field", "term").alias("code")))
+    twice = values.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
+    clashes = [r["code"] for r in bounded(twice, 100_000, "the codes that collide")]
+    if clashes:
+        values = values.withColumn("code", F.when(F.col("code").isin(clashes), F.xxhash64(F.lit(1), "field", "term")).otherwise(F.col("code")))
+    return values, clashes
 
 
-def dictionary(counts: DataFrame, n_ranges: int) -> DataFrame:
-    """``field, term, rng, pos``: the global identifiers. ``rng`` is a hash, ``pos`` dense in its range."""
-    words = counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("in_blocks"))
-    rng = F.pmod(F.xxhash64("field", "term"), F.lit(n_ranges)).cast("int")
-    return words.withColumn("rng", rng).select(
-        "field", "term", "rng", (F.row_number().over(Window.partitionBy("rng").orderBy("field", "term")) - 1).alias("pos")
-    )
+def block_counts(rows: DataFrame, record: str, fields: list[str], row_id: str | None, n_blocks: int, clashes: list[int]) -> DataFrame:
+    """``block, code, occ, pres``: one row per value and block.
+
+    A row repeated whole counts once: rows are told apart by ``row_id`` (null is a value
+    of its own). Records with more rows than a block should have are counted apart.
+    """
+    codes = [_code(f, F.col(f).cast("string"), clashes) for f in fields]
+    names = [f"_c{i}" for i in range(len(fields))]
+    flat = rows.select(F.col(record).alias("_rec"), *([F.col(row_id).alias("_rid")] if row_id else []), *[c.alias(n) for c, n in zip(codes, names)])
+    sizes = rows.groupBy(F.col(record).alias("_rec")).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    most = max(1000, total // (4 * n_blocks))  # so there are no more than four hot records a block
+    hot = [r["_rec"] for r in bounded(sizes.where(F.col("n") > most).select("_rec"), 4 * n_blocks + 1, "the records of very many rows")]
+    is_hot = reduce(lambda a, b: a | b, [F.col("_rec").eqNullSafe(F.lit(x)) for x in hot]) if hot else F.lit(False)
+    known = ["_rec", "_rid", *names] if row_id else None
+
+    def counted(x: DataFrame) -> DataFrame:
+        each = x.select("_rec", F.explode(F.array(*names)).alias("code")).where("code IS NOT NULL")
+        return each.groupBy("_rec", "code").agg(F.count(F.lit(1)).alias("n"))
+
+    # a block's rows meet once: the repartitioning serves the repeats and the counts alike
+    cold = flat.where(~is_hot).repartition(n_blocks, "_rec")
+    parts = counted(cold.dropDuplicates(known) if row_id else cold)
+    if hot:
+        warm = flat.where(is_hot)
+        parts = parts.unionByName(counted(warm.dropDuplicates(known) if row_id else warm))
+    block = F.pmod(F.xxhash64("_rec"), F.lit(n_blocks)).cast("int")
+    pres = F.sum(F.when(F.col("_rec").isNotNull(), 1).otherwise(0)).cast("long")
+    return parts.groupBy(block.alias("block"), "code").agg(F.sum("n").alias("occ"), pres.alias("pres"))
+
+
+def dictionary(values: DataFrame, n_ranges: int) -> DataFrame:
+    """``values`` with the global identifiers: ``rng`` is a hash, ``pos`` dense in its range."""
+    rng = F.pmod(F.xxhash64("code"), F.lit(n_ranges)).cast("int")
+    return values.withColumn("rng", rng).withColumn("pos", F.row_number().over(Window.partitionBy("rng").orderBy("code")) - 1)
 
 
 def _sum_ranges(batches):
@@ -91,13 +125,13 @@ def term_frequencies(
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = written(block_counts(rows, record, fields, row_id, n_blocks or parts))
+    values, clashes = distinct_values(rows, fields)
     if n_ranges is None:
-        distinct = counts.select(F.approx_count_distinct(F.xxhash64("field", "term"))).first()[0]
-        n_ranges = max(parts, math.ceil(distinct / RANGE_WIDTH))
-    ids = written(dictionary(counts, n_ranges))
+        n_ranges = max(parts, math.ceil(values.count() / RANGE_WIDTH))
+    ids = written(dictionary(values, n_ranges))
+    counts = block_counts(rows, record, fields, row_id, n_blocks or parts, clashes)
     arrays = (
-        counts.join(ids, ["field", "term"])
+        counts.join(ids.select("code", "rng", "pos"), "code")
         .groupBy("block", "rng")
         .agg(F.collect_list(F.struct("pos", "occ", "pres")).alias("x"))  # one block's array of one range: bounded by the range's width
         .select("rng", F.col("x.pos").alias("pos"), F.col("x.occ").alias("occ"), F.col("x.pres").alias("pres"))

@@ -86,3 +86,16 @@ def test_plan_has_no_cross_join(spark):
     freq = T.term_frequencies(df, "file_id", ["match_text"], "alert_id")
     plan = T.marked_terms(freq, limits, df, "file_id").where(F.col("mark").isNotNull())._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_frequencies_of_a_hot_record_and_clashing_codes(spark, monkeypatch):
+    rows = [(i, 7, "A.B", f"m{i % 5}", "x", 1) for i in range(3000)] + [(i, None, "C.D", "hot", "x", 1) for i in range(3000, 4500)] + [(5000 + i, i, "A.B", "hot", "x", 1) for i in range(40)]
+    rows += rows[:100] + rows[3000:3050]
+    df = spark.createDataFrame(rows, ALERTS)
+    got = {(r.field_name, r.term): (r.n_rows, r.n_records) for r in T.term_frequencies(df, "file_id", ["check_name", "match_text"], "alert_id", n_blocks=2).collect()}
+    assert got == _brute(rows)
+    values = T.distinct_values(df, ["check_name", "match_text"])[0].collect()
+    clash = [values[0].code]
+    assert df.select(T._code("check_name", F.lit(values[0].term), clash).alias("c")).first().c != values[0].code
+    plan = T.block_counts(df.where("file_id < 20 AND file_id <> 7"), "file_id", ["check_name"], "alert_id", 4, [])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # rows to their block, and the counts of blocks
