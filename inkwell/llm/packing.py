@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from inkwell.llm.sizes import TOKENIZERS, with_tokens
 from inkwell.session import bounded, spread, written
 
-#: The unused share of a container that a combination may have, the combinations that are weighed, and the rounds of the solver.
-WINDOW, MOST_COMBINATIONS, ROUNDS = 0.01, 30_000, 300
+#: The unused share of a container that a combination may have, and the combinations that are weighed.
+WINDOW, MOST_COMBINATIONS = 0.01, 30_000
+#: The solver ends when a round lowers the squared residual by less than this share, or after so many rounds.
+CONVERGED, ROUNDS = 1e-4, 5000
+#: Items of one length that are ranked in one task.
+RANKED = 500_000
 PARTNERS = 6  # the random second lengths that each length is tried with
 
 
@@ -79,10 +83,11 @@ def combinations(sizes: np.ndarray, capacity: int, window: int, most: int = MOST
     return list(out.values())
 
 
-def solve(combos: list[dict[int, int]], histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def solve(combos: list[dict[int, int]], histogram: np.ndarray, rounds: int = ROUNDS, converged: float = CONVERGED) -> np.ndarray:
     """Repeat counts x >= 0 that bring the lengths used nearest to the histogram, in least squares.
 
-    Multiplicative updates keep x non-negative; each round costs as much as there are parts.
+    Multiplicative updates keep x non-negative and never raise the residual; each round costs as
+    much as there are parts, and the rounds end when they no longer gain.
     """
     rows = np.array([s for c in combos for s in c])
     cols = np.array([j for j, c in enumerate(combos) for _ in c])
@@ -91,8 +96,14 @@ def solve(combos: list[dict[int, int]], histogram: np.ndarray, rounds: int = ROU
     n = len(combos)
     x = np.full(n, h.sum() / max(1, 3 * n))
     goal = np.bincount(cols, vals * h[rows], n)
-    for _ in range(rounds):
+    before = np.inf
+    for i in range(rounds):
         used = np.bincount(rows, vals * x[cols], len(h))
+        if i % 10 == 0:
+            left = float(((used - h) ** 2).sum())
+            if left == 0 or i and before - left <= converged * before:
+                break
+            before = left
         x *= goal / np.maximum(np.bincount(cols, vals * used[rows], n), 1e-12)
     return x
 
@@ -143,7 +154,7 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {s: np.array(r, dtype=np.int64) for s, r in rows.items()}
 
 
-def pack(items: DataFrame, packs: DataFrame, spread: int = 64, most_packs: int = 10_000) -> DataFrame:
+def pack(items: DataFrame, packs: DataFrame, ranked: int = RANKED, most_packs: int = 10_000) -> DataFrame:
     """``pack_name, container_id, item_id, piece_no, first_token, n_tokens``: every item in a container of every pack.
 
     ``items(item_id, size, lang)``; ``packs(pack_name, lang, capacity_tokens, gap_tokens)`` with
@@ -151,8 +162,8 @@ def pack(items: DataFrame, packs: DataFrame, spread: int = 64, most_packs: int =
     capacity is split into full pieces and a rest; no other is split. Two items in a container
     have ``gap_tokens`` between them. An item without tokens, or of null size, needs no room: it
     comes out with a null container. Each row of ``items`` is an item of its own, so repeated
-    rows are packed twice. A length that a third of all items have is ranked in ``spread``
-    parts by hash; the driver sees counts by length alone.
+    rows are packed twice. A length that a third of all items have is ranked in parts of about
+    ``ranked`` items, by hash; the driver sees counts by length alone.
     """
     ps = {r["pack_name"]: r for r in bounded(packs, most_packs, "the packs")}
     for r in ps.values():
@@ -168,24 +179,30 @@ def pack(items: DataFrame, packs: DataFrame, spread: int = 64, most_packs: int =
     each = each.select("pack_name", "item_id", "size", "cap", "gap", F.posexplode(F.array_repeat(F.lit(0), n)).alias("piece_no", "zero"))
     first = F.col("piece_no") * F.col("cap")
     each = each.select("pack_name", "item_id", "piece_no", "gap", first.alias("first_token"), F.least(F.col("size") - first, F.col("cap")).alias("n_tokens"))
-    part = F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(spread)).cast("int")
-    each = written(each.withColumn("part", part).withColumn("room", F.col("n_tokens") + F.col("gap")))
-    counts = each.where("n_tokens > 0").groupBy("pack_name", "room", "part").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("pack_name", "room").orderBy("part")
-    offsets = counts.withColumn("offset", F.sum("n").over(w) - F.col("n"))
-    offsets = written(offsets)
-    most = sum(r["capacity_tokens"] for r in ps.values())
-    table: dict[str, dict[int, np.ndarray]] = {}
+    each = written(each.withColumn("room", F.col("n_tokens") + F.col("gap")))
+    most = sum(r["capacity_tokens"] + (r["gap_tokens"] or 0) for r in ps.values())
     hist: dict[str, dict[int, int]] = {}
-    for r in bounded(offsets.groupBy("pack_name", "room").agg(F.sum("n").alias("n")), most + 1, "the histograms of lengths"):
+    for r in bounded(each.where("n_tokens > 0").groupBy("pack_name", "room").agg(F.count(F.lit(1)).alias("n")), most + 1, "the histograms of lengths"):
         hist.setdefault(r["pack_name"], {})[r["room"]] = r["n"]
+    table: dict[str, dict[int, np.ndarray]] = {}
     for name, h in hist.items():
-        r = ps[name]
-        table[name] = slots(plan(h, r["capacity_tokens"] + (r["gap_tokens"] or 0)))
-
+        table[name] = slots(plan(h, ps[name]["capacity_tokens"] + (ps[name]["gap_tokens"] or 0)))
+    # lengths that many items have are ranked in parts; few have so many that the parts are literals
+    hot = [(name, room, -(-n // ranked)) for name, h in hist.items() for room, n in h.items() if n > ranked]
+    part = F.lit(0)
+    if hot:
+        parts = each.sparkSession.createDataFrame(hot, "pack_name string, room long, parts int")  # no more rows than there are lengths
+        each = each.join(F.broadcast(parts), ["pack_name", "room"], "left")
+        part = F.pmod(F.xxhash64("item_id", "piece_no"), F.coalesce("parts", F.lit(1))).cast("int")
+    full = each.where("n_tokens > 0").withColumn("part", part)
     rank = F.row_number().over(Window.partitionBy("pack_name", "room", "part").orderBy("item_id", "piece_no")) - 1
-    full = each.where("n_tokens > 0").withColumn("rank", rank)
-    full = full.join(offsets.select("pack_name", "room", "part", "offset"), ["pack_name", "room", "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    full = full.withColumn("rank", rank)
+    if hot:
+        counts = each.where("parts > 1").groupBy("pack_name", "room", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        offset = F.sum("n").over(Window.partitionBy("pack_name", "room").orderBy("part")) - F.col("n")
+        most_parts = sum(p for *_, p in hot)
+        offsets = each.sparkSession.createDataFrame(bounded(counts.select("pack_name", "room", "part", offset.alias("offset")), most_parts, "the parts of frequent lengths"), "pack_name string, room long, part int, offset long")
+        full = full.join(F.broadcast(offsets), ["pack_name", "room", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("offset", F.lit(0)))
 
     def place(batches):
         for pdf in batches:
