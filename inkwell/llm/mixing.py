@@ -2,10 +2,14 @@
 
 Method: every record has a hash. Tokens are summed by source and leading bits of the hash; the
 cumulated sums show in which bucket each source's budget ends; only that bucket is summed
-again by its next bits, until it is as good as empty. A record is taken if its hash lies below
-its source's threshold, so nothing is sorted, and a smaller budget takes a subset of a larger.
-Where one long record would miss the budget, it is passed over and the next few that fit are
-taken instead.
+again by its next bits, until the record is found at which it ends. A record is taken if its hash
+lies below its source's threshold, so nothing is sorted, and the threshold of a smaller budget is
+no higher than that of a larger one.
+
+The record at the threshold may be too long for what is left of a budget. Then the search goes on
+behind it, among the records that fit into the rest, with the same histograms: every such
+*stretch* of hashes ends at a shorter record, until no more than a share ``NEAR`` of the budget is
+open or no record fits. With records much smaller than budgets there is one stretch.
 """
 
 from __future__ import annotations
@@ -14,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.sizes import TOKENIZERS, with_tokens
-from inkwell.session import bounded, spread, written
+from inkwell.session import bounded, release, spread, written
 
-BITS = 12  # of the hash a level; 62 bits of it are used
-LEVELS = 5
-FILLERS = 256  # records after a threshold that may fill what its last record leaves open
+BITS, TOP = 10, 60  # bits of the hash that a level reads, and those that are used in all
+NEAR = 1e-4  # the share of a budget that may stay open
 
 
 def _budgets(targets: list, sizes: dict[str, int], total: int | None) -> list[dict]:
@@ -42,58 +45,62 @@ def _budgets(targets: list, sizes: dict[str, int], total: int | None) -> list[di
     return out
 
 
-def thresholds(records: DataFrame, budgets: list[dict], near: float = 1e-4) -> None:
-    """Sets ``below`` in every budget: a record is taken once more if its hash is below it.
+def thresholds(records: DataFrame, budgets: list[dict], near: float = NEAR) -> None:
+    """Sets ``stretches`` in every budget: a record is taken once more if it lies in one of them.
 
-    ``records(source, h, n_tokens)`` with ``h`` from 0 to 2^62 - 1. One pass a level; the first
-    covers all records, each later one only the buckets in which a budget ends.
+    ``records(source, h, n_tokens)`` with ``h`` from 0 to 2^60 - 1. A stretch is ``(lo, hi, most)``:
+    hashes from ``lo`` to below ``hi``, records of at most ``most`` tokens.
     """
-    spark = records.sparkSession
-    top = 62
     for b in budgets:
-        b |= {"below": 0, "spent": 0, "bucket": 0, "extra": [], "open": b["rest"] > 0 and b["have"] > 0}
-    for level in range(LEVELS):
-        live = [b for b in budgets if b["open"]]
-        if not live:
-            break
-        shift = top - BITS * (level + 1)
-        rows = records
-        if level == 0:
-            rows = rows.join(F.broadcast(spark.createDataFrame([(s,) for s in {b["source"] for b in live}], "source string")), "source")
-        else:
-            ends = spark.createDataFrame([(s, k) for s, k in {(b["source"], b["bucket"]) for b in live}], "source string, up long")
-            rows = rows.withColumn("up", F.shiftright("h", shift + BITS)).join(F.broadcast(ends), ["source", "up"])
-        sums = rows.groupBy("source", F.shiftright("h", shift).alias("k")).agg(F.sum("n_tokens").alias("n"))
-        got: dict[str, list[tuple[int, int]]] = {}
-        for r in bounded(sums, len(live) << BITS, "the sums by bucket"):
-            got.setdefault(r["source"], []).append((r["k"], r["n"]))
+        b |= {"stretches": [], "open": b["rest"], "lo": 0, "most": (1 << 62)}
+    live = [b for b in budgets if b["rest"] > 0 and b["have"] > 0]
+    while live:
+        _stretch(records, live)
+        live = [b for b in live if b["lo"] < 1 << TOP and b["open"] > near * b["rest"] and b["open"] >= 1]
         for b in live:
-            ks = sorted(x for x in got.get(b["source"], []) if level == 0 or x[0] >> BITS == b["bucket"])
-            b["open"] = False
-            b["below"] = ((b["bucket"] + 1) << (shift + BITS)) if level else 1 << top
-            for k, n in ks:
-                if b["spent"] + n > b["rest"]:
-                    b["below"], b["bucket"], b["open"] = k << shift, k, True
-                    b["open"] = n > near * b["rest"] and level < LEVELS - 1
-                    break
-                b["spent"] += n
-    _fillers(records, [b for b in budgets if b["rest"] > 0 and b["below"] < 1 << top and b["rest"] - b["spent"] > near * b["rest"]])
+            b["most"] = int(b["open"])
 
 
-def _fillers(records: DataFrame, short: list[dict]) -> None:
-    """Sets ``extra``: hashes a little above the threshold of records that fit into what is left of the budget."""
-    if not short:
-        return
+def _stretch(records: DataFrame, wants: list[dict]) -> None:
+    """The next stretch of each budget: as far from ``lo`` as its records up to ``most`` tokens stay within ``open``.
+
+    One pass over the records finds the buckets in which the budgets end; the records of these
+    are written, some thousandth of all, and the further levels read only them.
+    """
     spark = records.sparkSession
-    wide = {id(b): max(1, (FILLERS << 62) // max(1, b["n_records"])) for b in short}
-    spans = spark.createDataFrame([(i, b["source"], b["below"], min(b["below"] + wide[id(b)], (1 << 62) - 1)) for i, b in enumerate(short)], "i int, source string, lo long, hi long")
-    near = records.join(F.broadcast(spans), "source").where("h >= lo AND h < hi").groupBy("i", "h").agg(F.sum("n_tokens").alias("n"))
-    rows = bounded(near, 4 * FILLERS * len(short) + 1000, "the records next to the thresholds")
-    for i, b in enumerate(short):
-        for _, n, h in sorted((-r["n"], r["n"], r["h"]) for r in rows if r["i"] == i):
-            if b["spent"] + n <= b["rest"]:
-                b["extra"].append(h)
-                b["spent"] += n
+    for i, b in enumerate(wants):
+        b |= {"i": i, "at": 0, "end": None}
+    rows, shift = records, TOP
+    while shift > 0 and (live := [b for b in wants if b["end"] is None]):
+        first, shift = shift == TOP, shift - BITS
+        ends = [(b["i"], b["source"], b["at"], b["lo"], b["most"]) for b in live]
+        here = spark.createDataFrame(ends, "i int, source string, up long, lo long, most long")  # a row for each budget
+        hit = rows.withColumn("up", F.shiftright("h", shift + BITS)).join(F.broadcast(here), ["source", "up"]).where("h >= lo AND n_tokens <= most")
+        sums = hit.groupBy("i", F.shiftright("h", shift).alias("k")).agg(F.sum("n_tokens").alias("n"))
+        got: dict[int, list[tuple[int, int]]] = {}
+        for r in bounded(sums, len(live) << BITS, "the sums by bucket"):
+            got.setdefault(r["i"], []).append((r["k"], r["n"]))
+        for b in live:
+            b["at"] = None
+            for k, n in sorted(got.get(b["i"], [])):
+                if n > b["open"]:
+                    b["at"] = k
+                    break
+                b["open"] -= n
+            if b["at"] is None:
+                # all of it fits: to the end, or to the end of the bucket that was read
+                b["end"] = 1 << TOP if first else (b["bucket"] + 1) << (shift + BITS)
+            b["bucket"] = b["at"]
+        if first and (live := [b for b in live if b["end"] is None]):
+            near = spark.createDataFrame(sorted({(b["source"], b["at"]) for b in live}), "source string, up long")
+            rows = written(rows.join(F.broadcast(near), (F.shiftright("h", shift) == F.col("up")) & (rows["source"] == near["source"])).select(rows["source"], "h", "n_tokens"))
+    for b in wants:
+        end = b["end"] if b["end"] is not None else b["at"] << shift  # at the last level a bucket is one hash
+        if end > b["lo"]:
+            b["stretches"].append((b["lo"], end, b["most"]))
+        b["lo"] = end if b["end"] is not None else end + 1
+    if rows is not records:
+        release(rows)
 
 
 def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, most_targets: int = 2_000) -> tuple[DataFrame, DataFrame]:
@@ -108,20 +115,18 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     takes nothing and its share goes to the others. A hot source is only ever summed by bucket.
     """
     spark = records.sparkSession
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "record_id"), 2)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "record_id"), 64 - TOP)
     rows = written(records.where("record_id IS NOT NULL AND source IS NOT NULL").select("record_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), h.alias("h")))
     wanted = bounded(targets, most_targets, "the targets")
-    names = F.broadcast(targets.select("source").distinct())
-    sums = rows.join(names, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
-    found = {r["source"]: r for r in bounded(sums, most_targets, "the sources of the mixes")}
-    budgets = _budgets(wanted, {s: r["n"] for s, r in found.items()}, total)
-    for b in budgets:
-        b["n_records"] = found[b["source"]]["k"] if b["source"] in found else 0
+    names = spark.createDataFrame([(x,) for x in sorted({t["source"] for t in wanted if t["source"] is not None})], "source string")
+    sums = rows.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    budgets = _budgets(wanted, {r["source"]: r["n"] for r in bounded(sums, most_targets, "the sources of the mixes")}, total)
     thresholds(rows, budgets)
-    schema = "mix_name string, source string, target_share double, max_repeats int, have long, copies int, below long, extra array<long>"
-    b = spark.createDataFrame([(x["mix_name"], x["source"], x["target_share"], x["max_repeats"], x["have"], x["copies"], x["below"], x["extra"]) for x in budgets], schema)
-    n = F.col("copies") + F.when((F.col("h") < F.col("below")) | F.array_contains("extra", F.col("h")), 1).otherwise(0)
-    hit = rows.join(F.broadcast(b.select("mix_name", "source", "copies", "below", "extra")), "source").withColumn("copies", n).where("copies > 0")
+    schema = "mix_name string, source string, target_share double, max_repeats int, have long, copies int, stretches array<struct<lo:long,hi:long,most:long>>"
+    b = spark.createDataFrame([(x["mix_name"], x["source"], x["target_share"], x["max_repeats"], x["have"], x["copies"], x["stretches"]) for x in budgets], schema)
+    inside = F.exists("stretches", lambda s: (F.col("h") >= s["lo"]) & (F.col("h") < s["hi"]) & (F.col("n_tokens") <= s["most"]))
+    n = F.col("copies") + F.when(inside, 1).otherwise(0)
+    hit = rows.join(F.broadcast(b.select("mix_name", "source", "copies", "stretches")), "source").withColumn("copies", n).where("copies > 0")
     taken = hit.select("mix_name", "source", "record_id", "copies")
     sums = hit.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"), F.max("copies").alias("repeats"), F.count(F.lit(1)).alias("n_records"))
     whole = sums.groupBy("mix_name").agg(F.sum("taken_tokens").alias("mix_tokens"))

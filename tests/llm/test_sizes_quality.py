@@ -34,6 +34,8 @@ def test_packing_is_whole_and_tight(spark):
     rows = P.pack(df, spark.createDataFrame(packs, PACKS)).collect()
     boxes, pieces = _check(rows, packs, items)
     assert {i for n, i in pieces if n == "a"} == {i for i, *_ in items} and {i for n, i in pieces if n == "b"} == {i for i, _, lg in items if lg and lg.lower() == "de"}
+    parts = P.pack(df, spark.createDataFrame(packs, PACKS), ranked=50).collect()  # the hot length in many parts
+    assert len(parts) == len(rows) and len(_check(parts, packs, items)[0]) == len(boxes)
     used = sum(s or 0 for _, s, _ in items)
     assert len([1 for n, _ in boxes if n == "a"]) <= 1.03 * (used / 512) + 2
 
@@ -83,6 +85,17 @@ def test_smaller_mix_is_nested(spark):
     assert a < b and abs(len(a) - 500) <= 2 and abs(len(b) - 2000) <= 2
 
 
+def test_budget_goes_on_behind_a_long_record(spark):
+    rows = [(i, "s", 1000 if i % 50 else 400_000) for i in range(2000)] + [(5000 + i, "t", 7) for i in range(50_000)]
+    df = spark.createDataFrame(rows, "record_id long, source string, n_tokens int")
+    t = spark.createDataFrame([("m", "s", 0.5, 1), ("m", "t", 0.5, 1), ("n", "s", 1.0, 1)], TARGETS)
+    taken, shares = X.mix(df, t, total=600_000)
+    size = {i: n for i, _, n in rows}
+    for mix, source, want in (("m", "s", 300_000), ("m", "t", 300_000), ("n", "s", 600_000)):
+        got = sum(size[r.record_id] for r in taken.where(f"mix_name = '{mix}' AND source = '{source}'").collect())
+        assert 0 <= want - got < 1000, (mix, source, got)
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "record_id long, source string, n_tokens int")
     taken, shares = X.mix(df, spark.createDataFrame([("m", "s", 1.0, 1)], TARGETS))
