@@ -55,13 +55,13 @@ def thresholds(records: DataFrame, budgets: list[dict], near: float = NEAR) -> N
         b |= {"stretches": [], "open": b["rest"], "lo": 0, "most": (1 << 62)}
     live = [b for b in budgets if b["rest"] > 0 and b["have"] > 0]
     while live:
-        _stretch(records, live)
+        _stretch(records, live, near)
         live = [b for b in live if b["lo"] < 1 << TOP and b["open"] > near * b["rest"] and b["open"] >= 1]
         for b in live:
             b["most"] = int(b["open"])
 
 
-def _stretch(records: DataFrame, wants: list[dict]) -> None:
+def _stretch(records: DataFrame, wants: list[dict], near: float) -> None:
     """The next stretch of each budget: as far from ``lo`` as its records up to ``most`` tokens stay within ``open``.
 
     One pass over the records finds the buckets in which the budgets end; the records of these
@@ -85,6 +85,8 @@ def _stretch(records: DataFrame, wants: list[dict]) -> None:
             for k, n in sorted(got.get(b["i"], [])):
                 if n > b["open"]:
                     b["at"] = k
+                    if n <= near * b["rest"]:
+                        b["end"] = k << shift  # what this bucket could add is less than may stay open
                     break
                 b["open"] -= n
             if b["at"] is None:
@@ -92,8 +94,8 @@ def _stretch(records: DataFrame, wants: list[dict]) -> None:
                 b["end"] = 1 << TOP if first else (b["bucket"] + 1) << (shift + BITS)
             b["bucket"] = b["at"]
         if first and (live := [b for b in live if b["end"] is None]):
-            near = spark.createDataFrame(sorted({(b["source"], b["at"]) for b in live}), "source string, up long")
-            rows = written(rows.join(F.broadcast(near), (F.shiftright("h", shift) == F.col("up")) & (rows["source"] == near["source"])).select(rows["source"], "h", "n_tokens"))
+            last = spark.createDataFrame(sorted({(b["source"], b["at"]) for b in live}), "source string, up long")
+            rows = written(rows.join(F.broadcast(last), (F.shiftright("h", shift) == F.col("up")) & (rows["source"] == last["source"])).select(rows["source"], "h", "n_tokens"))
     for b in wants:
         end = b["end"] if b["end"] is not None else b["at"] << shift  # at the last level a bucket is one hash
         if end > b["lo"]:
