@@ -6,10 +6,11 @@ again by its next bits, until the record is found at which it ends. A record is
 lies below its source's threshold, so nothing is sorted, and the threshold of a smaller budget is
 no higher than that of a larger one.
 
-The record at the threshold may be too long for what is left of a budget. Then the search goes on
-behind it, among the records that fit into the rest, with the same histograms: every such
-*stretch* of hashes ends at a shorter record, until no more than a share ``NEAR`` of the budget is
-open or no record fits. With records much smaller than budgets there is one stretch.
+The record at the threshold may be too long for what is left of a budget. Then the longest record
+behind it that fits is taken too; where even that is less than half of the rest, the search goes on
+with the same histograms among the records that fit. So what is open at least halves each time,
+until it is no more than a share ``NEAR`` of the budget or no record fits. With records much
+smaller than budgets there is nothing to mend.
 """
 
 from __future__ import annotations
@@ -52,13 +53,50 @@ def thresholds(records: DataFrame, budgets: list[dict], near: float = NEAR) -> N
     hashes from ``lo`` to below ``hi``, records of at most ``most`` tokens.
     """
     for b in budgets:
-        b |= {"stretches": [], "open": b["rest"], "lo": 0, "most": (1 << 62)}
-    live = [b for b in budgets if b["rest"] > 0 and b["have"] > 0]
-    while live:
-        _stretch(records, live, near)
-        live = [b for b in live if b["lo"] < 1 << TOP and b["open"] > near * b["rest"] and b["open"] >= 1]
-        for b in live:
-            b["most"] = int(b["open"])
+        b |= {"stretches": [], "open": b["rest"], "lo": 0, "most": (1 << 62), "known": []}
+    stretch = [b for b in budgets if b["rest"] > 0 and b["have"] > 0]
+    while stretch:
+        _stretch(records, stretch, near)
+        stretch = []
+        short = _short(budgets, near)
+        while short:
+            single = _longest(records, short)
+            stretch += [b for b in short if b["i"] in single and single[b["i"]][0] * 2 < b["open"]]
+            short = _short([b for b in short if b["i"] in single and b not in stretch], near)
+
+
+def _short(budgets: list[dict], near: float) -> list[dict]:
+    out = [b for b in budgets if b["lo"] < 1 << TOP and b["have"] > 0 and b["open"] >= 1 and b["open"] > near * b["rest"]]
+    for i, b in enumerate(out):
+        b["i"], b["most"] = i, int(b["open"])
+    return out
+
+
+def _wants(spark, wants: list[dict]) -> DataFrame:
+    """A row for each budget; the hashes already looked at are few, see ``thresholds``."""
+    schema = "i int, source string, up long, lo long, most long, known array<long>"
+    return F.broadcast(spark.createDataFrame([(b["i"], b["source"], b.get("at"), b["lo"], b["most"], b["known"]) for b in wants], schema))
+
+
+def _longest(records: DataFrame, short: list[dict]) -> dict[int, tuple[int, int]]:
+    """The longest record behind each budget's threshold that fits; it is taken if it fills half of what is open."""
+    spark = records.sparkSession
+    hit = records.join(_wants(spark, short), "source").where("h >= lo AND n_tokens <= most AND n_tokens > 0 AND NOT array_contains(known, h)")
+    best = hit.groupBy("i").agg(F.max(F.struct("n_tokens", F.negative("h").alias("h"))).alias("x"))
+    got = {r["i"]: (r["x"]["n_tokens"], -r["x"]["h"]) for r in bounded(best, len(short), "the longest records")}
+    taken = [b for b in short if b["i"] in got and got[b["i"]][0] * 2 >= b["open"]]
+    if taken:
+        # repeated records have one hash: they are taken all or not at all
+        at = spark.createDataFrame([(b["i"], b["source"], got[b["i"]][1]) for b in taken], "i int, source string, h long")
+        sums = records.join(F.broadcast(at), ["source", "h"]).groupBy("i").agg(F.sum("n_tokens").alias("n"))
+        n = {r["i"]: r["n"] for r in bounded(sums, len(taken), "the longest records")}
+        for b in taken:
+            h = got[b["i"]][1]
+            b["known"].append(h)
+            if n[b["i"]] <= b["open"]:
+                b["open"] -= n[b["i"]]
+                b["stretches"].append((h, h + 1, 1 << 62))
+    return got
 
 
 def _stretch(records: DataFrame, wants: list[dict], near: float) -> None:
@@ -73,9 +111,7 @@ def _stretch(records: DataFrame, wants: list[dict], near: float) -> None:
     rows, shift = records, TOP
     while shift > 0 and (live := [b for b in wants if b["end"] is None]):
         first, shift = shift == TOP, shift - BITS
-        ends = [(b["i"], b["source"], b["at"], b["lo"], b["most"]) for b in live]
-        here = spark.createDataFrame(ends, "i int, source string, up long, lo long, most long")  # a row for each budget
-        hit = rows.withColumn("up", F.shiftright("h", shift + BITS)).join(F.broadcast(here), ["source", "up"]).where("h >= lo AND n_tokens <= most")
+        hit = rows.withColumn("up", F.shiftright("h", shift + BITS)).join(_wants(spark, live), ["source", "up"]).where("h >= lo AND n_tokens <= most AND NOT array_contains(known, h)")
         sums = hit.groupBy("i", F.shiftright("h", shift).alias("k")).agg(F.sum("n_tokens").alias("n"))
         got: dict[int, list[tuple[int, int]]] = {}
         for r in bounded(sums, len(live) << BITS, "the sums by bucket"):
