@@ -16,15 +16,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts with the shape of a Latin letter.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTXaesijopcyxdhqw"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухүԁһԛԝӏ", "ABESIJKMHOPCTXYGQWaesijopcyxydhqwl"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc"))
+ARMENIAN = dict(zip("ՍՏՕհոսցօ", "USOhnugo"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏏᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4bRWVSLCPKB"))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲬ", "HIKMNOoPpCcTX"))
 LIGATURES = dict(zip("ﬀﬁﬂﬃﬄﬅﬆ", ["ff", "fi", "fl", "ffi", "ffl", "st", "st"]))
 
 FULLWIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 SPACES = {c: " " for c in map(chr, [0x09, *range(0x80, 0x3001)]) if c == "\t" or unicodedata.category(c) == "Zs"}
 #: Characters without a width: format characters, and the joiner that Unicode files under marks.
 INVISIBLE = {c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cf" and not 0x600 <= ord(c) <= 0x8FF} | {"͏"}
-LETTERS = CYRILLIC | GREEK | FULLWIDTH | SPACES
+
+
+
+def _compatible() -> dict[str, str]:
+    """Letters and digits that Unicode calls another form of one basic letter or digit: mathematical, letter-like, circled... ."""
+    out = {}
+    for c in map(chr, [*range(0x2100, 0x2200), *range(0x1D400, 0x1D800)]):
+        to = unicodedata.normalize("NFKC", c)
+        if len(to) == 1 and to != c and to.isalnum():
+            out[c] = to
+    return out
+
+
+SHAPES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC
+
+
+def _composed() -> dict[str, str]:
+    """Composed letters of other scripts whose base has the shape of a Latin letter, as that letter with their accents."""
+    out = {}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+        base = unicodedata.normalize("NFD", c)
+        if len(base) > 1 and base[0] in SHAPES and len(to := unicodedata.normalize("NFC", SHAPES[base[0]] + base[1:])) == 1:
+            out[c] = to
+    return out
+
+
+LETTERS = SHAPES | _composed() | _compatible() | FULLWIDTH | SPACES
 
 
 def _accents() -> dict[str, str]:
@@ -33,7 +62,7 @@ def _accents() -> dict[str, str]:
     for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
         base = unicodedata.normalize("NFD", c)
         if len(base) > 1 and all(unicodedata.combining(x) for x in base[1:]):
-            out[c] = LETTERS.get(base[0], base[0])
+            out.setdefault(LETTERS.get(c, c), LETTERS.get(base[0], base[0]))
     return out
 
 
@@ -109,7 +138,7 @@ def look_alikes(records: DataFrame, terms: DataFrame, most_words: int | None = N
     ``records(record_id, text)``; ``terms(term_id, term)``. With ``whole`` the entire text must
     look like the term, else an occurrence that is no part of a longer word. Null texts, null
     terms and empty terms find nothing. Several ids of one term all come out. Each pair comes
-    out once, however often it occurs. ``most_terms`` bounds the vocabulary (an error above it).
+    out once, however often it occurs. The vocabulary is joined, never collected.
     """
     terms = terms.where("term IS NOT NULL AND term <> ''").select("term_id", "term")
     # ASCII text looks like a term in other characters only if such a term's own mapped form is ASCII
@@ -140,5 +169,12 @@ def found(spark, sf_dir: str) -> DataFrame:
     return a.unionByName(f)
 
 
-QUERIES = {"p3_found": found}
+
+def canonical_matches(spark, sf_dir: str) -> DataFrame:
+    """Every distinct ``match_text`` with the value that stands for all that look like it."""
+    alerts = spark.read.parquet(f"{sf_dir}/alerts.parquet")
+    return canonical_forms(alerts.select(F.col("match_text").alias("value"))).select("value", "canonical")
+
+
+QUERIES = {"p3_found": found, "p3_canonical": canonical_matches}
 SQL: dict[str, str] = {}

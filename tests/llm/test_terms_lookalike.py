@@ -99,3 +99,10 @@ def test_frequencies_of_a_hot_record_and_clashing_codes(spark, monkeypatch):
     assert df.select(T._code("check_name", F.lit(values[0].term), clash).alias("c")).first().c != values[0].code
     plan = T.block_counts(df.where("file_id < 20 AND file_id <> 7"), "file_id", ["check_name"], "alert_id", 4, [])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # rows to their block, and the counts of blocks
+
+
+def test_composed_letters_of_other_scripts(spark):
+    terms = spark.createDataFrame([(1, "счётчик"), (2, "naïve"), (3, "café")], "term_id long, term string")
+    rows = [(1, "счётчик"), (2, "счëтчик"), (3, "naїve"), (4, "счётчик"), (5, "naive"), (6, "\U0001d41c\U0001d41a\U0001d41fé"), (7, "счетчик")]
+    got = L.look_alikes(spark.createDataFrame(rows, "record_id long, text string"), terms, whole=True).collect()
+    assert {(r.record_id, r.term_id) for r in got} == {(1, 1), (2, 1), (3, 2), (6, 3)}
