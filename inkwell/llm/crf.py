@@ -78,7 +78,11 @@ class LinearChainCRF:
         """The most likely label sequence (Viterbi); ties go to the label listed first."""
         if not seq:
             return []
-        s = self._scores(self._rows(seq))
+        get = self.features.get
+        ids = [[i for f in fs if (i := get(f)) is not None] or [-1] for fs in seq]
+        flat = np.fromiter((i for r in ids for i in r), dtype=np.int64)
+        at = np.cumsum([0, *map(len, ids[:-1])])
+        s = np.add.reduceat(np.where(flat[:, None] < 0, 0.0, self.state[flat]), at, axis=0)
         best, back = s[0] + self.start, []
         for t in range(1, len(s)):
             through = best[:, None] + self.step

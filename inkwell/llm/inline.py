@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 from inkwell.llm.leaves import BLOCK_TAGS, TAG, braced
 
+_S, _SI = int(re.S), int(re.S | re.I)  # joined once, not at every call
+_rx = lru_cache(maxsize=None)(re.compile)
+
+
+def _sub(pattern: str, to, text: str, flags: int = 0) -> str:
+    return _rx(pattern if isinstance(pattern, str) else pattern.pattern, flags).sub(to, text)
+
+
 _SPACE = re.compile(r"\s+")
 _HELD = re.compile("\ue000(\\d+)\ue001")
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -49,19 +58,19 @@ class Cleaner:
         return s
 
     def clean(self, raw: str) -> str:
-        raw = re.sub("[\ue000\ue001]", lambda m: " ", raw)
+        raw = _sub("[\ue000\ue001]", lambda m: " ", raw)
         return squeeze(self.restore(getattr(self, self.form)(raw)))
 
     # -- HTML, alone and inside other formats
 
     def tags(self, s: str, every: bool) -> str:
-        s = re.sub(r"<!--.*?(?:-->|\Z)", "", s, flags=re.S)
-        s = re.sub(r"<(script|style)\b[^>]*>.*?</\1\s*>", "", s, flags=re.S | re.I)
-        s = re.sub(
+        s = _sub(r"<!--.*?(?:-->|\Z)", "", s, flags=_S)
+        s = _sub(r"<(script|style)\b[^>]*>.*?</\1\s*>", "", s, flags=_SI)
+        s = _sub(
             r"<(span|div)\b[^>]*class\s*=\s*[\"']?[^\"'>]*\bmath\b[^>]*>(.*?)</\1\s*>",
-            lambda m: self.formula(undelimited(unescape(re.sub(TAG, "", m.group(2))))), s, flags=re.S | re.I,
+            lambda m: self.formula(undelimited(unescape(_sub(TAG, "", m.group(2))))), s, flags=_SI,
         )
-        s = re.sub(r"<(code|kbd|samp|tt)\b[^>]*>(.*?)</\1\s*>", lambda m: self.hold(unescape(re.sub(TAG, "", m.group(2)))), s, flags=re.S | re.I)
+        s = _sub(r"<(code|kbd|samp|tt)\b[^>]*>(.*?)</\1\s*>", lambda m: self.hold(unescape(_sub(TAG, "", m.group(2)))), s, flags=_SI)
 
         def tag(m):
             name = m.group(2).lower()
@@ -73,8 +82,8 @@ class Cleaner:
 
     def html(self, s: str) -> str:
         s = self.tags(s, True)
-        s = re.sub(r"\\\((.+?)\\\)", lambda m: self.formula(unescape(m.group(1))), s, flags=re.S)
-        s = re.sub(r"\\\[(.+?)\\\]", lambda m: self.formula(unescape(m.group(1))), s, flags=re.S)
+        s = _sub(r"\\\((.+?)\\\)", lambda m: self.formula(unescape(m.group(1))), s, flags=_S)
+        s = _sub(r"\\\[(.+?)\\\]", lambda m: self.formula(unescape(m.group(1))), s, flags=_S)
         return unescape(s)
 
     # -- Markdown
@@ -93,24 +102,24 @@ class Cleaner:
                 return self.formula(m.group(5))
             return self.hold(m.group(6))
 
-        s = re.sub(
+        s = _sub(
             r"\\([!-/:-@\[-`{-~\n])|(?<!`)(`+)(?!`)(.+?)(?<!`)\2(?!`)|\$\$(.+?)\$\$|(?<![\w$])\$(?=[^\s$])([^$]*?[^\s$\\]|\S)\$(?![\d$])|<((?:https?|ftp|mailto):[^\s<>]+)>",
-            literal, _hold_math(s, self), flags=re.S,
+            literal, _hold_math(s, self), flags=_S,
         )
         s = self.tags(s, False)
-        s = re.sub(r"\[\^[^\]\s]+\]", "", s)
+        s = _sub(r"\[\^[^\]\s]+\]", "", s)
         for _ in range(3):
-            new = re.sub(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*(?:<[^>]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)(?:\{[^{}]*\})?", r"\1", s)
-            new = re.sub(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])+)\]\s?\[[^\[\]]*\]", r"\1", new)
+            new = _sub(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*(?:<[^>]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)(?:\{[^{}]*\})?", r"\1", s)
+            new = _sub(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])+)\]\s?\[[^\[\]]*\]", r"\1", new)
             if new == s:
                 break
             s = new
-        s = re.sub(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1(?!\w)", r"\2", s, flags=re.S)
-        s = re.sub(r"(?<![\w*])\*(?=[^\s*])(.+?)(?<=[^\s*])\*(?![\w*])", r"\1", s, flags=re.S)
-        s = re.sub(r"(?<!\w)_(?=[^\s_])(.+?)(?<=[^\s_])_(?!\w)", r"\1", s, flags=re.S)
-        s = re.sub(r"\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*", r"\1", s)
-        s = re.sub(r"~~(?=\S)(.+?)(?<=\S)~~", r"\1", s, flags=re.S)
-        s = re.sub(r"\s*\{#[\w:-]+\}\s*$", "", s)
+        s = _sub(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1(?!\w)", r"\2", s, flags=_S)
+        s = _sub(r"(?<![\w*])\*(?=[^\s*])(.+?)(?<=[^\s*])\*(?![\w*])", r"\1", s, flags=_S)
+        s = _sub(r"(?<!\w)_(?=[^\s_])(.+?)(?<=[^\s_])_(?!\w)", r"\1", s, flags=_S)
+        s = _sub(r"\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*", r"\1", s)
+        s = _sub(r"~~(?=\S)(.+?)(?<=\S)~~", r"\1", s, flags=_S)
+        s = _sub(r"\s*\{#[\w:-]+\}\s*$", "", s)
         return unescape(s)
 
     # -- reStructuredText
@@ -122,84 +131,84 @@ class Cleaner:
             if m.group(2) == "math":
                 return self.formula(m.group(3))
             if m.group(2):
-                body = re.sub(r"\s*<[^<>]*>$", "", m.group(3)) if re.search(r"\S\s*<[^<>]*>$", m.group(3)) else m.group(3)
+                body = _sub(r"\s*<[^<>]*>$", "", m.group(3)) if re.search(r"\S\s*<[^<>]*>$", m.group(3)) else m.group(3)
                 return self.hold(body)
             return "" if m.group(4).isspace() else self.hold(m.group(4))
 
-        s = re.sub(r"``(.+?)``(?=\W|$)|:([a-zA-Z][\w:-]*):`([^`]+)`|\\(.)", literal, s, flags=re.S)
-        s = re.sub(r"`([^`<]+?)\s*<[^`<>]*>`__?", r"\1", s)
-        s = re.sub(r"`([^`]+)`__?", r"\1", s)
-        s = re.sub(r"`([^`]+)`(?::[a-z]+:)?", r"\1", s)
-        s = re.sub(r"\s*\[(?:\d+|#[\w-]*|\*|[A-Za-z][\w-]*)\]_(?!\w)", "", s)
-        s = re.sub(r"(?<![\w*])\*\*(?=\S)(.+?)(?<=\S)\*\*(?!\w)", r"\1", s, flags=re.S)
-        s = re.sub(r"(?<![\w*])\*(?=[^\s*])(.+?)(?<=[^\s*])\*(?![\w*])", r"\1", s, flags=re.S)
-        s = re.sub(r"(?<!\w)\|(?=\S)([^|\n]+?)(?<=\S)\|_?(?!\w)", r"\1", s)
-        return re.sub(r"\b([\w-]*[A-Za-z0-9])__?(?!\w)", r"\1", s)
+        s = _sub(r"``(.+?)``(?=\W|$)|:([a-zA-Z][\w:-]*):`([^`]+)`|\\(.)", literal, s, flags=_S)
+        s = _sub(r"`([^`<]+?)\s*<[^`<>]*>`__?", r"\1", s)
+        s = _sub(r"`([^`]+)`__?", r"\1", s)
+        s = _sub(r"`([^`]+)`(?::[a-z]+:)?", r"\1", s)
+        s = _sub(r"\s*\[(?:\d+|#[\w-]*|\*|[A-Za-z][\w-]*)\]_(?!\w)", "", s)
+        s = _sub(r"(?<![\w*])\*\*(?=\S)(.+?)(?<=\S)\*\*(?!\w)", r"\1", s, flags=_S)
+        s = _sub(r"(?<![\w*])\*(?=[^\s*])(.+?)(?<=[^\s*])\*(?![\w*])", r"\1", s, flags=_S)
+        s = _sub(r"(?<!\w)\|(?=\S)([^|\n]+?)(?<=\S)\|_?(?!\w)", r"\1", s)
+        return _sub(r"\b([\w-]*[A-Za-z0-9])__?(?!\w)", r"\1", s)
 
     # -- Org
 
     def org(self, s: str) -> str:
-        s = re.sub(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$", lambda m: self.formula(next(g for g in m.groups() if g is not None)), s, flags=re.S)
+        s = _sub(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$", lambda m: self.formula(next(g for g in m.groups() if g is not None)), s, flags=_S)
         around, after = r"(?<![^\s({\['\"“«—–-])", r"(?![^\s)}\]'\"”».,;:!?…—–-])"
         for mark in ("~", "="):
-            s = re.sub(rf"{around}{mark}(?=\S)([^{mark}]+?)(?<=\S){mark}{after}", lambda m: self.hold(m.group(1)), s)
-        s = re.sub(r"(?<![\w$])\$(?=[^\s$.,;])([^$\n]*?[^\s$.,]|\S)\$(?!\w)", lambda m: self.formula(m.group(1)), s)
-        s = re.sub(r"\s*\[fn:[^\[\]]*\]", "", s)
-        s = re.sub(r"\[\[([^\[\]]*)\]\[([^\[\]]*)\]\]", r"\2", s)
-        s = re.sub(r"\[\[([^\[\]]*)\]\]", r"\1", s)
+            s = _sub(rf"{around}{mark}(?=\S)([^{mark}]+?)(?<=\S){mark}{after}", lambda m: self.hold(m.group(1)), s)
+        s = _sub(r"(?<![\w$])\$(?=[^\s$.,;])([^$\n]*?[^\s$.,]|\S)\$(?!\w)", lambda m: self.formula(m.group(1)), s)
+        s = _sub(r"\s*\[fn:[^\[\]]*\]", "", s)
+        s = _sub(r"\[\[([^\[\]]*)\]\[([^\[\]]*)\]\]", r"\2", s)
+        s = _sub(r"\[\[([^\[\]]*)\]\]", r"\1", s)
         for _ in range(2):
             for mark in ("*", "/", "_", "+"):
                 e = re.escape(mark)
-                s = re.sub(rf"{around}{e}(?=\S)([^{e}]+?)(?<=\S){e}{after}", r"\1", s)
+                s = _sub(rf"{around}{e}(?=\S)([^{e}]+?)(?<=\S){e}{after}", r"\1", s)
         return s
 
     # -- AsciiDoc
 
     def adoc(self, s: str) -> str:
-        s = re.sub(r"(?:stem|latexmath|asciimath):\[((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]", lambda m: self.formula(m.group(1).replace("\\]", "]")), s)
-        s = re.sub(r"`\+(.+?)\+`", lambda m: self.hold(m.group(1)), s)
-        s = re.sub(r"\+\+\+?(.+?)\+\+\+?", lambda m: self.hold(m.group(1)), s)
-        s = re.sub(r"(?<![\w`])``?(?=\S)(.+?)(?<=\S)``?(?![\w`])", lambda m: self.hold(unescape(m.group(1))), s, flags=re.S)
-        s = re.sub(r"pass:[a-z]*\[([^\]]*)\]", lambda m: self.hold(m.group(1)), s)
-        s = re.sub(r"(?<!\w)\+(?=\S)([^+\n]+?)(?<=\S)\+(?!\w)", lambda m: self.hold(m.group(1)), s)
-        s = re.sub(r"\\(?=[*_`#\[{+^~<&])(.)", lambda m: self.hold(m.group(1)), s)
-        s = re.sub(r"\s*footnote(?:ref)?:[\w-]*\[(?:[^\[\]]|\[[^\[\]]*\])*\]", "", s)
-        s = re.sub(r"(?:link|mailto|xref):(?:\+\+)?[^\s\[]+\[([^\[\]]*)\]", lambda m: m.group(1).split(",window")[0].rstrip("^"), s)
-        s = re.sub(r"\b(?:https?|ftp|irc)://[^\s\[\]]+\[([^\[\]]*)\]", lambda m: m.group(1).split(",window")[0].rstrip("^"), s)
-        s = re.sub(r"<<[^<>,]*,\s*([^<>]*)>>", r"\1", s)
-        s = re.sub(r"\[\[[^\]]*\]\]|\(\(\([^)]*\)\)\)", "", s)
-        s = re.sub(r"\[[.#\w-]*\](?=[#*_`])", "", s)
+        s = _sub(r"(?:stem|latexmath|asciimath):\[((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]", lambda m: self.formula(m.group(1).replace("\\]", "]")), s)
+        s = _sub(r"`\+(.+?)\+`", lambda m: self.hold(m.group(1)), s)
+        s = _sub(r"\+\+\+?(.+?)\+\+\+?", lambda m: self.hold(m.group(1)), s)
+        s = _sub(r"(?<![\w`])``?(?=\S)(.+?)(?<=\S)``?(?![\w`])", lambda m: self.hold(unescape(m.group(1))), s, flags=_S)
+        s = _sub(r"pass:[a-z]*\[([^\]]*)\]", lambda m: self.hold(m.group(1)), s)
+        s = _sub(r"(?<!\w)\+(?=\S)([^+\n]+?)(?<=\S)\+(?!\w)", lambda m: self.hold(m.group(1)), s)
+        s = _sub(r"\\(?=[*_`#\[{+^~<&])(.)", lambda m: self.hold(m.group(1)), s)
+        s = _sub(r"\s*footnote(?:ref)?:[\w-]*\[(?:[^\[\]]|\[[^\[\]]*\])*\]", "", s)
+        s = _sub(r"(?:link|mailto|xref):(?:\+\+)?[^\s\[]+\[([^\[\]]*)\]", lambda m: m.group(1).split(",window")[0].rstrip("^"), s)
+        s = _sub(r"\b(?:https?|ftp|irc)://[^\s\[\]]+\[([^\[\]]*)\]", lambda m: m.group(1).split(",window")[0].rstrip("^"), s)
+        s = _sub(r"<<[^<>,]*,\s*([^<>]*)>>", r"\1", s)
+        s = _sub(r"\[\[[^\]]*\]\]|\(\(\([^)]*\)\)\)", "", s)
+        s = _sub(r"\[[.#\w-]*\](?=[#*_`])", "", s)
         for mark in ("*", "_", "#"):
             e = re.escape(mark)
-            s = re.sub(rf"{e}{e}(?=\S)(.+?)(?<=\S){e}{e}", r"\1", s, flags=re.S)
-            s = re.sub(rf"(?<![\w{e}]){e}(?=[^\s{e}])(.+?)(?<=[^\s{e}]){e}(?![\w{e}])", r"\1", s, flags=re.S)
-        s = re.sub(r" \+(?=\n|$)", " ", s)
+            s = _sub(rf"{e}{e}(?=\S)(.+?)(?<=\S){e}{e}", r"\1", s, flags=_S)
+            s = _sub(rf"(?<![\w{e}]){e}(?=[^\s{e}])(.+?)(?<=[^\s{e}]){e}(?![\w{e}])", r"\1", s, flags=_S)
+        s = _sub(r" \+(?=\n|$)", " ", s)
         return unescape(s)
 
     # -- wiki text
 
     def wiki(self, s: str) -> str:
-        s = re.sub(r"<!--.*?(?:-->|\Z)", "", s, flags=re.S)
-        s = re.sub(r"<nowiki>(.*?)</nowiki>", lambda m: self.hold(unescape(m.group(1))), s, flags=re.S | re.I)
-        s = re.sub(r"<math\b[^>]*>(.*?)</math>", lambda m: self.formula(unescape(m.group(1))), s, flags=re.S | re.I)
-        s = re.sub(r"\s*<ref\b[^>/]*/>|\s*<ref\b[^>]*>.*?</ref>|<nowiki\s*/>|<references[^>]*>", "", s, flags=re.S | re.I)
+        s = _sub(r"<!--.*?(?:-->|\Z)", "", s, flags=_S)
+        s = _sub(r"<nowiki>(.*?)</nowiki>", lambda m: self.hold(unescape(m.group(1))), s, flags=_SI)
+        s = _sub(r"<math\b[^>]*>(.*?)</math>", lambda m: self.formula(unescape(m.group(1))), s, flags=_SI)
+        s = _sub(r"\s*<ref\b[^>/]*/>|\s*<ref\b[^>]*>.*?</ref>|<nowiki\s*/>|<references[^>]*>", "", s, flags=_SI)
         s = self.tags(s, False)
-        while (new := re.sub(r"\{\{[^{}]*\}\}", "", s)) != s:
+        while (new := _sub(r"\{\{[^{}]*\}\}", "", s)) != s:
             s = new
-        s = re.sub(r"\[\[(?:Category|File|Image|Kategorie|Catégorie|Categoría|Категория)\s*:[^\[\]]*\]\]", "", s)
-        s = re.sub(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]+)\]\]", r"\1", s)
-        s = re.sub(r"\[(?:https?|ftp|mailto):\S+\s+([^\[\]]+)\]", r"\1", s)
-        s = re.sub(r"\[((?:https?|ftp):[^\s\[\]]+)\]", "", s)
-        s = re.sub(r"'{5}(.+?)'{5}", r"\1", s, flags=re.S)
-        s = re.sub(r"'''(.+?)'''", r"\1", s, flags=re.S)
-        s = re.sub(r"''(.+?)''", r"\1", s, flags=re.S)
+        s = _sub(r"\[\[(?:Category|File|Image|Kategorie|Catégorie|Categoría|Категория)\s*:[^\[\]]*\]\]", "", s)
+        s = _sub(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]+)\]\]", r"\1", s)
+        s = _sub(r"\[(?:https?|ftp|mailto):\S+\s+([^\[\]]+)\]", r"\1", s)
+        s = _sub(r"\[((?:https?|ftp):[^\s\[\]]+)\]", "", s)
+        s = _sub(r"'{5}(.+?)'{5}", r"\1", s, flags=_S)
+        s = _sub(r"'''(.+?)'''", r"\1", s, flags=_S)
+        s = _sub(r"''(.+?)''", r"\1", s, flags=_S)
         return unescape(s)
 
     # -- LaTeX
 
     def tex(self, s: str) -> str:
-        s = re.sub(r"\\verb\*?([^a-zA-Z\s])(.*?)\1", lambda m: self.hold(m.group(2)), s, flags=re.S)
-        s = re.sub(r"\\\((.+?)\\\)|(?<!\\)\$([^$]+?)(?<!\\)\$|\\begin\{math\}(.+?)\\end\{math\}", lambda m: self.formula(next(g for g in m.groups() if g is not None)), s, flags=re.S)
+        s = _sub(r"\\verb\*?([^a-zA-Z\s])(.*?)\1", lambda m: self.hold(m.group(2)), s, flags=_S)
+        s = _sub(r"\\\((.+?)\\\)|(?<!\\)\$([^$]+?)(?<!\\)\$|\\begin\{math\}(.+?)\\end\{math\}", lambda m: self.formula(next(g for g in m.groups() if g is not None)), s, flags=_S)
         return self._commands(s)
 
     def _commands(self, s: str) -> str:
@@ -272,9 +281,9 @@ _ARGS = {"href": 2, "textcolor": 2, "vspace": 1, "centering": 0, "noindent": 0,
 
 def _hold_math(s: str, c: Cleaner) -> str:
     """TeX brackets in Markdown are escapes, but for those of embedded HTML."""
-    return re.sub(
+    return _sub(
         r"<(span|div)\b[^>]*class\s*=\s*[\"']?[^\"'>]*\bmath\b[^>]*>(.*?)</\1\s*>",
-        lambda m: c.formula(undelimited(unescape(m.group(2)))), s, flags=re.S | re.I,
+        lambda m: c.formula(undelimited(unescape(m.group(2)))), s, flags=_SI,
     )
 
 
@@ -284,4 +293,4 @@ def undelimited(s: str) -> str:
     for a, b in (("$$", "$$"), ("\\[", "\\]"), ("\\(", "\\)"), ("$", "$")):
         if s.startswith(a) and s.endswith(b) and len(s) >= len(a) + len(b):
             return s[len(a) : len(s) - len(b)].strip()
-    return re.sub(r"^\\begin\{(\w+)\*?\}(.*)\\end\{\1\*?\}$", r"\2", s, flags=re.S).strip()
+    return _sub(r"^\\begin\{(\w+)\*?\}(.*)\\end\{\1\*?\}$", r"\2", s, flags=_S).strip()

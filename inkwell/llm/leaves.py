@@ -1,8 +1,10 @@
 """Markup to leaf blocks: one small document tree for every format.
 
 A leaf is a block that holds text and no further blocks. Each format's reader gives leaves
-with their ancestor tags, a depth where the format states one, and the raw text between the
-block's marks. What a leaf *is* (paragraph, item, residue...) is left to the sequence model.
+with the containers around them, the mark that opens them as it stands in the text (``##``, ``-``,
+``.. note::``, ``\\item``; the adornment below a line as ``_=``), a depth where the format states
+one, and the raw text between the marks. What a leaf *is* (paragraph, item, residue...) is left to
+the sequence model: no reader says so.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ class Leaf:
     depth: int = 0
     form: str = ""  # how the text is marked up inside
     attrs: str = field(default="")
+    mark: str = ""  # what opens the block, as written
 
 
 # File name endings of the formats.
@@ -112,7 +115,7 @@ def html_leaves(text: str, within: tuple[str, ...] = ("html",)) -> list[Leaf]:
         if not m.group(2):
             if m.group().startswith("<!--"):
                 flush()
-                out.append(Leaf(path() + ("comment",), m.group(), 0, "html"))
+                out.append(Leaf(path(), m.group(), 0, "html", mark="<!--"))
             continue
         tag, shut = m.group(2).lower(), bool(m.group(1))
         if tag in RAW_TAGS and not shut:
@@ -173,7 +176,7 @@ def md_leaves(text: str) -> list[Leaf]:
     if i < n and lines[i].rstrip() in ("---", "+++"):
         end = next((k for k in range(i + 1, n) if lines[k].rstrip() == lines[i].rstrip() or lines[k].rstrip() == "..."), None)
         if end is not None:
-            out.append(Leaf(("md", "meta"), "\n".join(lines[i + 1 : end]), 0, "md"))
+            out.append(Leaf(("md",), "\n".join(lines[i + 1 : end]), 0, "md", mark=lines[i].strip()))
             i = end + 1
     para: list[str] = []
     quote = False
@@ -183,8 +186,7 @@ def md_leaves(text: str) -> list[Leaf]:
     def flush() -> None:
         nonlocal para, quote
         if para:
-            tags = ("md", "blockquote", "p") if quote else ("md", "p")
-            out.append(Leaf(tags, "\n".join(para), 0, "md"))
+            out.append(Leaf(("md",), "\n".join(para), 0, "md", mark=">" if quote else ""))
         para, quote = [], False
 
     open_item: Leaf | None = None
@@ -200,7 +202,7 @@ def md_leaves(text: str) -> list[Leaf]:
             flush()
             close = re.compile(rf"^\s*{re.escape(m.group(2)[0])}{{{len(m.group(2))},}}\s*$")
             end = next((k for k in range(i + 1, n) if close.match(lines[k])), n)
-            out.append(Leaf(("md", "pre"), "\n".join(lines[i + 1 : end]), 0, "md", m.group(3)))
+            out.append(Leaf(("md",), "\n".join(lines[i + 1 : end]), 0, "md", m.group(3), m.group(2)))
             i, open_item = end + 1, None
             continue
         if s.startswith("<!--"):
@@ -209,7 +211,7 @@ def md_leaves(text: str) -> list[Leaf]:
             while end < n - 1 and "-->" not in lines[end]:
                 end += 1
             rest = lines[end].partition("-->")[2]
-            out.append(Leaf(("md", "comment"), "\n".join(lines[i : end + 1]), 0, "md"))
+            out.append(Leaf(("md",), "\n".join(lines[i : end + 1]), 0, "md", mark="<!--"))
             i = end + 1
             if rest.strip():
                 para.append(rest)
@@ -217,11 +219,11 @@ def md_leaves(text: str) -> list[Leaf]:
         if s.startswith("$$"):
             flush()
             if len(s) > 4 and s.endswith("$$"):
-                out.append(Leaf(("md", "math"), s, 0, "md"))
+                out.append(Leaf(("md",), s, 0, "md", mark="$$"))
                 i += 1
                 continue
             end = next((k for k in range(i + 1, n) if lines[k].strip().endswith("$$")), n - 1)
-            out.append(Leaf(("md", "math"), "\n".join(lines[i : end + 1]), 0, "md"))
+            out.append(Leaf(("md",), "\n".join(lines[i : end + 1]), 0, "md", mark="$$"))
             i = end + 1
             continue
         if m := re.match(r"^ {0,3}\[\^([^\]]+)\]:", line):
@@ -229,40 +231,40 @@ def md_leaves(text: str) -> list[Leaf]:
             end = i + 1
             while end < n and (lines[end].startswith(("    ", "\t")) or (lines[end].strip() and not re.match(r"^ {0,3}\[", lines[end]) and lines[end - 1].strip())):
                 end += 1
-            out.append(Leaf(("md", "footnote"), "\n".join(lines[i:end]), 0, "md"))
+            out.append(Leaf(("md",), "\n".join(lines[i:end]), 0, "md", mark="[^]:"))
             i = end
             continue
         if not para and re.match(r"^ {0,3}\[[^\]]+\]:\s*\S+", line):
-            out.append(Leaf(("md", "linkdef"), line, 0, "md"))
+            out.append(Leaf(("md",), line, 0, "md", mark="[]:"))
             i += 1
             continue
         if m := re.match(r"^ {0,3}(#{1,6})(\s+(.*?))?(\s+#+)?\s*$", line):
             flush()
             items, open_item = [], None
-            out.append(Leaf(("md", "h"), m.group(3) or "", len(m.group(1)), "md"))
+            out.append(Leaf(("md",), m.group(3) or "", len(m.group(1)), "md", mark=m.group(1)))
             i += 1
             continue
         if para and not quote and (m := re.match(r"^ {0,3}(=+|-+)\s*$", line)):
             body, para = "\n".join(para), []
-            out.append(Leaf(("md", "h"), body, 1 if m.group(1)[0] == "=" else 2, "md"))
+            out.append(Leaf(("md",), body, 1 if m.group(1)[0] == "=" else 2, "md", mark="_" + m.group(1)))
             items, open_item = [], None
             i += 1
             continue
         if re.match(r"^ {0,3}([-*_])(\s*\1){2,}\s*$", line):
             flush()
-            out.append(Leaf(("md", "hr"), line, 0, "md"))
+            out.append(Leaf(("md",), line, 0, "md", mark=m.group(1) if (m := re.match(r"\s*(\S)", line)) else ""))
             i += 1
             continue
         if s.startswith(":::") or re.match(r"^\{%.*%\}$|^\{\{[<%].*[>%]\}\}$", s):
             flush()
-            out.append(Leaf(("md", "directive"), line, 0, "md"))
+            out.append(Leaf(("md",), line, 0, "md", mark=s[:2]))
             i += 1
             continue
         if "|" in s and i + 1 < n and not para and "|" in lines[i + 1] and _RULER.match(lines[i + 1]):
             k = i
             while k < n and lines[k].strip() and "|" in lines[k]:
                 if k != i + 1:
-                    out.append(Leaf(("md", "table", "tr"), "\x00".join(md_cells(lines[k])), 0, "md"))
+                    out.append(Leaf(("md", "|"), "\x00".join(md_cells(lines[k])), 0, "md", mark="|"))
                 k += 1
             i, open_item = k, None
             continue
@@ -294,7 +296,7 @@ def md_leaves(text: str) -> list[Leaf]:
                 items.append(ind)
                 body = line[m.end() :]
                 body = re.sub(r"^\[[ xX]\]\s+", "", body)
-                open_item = Leaf(("md",) + ("ul", "li") * len(items), body, len(items), "md")
+                open_item = Leaf(("md",), body, len(items), "md", mark=m.group(2))
                 out.append(open_item)
                 blank = False
                 i += 1
@@ -307,7 +309,7 @@ def md_leaves(text: str) -> list[Leaf]:
             end = i
             while end < n and (not lines[end].strip() or _indent(lines[end]) >= 4):
                 end += 1
-            out.append(Leaf(("md", "pre"), "\n".join(lines[i:end]), 0, "md"))
+            out.append(Leaf(("md",), "\n".join(lines[i:end]), 0, "md", mark="    "))
             i = end
             continue
         if blank and items and _indent(line) < 2:
@@ -357,21 +359,21 @@ def rst_leaves(text: str) -> list[Leaf]:
                 while body and re.match(r"\s*:[\w-]+:", body[0]):
                     body = body[1:]
                 if name in ("code-block", "code", "sourcecode", "parsed-literal", "literalinclude", "highlight"):
-                    out.append(Leaf(("rst", "pre"), "\n".join(body), 0, "rst", arg))
+                    out.append(Leaf(("rst",), "\n".join(body), 0, "rst", arg, f".. {name}::"))
                 elif name == "math":
-                    out.append(Leaf(("rst", "math"), "\n".join([arg, *body]), 0, "rst"))
+                    out.append(Leaf(("rst",), "\n".join([arg, *body]), 0, "rst", mark=f".. {name}::"))
                 elif name in ("note", "warning", "tip", "important", "caution", "attention", "hint", "danger", "error", "admonition", "epigraph", "pull-quote"):
                     cut = min((_indent(x) for x in body if x.strip()), default=0)
                     inner = "\n".join(x[cut:] for x in body)
                     out.extend(rst_leaves((arg + "\n" + inner) if arg and name != "admonition" else inner))
                 else:
-                    out.append(Leaf(("rst", "directive"), "\n".join([s, *body]), 0, "rst", name))
+                    out.append(Leaf(("rst",), "\n".join([s, *body]), 0, "rst", mark=f".. {name}::"))
             elif re.match(r"\.\. \[[^\]]+\]", s):
-                out.append(Leaf(("rst", "footnote"), "\n".join([s, *body]), 0, "rst"))
+                out.append(Leaf(("rst",), "\n".join([s, *body]), 0, "rst", mark=".. []"))
             elif re.match(r"\.\. (_|__)", s) or re.match(r"\.\. \|", s):
-                out.append(Leaf(("rst", "linkdef"), "\n".join([s, *body]), 0, "rst"))
+                out.append(Leaf(("rst",), "\n".join([s, *body]), 0, "rst", mark=s[:4]))
             else:
-                out.append(Leaf(("rst", "comment"), "\n".join([s, *body]), 0, "rst"))
+                out.append(Leaf(("rst",), "\n".join([s, *body]), 0, "rst", mark=".."))
             i = max(end, i + 1)
             continue
         if re.match(r"^=+( +=+)+\s*$", s):
@@ -385,27 +387,27 @@ def rst_leaves(text: str) -> list[Leaf]:
                 elif not re.match(r"^[-=]+( +[-=]+)*$", lines[k].strip()):
                     rows.append(re.split(r"\s{2,}", lines[k].strip()))
                 k += 1
-            out.extend(Leaf(("rst", "table", "tr"), "\x00".join(r), 0, "rst") for r in rows)
+            out.extend(Leaf(("rst", "= ="), "\x00".join(r), 0, "rst") for r in rows)
             i = k
             continue
         if re.match(r"^\+[-=+]+\+\s*$", s):
             k = i
             while k < n and lines[k].strip()[:1] in "+|" and lines[k].strip():
                 if lines[k].strip().startswith("|"):
-                    out.append(Leaf(("rst", "table", "tr"), "\x00".join(md_cells(lines[k])), 0, "rst"))
+                    out.append(Leaf(("rst", "+-+"), "\x00".join(md_cells(lines[k])), 0, "rst", mark="|"))
                 k += 1
             i = k
             continue
         if _ADORN.match(line) and i + 2 < n and lines[i + 1].strip() and _ADORN.match(lines[i + 2]) and lines[i + 2][0] == line[0]:
-            out.append(Leaf(("rst", "h"), lines[i + 1].strip(), level(line[0] * 2), "rst"))
+            out.append(Leaf(("rst",), lines[i + 1].strip(), level(line[0] * 2), "rst", mark="_" + line.strip()))
             i, items = i + 3, []
             continue
         if ind == 0 and i + 1 < n and _ADORN.match(lines[i + 1]) and not _ADORN.match(line) and (len(lines[i + 1].strip()) >= 3):
-            out.append(Leaf(("rst", "h"), s, level(lines[i + 1][0]), "rst"))
+            out.append(Leaf(("rst",), s, level(lines[i + 1][0]), "rst", mark="_" + lines[i + 1].strip()))
             i, items = i + 2, []
             continue
         if _ADORN.match(line) and len(s) >= 4:
-            out.append(Leaf(("rst", "hr"), s, 0, "rst"))
+            out.append(Leaf(("rst",), s, 0, "rst", mark=s[0]))
             i += 1
             continue
         if m := re.match(r"^(\s*)([-*+•]|#\.|\d+[.)]|\(?[a-z]\))(\s+)(?=\S)", line):
@@ -416,7 +418,7 @@ def rst_leaves(text: str) -> list[Leaf]:
             while k < n and lines[k].strip() and _indent(lines[k]) > ind:
                 body.append(lines[k].strip())
                 k += 1
-            out.append(Leaf(("rst",) + ("ul", "li") * len(items), "\n".join(body), len(items), "rst"))
+            out.append(Leaf(("rst",), "\n".join(body), len(items), "rst", mark=m.group(2)))
             i = k
             continue
         if ind == 0:
@@ -427,15 +429,15 @@ def rst_leaves(text: str) -> list[Leaf]:
             k += 1
         literal = body[-1].endswith("::")
         if re.match(r"^:[\w -]+:(\s|$)", s) and ind == 0:
-            out.append(Leaf(("rst", "meta"), "\n".join(body), 0, "rst"))
+            out.append(Leaf(("rst",), "\n".join(body), 0, "rst", mark=":x:"))
         elif body != ["::"]:
             if literal:
                 body[-1] = body[-1][:-1].rstrip() if not body[-1].endswith(" ::") else body[-1][:-2].rstrip()
-            out.append(Leaf(("rst", "blockquote", "p") if ind else ("rst", "p"), "\n".join(body), 0, "rst"))
+            out.append(Leaf(("rst",), "\n".join(body), 0, "rst", mark="  " if ind else ""))
         i = k
         if literal:
             end = block(i, ind + 1)
-            out.append(Leaf(("rst", "pre"), "\n".join(lines[i:end]), 0, "rst"))
+            out.append(Leaf(("rst",), "\n".join(lines[i:end]), 0, "rst", mark="::"))
             i = max(i, end)
     return out
 
@@ -452,7 +454,7 @@ def org_leaves(text: str) -> list[Leaf]:
     def flush(quote: bool = False) -> None:
         nonlocal para
         if para:
-            out.append(Leaf(("org", "blockquote", "p") if quote else ("org", "p"), "\n".join(para), 0, "org"))
+            out.append(Leaf(("org", "quote") if quote else ("org",), "\n".join(para), 0, "org"))
         para = []
 
     quote = False
@@ -475,9 +477,8 @@ def org_leaves(text: str) -> list[Leaf]:
                 i += 1
                 continue
             end = next((k for k in range(i + 1, n) if lines[k].strip().lower() == f"#+end_{kind}"), n)
-            tag = "pre" if kind in ("src", "example", "export") else "comment" if kind == "comment" else "directive"
             body = [re.sub(r"^(\s*),(?=[*,]|#\+)", r"\1", x) for x in lines[i + 1 : end]]
-            out.append(Leaf(("org", tag), "\n".join(body), 0, "org"))
+            out.append(Leaf(("org",), "\n".join(body), 0, "org", mark=f"#+begin_{kind}"))
             i = end + 1
             continue
         if re.match(r"#\+end_", low):
@@ -487,23 +488,23 @@ def org_leaves(text: str) -> list[Leaf]:
             continue
         if low.startswith("#+") or s == "#" or s.startswith("# "):
             flush(quote)
-            out.append(Leaf(("org", "meta" if low.startswith("#+") else "comment"), s, 0, "org"))
+            out.append(Leaf(("org",), s, 0, "org", mark=s[:2].strip()))
             i += 1
             continue
         if re.fullmatch(r":[A-Z_]+:", s):
             flush(quote)
             end = next((k for k in range(i + 1, n) if lines[k].strip() == ":END:"), i)
-            out.append(Leaf(("org", "meta"), "\n".join(lines[i : end + 1]), 0, "org"))
+            out.append(Leaf(("org",), "\n".join(lines[i : end + 1]), 0, "org", mark=":X:"))
             i = end + 1
             continue
         if m := re.match(r"^(\*+)\s+(.*)$", line):
             flush(quote)
             items, open_item = [], None
-            out.append(Leaf(("org", "h"), re.sub(r"\s+:[\w:@]+:$", "", re.sub(r"^(TODO|DONE)\s+", "", m.group(2))), len(m.group(1)), "org"))
+            out.append(Leaf(("org",), re.sub(r"\s+:[\w:@]+:$", "", re.sub(r"^(TODO|DONE)\s+", "", m.group(2))), len(m.group(1)), "org", mark=m.group(1) + " "))
             i += 1
             continue
         if re.match(r"\[fn:[^\]]*\]", s) and not para and line[0] == "[":
-            out.append(Leaf(("org", "footnote"), s, 0, "org"))
+            out.append(Leaf(("org",), s, 0, "org", mark="[fn:]"))
             i += 1
             while i < n and lines[i].strip() and not lines[i].startswith("[fn:"):
                 out[-1].text += "\n" + lines[i]
@@ -513,13 +514,13 @@ def org_leaves(text: str) -> list[Leaf]:
             flush(quote)
             shut = {"\\[": "\\]", "$$": "$$"}.get(s[:2], "\\end{")
             end = next((k for k in range(i, n) if shut in (lines[k] if k > i else lines[k].strip()[2:])), n - 1)
-            out.append(Leaf(("org", "math"), "\n".join(lines[i : end + 1]), 0, "org"))
+            out.append(Leaf(("org",), "\n".join(lines[i : end + 1]), 0, "org", mark=s[:2]))
             i, open_item = end + 1, None
             continue
         if s.startswith("|"):
             flush(quote)
             if not re.match(r"^\|[-+]+\|?$", s):
-                out.append(Leaf(("org", "table", "tr"), "\x00".join(md_cells(s)), 0, "org"))
+                out.append(Leaf(("org", "|"), "\x00".join(md_cells(s)), 0, "org", mark="|"))
             i, open_item = i + 1, None
             continue
         if s.startswith(": ") or s == ":":
@@ -527,12 +528,12 @@ def org_leaves(text: str) -> list[Leaf]:
             k = i
             while k < n and lines[k].strip().startswith(":"):
                 k += 1
-            out.append(Leaf(("org", "pre"), "\n".join(x.strip()[2:] for x in lines[i:k]), 0, "org"))
+            out.append(Leaf(("org",), "\n".join(x.strip()[2:] for x in lines[i:k]), 0, "org", mark=":"))
             i = k
             continue
         if re.fullmatch(r"-{5,}", s):
             flush(quote)
-            out.append(Leaf(("org", "hr"), s, 0, "org"))
+            out.append(Leaf(("org",), s, 0, "org", mark=s[0]))
             i += 1
             continue
         if m := re.match(r"^(\s*)([-+]|\d+[.)]|(?<=\s)\*)(\s+)(?=\S)", line):
@@ -541,7 +542,7 @@ def org_leaves(text: str) -> list[Leaf]:
             while items and ind <= items[-1]:
                 items.pop()
             items.append(ind)
-            open_item = Leaf(("org",) + ("ul", "li") * len(items), re.sub(r"^\[[ xX-]\]\s+", "", line[m.end() :]), len(items), "org")
+            open_item = Leaf(("org",), re.sub(r"^\[[ xX-]\]\s+", "", line[m.end() :]), len(items), "org", mark=m.group(2))
             out.append(open_item)
             i += 1
             continue
@@ -572,7 +573,7 @@ def adoc_leaves(text: str) -> list[Leaf]:
     def flush() -> None:
         nonlocal para
         if para:
-            out.append(Leaf(("adoc", "blockquote", "p") if quote else ("adoc", "p"), "\n".join(para), 0, "adoc"))
+            out.append(Leaf(("adoc", "____") if quote else ("adoc",), "\n".join(para), 0, "adoc"))
         para = []
 
     while i < n:
@@ -586,22 +587,19 @@ def adoc_leaves(text: str) -> list[Leaf]:
         if re.fullmatch(r"/{4,}", s):
             flush()
             end = next((k for k in range(i + 1, n) if lines[k].strip() == s), n)
-            out.append(Leaf(("adoc", "comment"), "\n".join(lines[i : end + 1]), 0, "adoc"))
+            out.append(Leaf(("adoc",), "\n".join(lines[i : end + 1]), 0, "adoc", mark="////"))
             i = end + 1
             continue
         if s.startswith("//") and not s.startswith("///"):
             flush()
-            out.append(Leaf(("adoc", "comment"), s, 0, "adoc"))
+            out.append(Leaf(("adoc",), s, 0, "adoc", mark="//"))
             i, open_item = i + 1, None
             continue
         if re.fullmatch(r"(-{4,}|\.{4,}|\+{4,}|`{3,}\w*)", s):
             flush()
             shut = s if s[0] != "`" else "`" * (len(s) - len(s.lstrip("`")))
             end = next((k for k in range(i + 1, n) if lines[k].strip() == shut), n)
-            tag = "pre"
-            if s[0] == "+":
-                tag = "math" if re.match(r"\[(stem|latexmath|asciimath)", attr) or not attr else "directive"
-            out.append(Leaf(("adoc", tag), "\n".join(lines[i + 1 : end]), 0, "adoc", attr))
+            out.append(Leaf(("adoc",), "\n".join(lines[i + 1 : end]), 0, "adoc", attr, s[:4] + " " + "".join(re.findall(r"^\[\w*", attr))))
             i, attr, open_item = end + 1, "", None
             continue
         if s == "|===":
@@ -610,8 +608,8 @@ def adoc_leaves(text: str) -> list[Leaf]:
             for x in lines[i + 1 : end]:
                 if x.strip().startswith("|"):
                     cells = [c.strip() for c in re.split(r"(?<!\\)\|", x.strip())[1:]]
-                    out.append(Leaf(("adoc", "table", "tr"), "\x00".join(cells), 0, "adoc"))
-                elif x.strip() and out and out[-1].tags[-1] == "tr":
+                    out.append(Leaf(("adoc", "|==="), "\x00".join(cells), 0, "adoc", mark="|"))
+                elif x.strip() and out and out[-1].tags[-1] == "|===":
                     out[-1].text += " " + x.strip()
             i, attr, open_item = end + 1, "", None
             continue
@@ -624,29 +622,29 @@ def adoc_leaves(text: str) -> list[Leaf]:
             continue
         if not para and (m := re.match(r"^(={1,6})\s+(.*?)(\s+\1)?$", line)):
             open_item = None
-            out.append(Leaf(("adoc", "h"), m.group(2), len(m.group(1)), "adoc"))
+            out.append(Leaf(("adoc",), m.group(2), len(m.group(1)), "adoc", mark=m.group(1)))
             i += 1
             continue
         if re.match(r"^:!?[\w-]+!?:(\s|$)", line):
             flush()
-            out.append(Leaf(("adoc", "meta"), s, 0, "adoc"))
+            out.append(Leaf(("adoc",), s, 0, "adoc", mark=":x:"))
             i += 1
             continue
         if re.fullmatch(r"\[[^\]]*\]", s) and not para or re.fullmatch(r"\[\[[^\]]*\]\]", s) or re.match(r"^(ifdef|ifndef|endif|include)::", s):
             flush()
             attr = s
-            out.append(Leaf(("adoc", "attr"), s, 0, "adoc"))
+            out.append(Leaf(("adoc",), s, 0, "adoc", mark="[]" if s[0] == "[" else "x::"))
             i += 1
             continue
         if m := re.match(r"^\s*(\*{1,5}|\.{1,5}|-|\d+\.)\s+(?=\S)", line):
             flush()
             depth = len(m.group(1)) if m.group(1)[0] in "*." else 1
-            open_item = Leaf(("adoc",) + ("ul", "li") * depth, line[m.end() :], depth, "adoc")
+            open_item = Leaf(("adoc",), line[m.end() :], depth, "adoc", mark=m.group(1) + " ")
             out.append(open_item)
             i += 1
             continue
         if not para and re.match(r"^\.\w", s):
-            out.append(Leaf(("adoc", "caption"), s[1:], 0, "adoc"))
+            out.append(Leaf(("adoc",), s[1:], 0, "adoc", mark=".x"))
             i += 1
             continue
         if open_item is not None and not para:
@@ -668,14 +666,14 @@ def wiki_leaves(text: str) -> list[Leaf]:
     def hold(tag):
         def f(m):
             held.append((tag, m.group(1) if m.groups() else m.group()))
-            return f"\n\x01{len(held) - 1}\x01\n" if tag != "nowiki" else m.group()
+            return f"\n\x01{len(held) - 1}\x01\n"
 
         return f
 
-    text = re.sub(r"<!--.*?(?:-->|\Z)", hold("comment"), text, flags=re.S)
-    text = re.sub(r"<(?:syntaxhighlight|source|pre)\b[^>]*>(.*?)</(?:syntaxhighlight|source|pre)>", hold("pre"), text, flags=re.S | re.I)
-    text = re.sub(r"<math\b[^>]*display\s*=\s*[\"']?block[^>]*>(.*?)</math>", hold("math"), text, flags=re.S | re.I)
-    while (new := re.sub(r"(?m)^\s*\{\{[^{}]*\}\}\s*$", hold("template"), text)) != text:
+    text = re.sub(r"<!--.*?(?:-->|\Z)", hold("<!--"), text, flags=re.S)
+    text = re.sub(r"<(?:syntaxhighlight|source|pre)\b[^>]*>(.*?)</(?:syntaxhighlight|source|pre)>", hold("<source>"), text, flags=re.S | re.I)
+    text = re.sub(r"<math\b[^>]*display\s*=\s*[\"']?block[^>]*>(.*?)</math>", hold("<math>"), text, flags=re.S | re.I)
+    while (new := re.sub(r"(?m)^\s*\{\{[^{}]*\}\}\s*$", hold("{{"), text)) != text:
         text = new
     lines = text.split("\n")
     i, n = 0, len(lines)
@@ -684,7 +682,7 @@ def wiki_leaves(text: str) -> list[Leaf]:
     def flush() -> None:
         nonlocal para
         if para:
-            out.append(Leaf(("wiki", "p"), "\n".join(para), 0, "wiki"))
+            out.append(Leaf(("wiki",), "\n".join(para), 0, "wiki"))
         para = []
 
     while i < n:
@@ -693,17 +691,17 @@ def wiki_leaves(text: str) -> list[Leaf]:
             flush()
         elif m := re.fullmatch(r"\x01(\d+)\x01", s):
             flush()
-            tag, body = held[int(m.group(1))]
-            out.append(Leaf(("wiki", tag), body, 0, "wiki"))
+            mark, body = held[int(m.group(1))]
+            out.append(Leaf(("wiki",), body, 0, "wiki", mark=mark))
         elif m := re.match(r"^(={1,6})\s*(.+?)\s*\1\s*$", s):
             flush()
-            out.append(Leaf(("wiki", "h"), m.group(2), len(m.group(1)), "wiki"))
+            out.append(Leaf(("wiki",), m.group(2), len(m.group(1)), "wiki", mark=m.group(1)))
         elif re.fullmatch(r"(\[\[\s*(Category|Kategorie|Catégorie|Categoría|Категория|File|Image|[a-z]{2,3})\s*:[^\]]*\]\]\s*)+|__[A-Z]+__|#REDIRECT.*", s):
             flush()
-            out.append(Leaf(("wiki", "category"), s, 0, "wiki"))
+            out.append(Leaf(("wiki",), s, 0, "wiki", mark=s[:2] + ":"))
         elif re.fullmatch(r"-{4,}", s):
             flush()
-            out.append(Leaf(("wiki", "hr"), s, 0, "wiki"))
+            out.append(Leaf(("wiki",), s, 0, "wiki", mark=s[0]))
         elif s.startswith("{|"):
             flush()
             row: list[str] = []
@@ -711,7 +709,7 @@ def wiki_leaves(text: str) -> list[Leaf]:
             def end_row() -> None:
                 nonlocal row
                 if row:
-                    out.append(Leaf(("wiki", "table", "tr"), "\x00".join(row), 0, "wiki"))
+                    out.append(Leaf(("wiki", "{|"), "\x00".join(row), 0, "wiki", mark="|"))
                 row = []
 
             i += 1
@@ -720,7 +718,7 @@ def wiki_leaves(text: str) -> list[Leaf]:
                 if x.startswith("|-"):
                     end_row()
                 elif x.startswith("|+"):
-                    out.append(Leaf(("wiki", "caption"), x[2:], 0, "wiki"))
+                    out.append(Leaf(("wiki", "{|"), x[2:], 0, "wiki", mark="|+"))
                 elif x[:1] in ("|", "!"):
                     for c in re.split(r"\|\|" if x[0] == "|" else r"!!|\|\|", x[1:]):
                         row.append(re.sub(r"^\s*(?:\w+\s*=\s*(?:\"[^\"]*\"|\S+)\s*)+\|(?!\|)", "", c).strip())
@@ -732,16 +730,16 @@ def wiki_leaves(text: str) -> list[Leaf]:
             flush()
             marks = m.group(1)
             if marks.strip(":"):
-                out.append(Leaf(("wiki",) + ("ul", "li") * len(marks), m.group(2), len(marks), "wiki"))
+                out.append(Leaf(("wiki",), m.group(2), len(marks), "wiki", mark=marks + " "))
             else:
-                out.append(Leaf(("wiki", "blockquote", "p"), m.group(2), 0, "wiki"))
+                out.append(Leaf(("wiki",), m.group(2), 0, "wiki", mark=marks))
         elif m := re.match(r"^</?blockquote>\s*$", s, re.I):
             flush()
         elif lines[i].startswith(" ") and not para:
             k = i
             while k < n and lines[k].startswith(" ") and lines[k].strip():
                 k += 1
-            out.append(Leaf(("wiki", "pre"), "\n".join(lines[i:k]), 0, "wiki"))
+            out.append(Leaf(("wiki",), "\n".join(lines[i:k]), 0, "wiki", mark=" "))
             i = k
             continue
         else:
@@ -774,7 +772,7 @@ def braced(text: str, at: int) -> int:
 def tex_leaves(text: str) -> list[Leaf]:
     out: list[Leaf] = []
     if (m := re.search(r"\\begin\{document\}", text)):
-        out.append(Leaf(("tex", "meta"), text[: m.start()], 0, "tex"))
+        out.append(Leaf(("tex",), text[: m.start()], 0, "tex", mark=text[: m.start()].lstrip()[:9]))
         text = text[m.end() :]
         if (m := re.search(r"\\end\{document\}", text)):
             text = text[: m.start()]
@@ -790,10 +788,10 @@ def tex_leaves(text: str) -> list[Leaf]:
             if not part.strip():
                 continue
             if depth and stack and stack[-1]:
-                out.append(Leaf(("tex",) + ("ul", "li") * depth, part, depth, "tex"))
+                out.append(Leaf(("tex", "list"), part, depth, "tex", mark="\\item"))
                 stack[-1] = False
             else:
-                out.append(Leaf(("tex", "blockquote", "p") if quote else ("tex", "p"), part, 0, "tex"))
+                out.append(Leaf(("tex", "quote") if quote else ("tex",), part, 0, "tex"))
 
     rx = re.compile(
         r"(?<!\\)%[^\n]*\n?|\\begin\{(verbatim|lstlisting|minted|Verbatim)\*?\}(?:\[[^\]]*\])?(.*?)\\end\{\1\*?\}"
@@ -812,18 +810,18 @@ def tex_leaves(text: str) -> list[Leaf]:
         if t.startswith("%"):
             if text[: m.start()].rpartition("\n")[2].strip() == "":
                 flush()
-                out.append(Leaf(("tex", "comment"), t, 0, "tex"))
+                out.append(Leaf(("tex",), t, 0, "tex", mark="%"))
         elif t.startswith(("\\verb", "\\href", "\\url")):
             buf.append(t)
         elif m.group(1):
             flush()
-            out.append(Leaf(("tex", "pre"), m.group(2), 0, "tex"))
+            out.append(Leaf(("tex",), m.group(2), 0, "tex", mark=f"\\begin{{{m.group(1)}}}"))
         elif m.group(3):
             flush()
-            out.append(Leaf(("tex", "math"), m.group(5), 0, "tex"))
+            out.append(Leaf(("tex",), m.group(5), 0, "tex", mark=f"\\begin{{{m.group(4)}}}"))
         elif m.group(6) is not None or m.group(7) is not None:
             flush()
-            out.append(Leaf(("tex", "math"), m.group(6) if m.group(6) is not None else m.group(7), 0, "tex"))
+            out.append(Leaf(("tex",), m.group(6) if m.group(6) is not None else m.group(7), 0, "tex", mark=t[:2]))
         elif m.group(8):
             flush()
             body = m.group(9)
@@ -833,12 +831,12 @@ def tex_leaves(text: str) -> list[Leaf]:
             body = re.sub(r"\\(hline|toprule|midrule|bottomrule)|\\cline\{[^}]*\}", "", body)
             for row in re.split(r"\\\\(?:\[[^\]]*\])?", body):
                 if row.strip():
-                    out.append(Leaf(("tex", "table", "tr"), "\x00".join(re.split(r"(?<!\\)&", row)), 0, "tex"))
+                    out.append(Leaf(("tex", m.group(8)), "\x00".join(re.split(r"(?<!\\)&", row)), 0, "tex", mark="&"))
         elif m.group(10):
             flush()
             end = braced(text, at - 1)
             name = m.group(10)
-            out.append(Leaf(("tex", "h"), text[at : end - 1], {"section": 1, "chapter": 1, "part": 1}.get(name, name.count("sub") + 1), "tex"))
+            out.append(Leaf(("tex",), text[at : end - 1], {"section": 1, "chapter": 1, "part": 1}.get(name, name.count("sub") + 1), "tex", mark="\\" + name))
             at = end
         elif m.group(11):
             flush()
@@ -861,7 +859,7 @@ def tex_leaves(text: str) -> list[Leaf]:
         else:
             flush()
             end = braced(text, at) if text[at : at + 1] == "{" else at
-            out.append(Leaf(("tex", "meta"), t + text[at:end], 0, "tex"))
+            out.append(Leaf(("tex",), t + text[at:end], 0, "tex", mark=re.match(r"\\[a-z]+", t).group()))
             at = end
     buf.append(text[at:])
     flush()

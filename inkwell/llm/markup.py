@@ -24,15 +24,30 @@ FORMS = ["md", "html", "rst", "org", "adoc", "wiki", "tex"]
 _MARK = re.compile(r"zq\d+x\d+qz")
 
 
+_REPEAT, _NUMBER = re.compile(r"(.)\1+"), re.compile(r"\d+|^[a-zA-Z](?=[.)])")
+
+
+_START = re.compile(r"\\[a-z]+|<[a-z]+|[{\[<|:!.]{1,2}")  # a command or tag that the text itself begins with
+
+
+def _shape(mark: str) -> str:
+    """A mark with its numbers and its length left out: ``####`` as ``#+``, ``12.`` as ``0.``."""
+    return _REPEAT.sub(r"\1+", _NUMBER.sub("0", mark.lower()))
+
+
 def features(leaves: list[Leaf]) -> list[list[str]]:
-    """Per leaf: its ancestor tags (last, pair, each), and figures of its text and place."""
+    """Per leaf: its ancestors (last, pair, each), the mark it opens with, and figures of its text and place."""
     out = []
     for i, x in enumerate(leaves):
         t = x.text.strip()
-        letters = sum(c.isalpha() for c in t) / max(1, len(t))
+        letters = sum(map(str.isalpha, t)) / max(1, len(t))
+        form = x.tags[0]
+        shape = _shape(x.mark)
         out.append(
-            ["bias", f"tag={x.tags[-1]}", f"pair={x.tags[-2:]}", *(f"in={a}" for a in set(x.tags[1:])), f"len={min(len(t).bit_length(), 8)}"]
-            + [f"letters={int(letters * 5)}", f"end={'stop' if t[-1:] in '.!?:。！？' else 'other'}", f"depth={min(x.depth, 3)}", f"first={i == 0}"]
+            ["bias", f"form={form}", f"tag={x.tags[-1]}", f"pair={x.tags[-2:]}", f"mark={form} {shape}", f"sign={form} {shape[:2]}", f"len={min(len(t).bit_length(), 8)}"]
+            + [f"in={a}" for a in set(x.tags[1:])] + [f"word={w}" for w in re.findall(r"[a-z]{2,}", shape)]
+            + [f"letters={int(letters * 5)}", f"end={'stop' if t[-1:] in '.!?:。！？' else 'other'}", f"depth={min(x.depth, 3)}", f"first={i == 0}", f"lines={min(t.count(chr(10)), 3)}", f"bare={letters == 0}"]
+            + ([f"starts={form} {m.group()}"] if (m := _START.match(t)) else [])
             + ([f"has={c}" for c in ("\\", "{", "\x00", "://") if c in t])
         )
     return out
@@ -47,6 +62,7 @@ def labelled(form: str, seed: int) -> tuple[list[list[str]], list[str]]:
         # a leaf's last tag counts as well: the marker of a definition can stand in its mark
         m = _MARK.search(x.text) or _MARK.search(x.attrs)
         ys.append(marks[m.group()] if m else "drop")
+        x.text, x.attrs = _MARK.sub("x", x.text), _MARK.sub("x", x.attrs)  # the model doesn't see the marker
     return features(leaves), ys
 
 

@@ -51,3 +51,23 @@ def test_edges(spark):
 def test_letters_of_the_whole_leaf():
     leaf = Leaf(("doc", "p"), "1 " * 200 + "a" * 4000)
     assert "letters=4" in features([leaf])[0]
+
+
+def test_the_field_decides_and_not_the_containers():
+    """On held-out pages the field is right where the most frequent kind of the last two containers isn't."""
+    from collections import Counter, defaultdict
+
+    pair = lambda fs: next(f for f in fs if f.startswith("pair="))
+    table = defaultdict(Counter)
+    for seed in range(30):
+        for form in FORMS:
+            for fs, y in zip(*labelled(form, seed)):
+                table[pair(fs)][y] += 1
+    model, n, field_right, table_right = block_model(), 0, 0, 0
+    for seed in range(6000, 6008):
+        for form in FORMS:
+            xs, ys = labelled(form, seed)
+            for y, a, fs in zip(ys, model.decode(xs), xs):
+                best = table[pair(fs)].most_common(1)
+                n, field_right, table_right = n + 1, field_right + (a == y), table_right + bool(best and best[0][0] == y)
+    assert field_right >= 0.99 * n and table_right < 0.7 * n
