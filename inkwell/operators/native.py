@@ -17,33 +17,27 @@ from inkwell.session import bounded, spread
 
 
 def word_regex(words: list[str], ignorecase: bool = True) -> str:
-    """An alternation of words between ASCII boundaries, the longest first, for Java.
+    """An alternation of words or expressions between ASCII boundaries, the longest first, for Java.
 
-    Where all words begin and end with word characters, the boundary is a look at one character.
+    Where all are plain words, a look at the character before and at the first letter comes first,
+    so that the alternatives are tried at few places only.
     """
-    if all(re.fullmatch(r"\w(?:.*\w)?", w, re.ASCII) and not re.search(r"[|?*+(]", w) for w in words):
-        return ("(?i)" if ignorecase else "") + "(?<![0-9A-Za-z_])(?:" + "|".join(longest_first(words)) + ")(?![0-9A-Za-z_])"
-    return ("(?i)" if ignorecase else "") + EDGE + "(?:" + "|".join(longest_first(words)) + ")" + EDGE
-
-
-def may_hold(c: Column, words: list[str]) -> Column:
-    """A cheap test before the expression: some word's letters are in the text."""
-    low = F.lower(c)
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(low, F.lit(w.lower()))
-    return out
+    flag = "(?i:" if ignorecase else "(?:"
+    body = flag + "|".join(longest_first(words)) + ")"
+    if all(re.fullmatch(r"[A-Za-z0-9](?:[\w '-]*\w)?", w, re.ASCII) for w in words) and words:
+        first = "".join(sorted({c for w in words for c in ((w[0].lower(), w[0].upper()) if ignorecase else w[0])}))
+        return f"(?<![0-9A-Za-z_])(?=[{first}]){body}(?![0-9A-Za-z_])"
+    return EDGE + body + EDGE
 
 
 def count_matches(docs: DataFrame, text: str, words: list[str], name: str = "n") -> DataFrame:
     """``docs`` with the number of matches; rows without any are left out."""
-    hit = docs.where(may_hold(F.col(text), words))
-    return hit.withColumn(name, F.regexp_count(text, F.lit(word_regex(words)))).where(F.col(name) > 0)
+    return docs.withColumn(name, F.regexp_count(text, F.lit(word_regex(words)))).where(F.col(name) > 0)
 
 
 def matches(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     """``key, match_text, n``: each match as written, with its number in the document."""
-    found = docs.where(may_hold(F.col(text), words)).select(key, F.explode(F.regexp_extract_all(text, F.lit(word_regex(words)), 0)).alias("match_text"))
+    found = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(word_regex(words)), 0)).alias("match_text"))
     return found.groupBy(key, "match_text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -75,9 +69,17 @@ def without_exceptions(found: DataFrame, match: str, exceptions: list[str]) -> D
 
 
 def mask_phrases(c: Column, phrases: list[str]) -> Column:
-    """The text with accepted phrases starred out, lengths kept, so that no match lies in one."""
+    """The text with accepted phrases starred out, so that no match lies in one.
+
+    Lengths are kept: a plain phrase by a mask of its own length, an expression, whose matches may
+    differ in length, in an Arrow stage.
+    """
     for p in longest_first(phrases):
-        c = F.regexp_replace(c, F.lit(p), F.lit("*" * len(p)))
+        if re.fullmatch(r"[\w '-]+", p):
+            c = F.regexp_replace(c, F.lit(p), F.lit("*" * len(p)))
+        else:
+            rx = re.compile(p, re.ASCII)
+            c = F.udf(lambda t, rx=rx: None if t is None else rx.sub(lambda m: "*" * len(m.group()), t), "string", useArrow=True)(c)
     return c
 
 
@@ -136,7 +138,7 @@ def inconsistencies(blocks: DataFrame, key: str, seq: str, text: str, either: di
     for a, b in sorted(either.items()):
         both = word_regex([a, b])
         # only blocks with a form matter, which keeps what the window sorts small
-        x = blocks.where(may_hold(F.col(text), [a, b]) & F.col(text).rlike(both)).select(key, seq, F.col(text).rlike(word_regex([a])).alias("has_a"), F.col(text).rlike(word_regex([b])).alias("has_b"))
+        x = blocks.where(F.col(text).rlike(both)).select(key, seq, F.col(text).rlike(word_regex([a])).alias("has_a"), F.col(text).rlike(word_regex([b])).alias("has_b"))
         x = x.withColumn("seen_a", F.max("has_a").over(so_far)).withColumn("seen_b", F.max("has_b").over(so_far))
         x = x.where("seen_a AND seen_b").select(key, seq, F.lit(a).alias("first_form"), F.lit(b).alias("second_form"))
         out = x if out is None else out.unionByName(x)
@@ -169,14 +171,66 @@ def unknown_words(docs: DataFrame, key: str, text: str, dictionary: DataFrame, p
     return w.join(dictionary.select("word").distinct(), "word", "left_anti")
 
 
+SHORT = 16  # up to this length words meet on what is left of them after deletions, beyond it on thirds
+
+
+def _without(c: Column) -> Column:
+    """A string with each of its characters left out in turn."""
+    n = F.length(c)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+
+
+def _deletions(c: Column, most: int) -> Column:
+    """A string and what is left of it after up to ``most`` deletions; strings within so many edits share one."""
+    out, last = F.array(c), F.array(c)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda x: _without(x))))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def _segment(i: int, n: Column, parts: int) -> tuple[Column, Column]:
+    """Where segment ``i`` of a string of length ``n`` begins (from 1), and its length."""
+    at = F.floor(n * i / parts).cast("int")
+    return at + 1, F.floor(n * (i + 1) / parts).cast("int") - at
+
+
+def _keys(c: Column, most: int, term: bool) -> Column:
+    """What a word and a term within ``most`` edits of each other share at least one of.
+
+    Short strings: what deletions leave. Long ones: of ``most + 1`` segments of the term one is in
+    the word unchanged, moved by no more than the edits. Near the bound a term has keys of both kinds.
+    """
+    n = F.length(c)
+    short = F.transform(_deletions(c, most), lambda x: F.concat(F.lit("d"), x))
+    parts, none = most + 1, F.array().cast("array<string>")
+    found = []
+    for i in range(parts):
+        if term:
+            at, size = _segment(i, n, parts)
+            found.append(F.array(F.concat(F.lit(f"s{i}."), n.cast("string"), F.lit("."), F.substring(c, at, size))))
+            continue
+        for change in range(-most, most + 1):  # the lengths that the term may have
+            at, size = _segment(i, n + change, parts)
+            for move in range(-most, most + 1):
+                piece = F.concat(F.lit(f"s{i}."), (n + change).cast("string"), F.lit("."), F.substring(c, at + move, size))
+                found.append(F.when(at + move >= 1, F.array(piece)).otherwise(none))
+    long = F.array_distinct(F.concat(*found))
+    if not term:
+        return F.when(n <= SHORT, short).otherwise(long)
+    return F.concat(F.when(n <= SHORT + most, short).otherwise(none), F.when(n > SHORT - most, long).otherwise(none))
+
+
 def nearest(words: DataFrame, terms: DataFrame, most: int = 2, k: int = 3) -> DataFrame:
     """``word, term, edits, place``: the ``k`` terms within ``most`` edits of each word, ties by text.
 
-    Lengths differ by no more than the edits, so words meet terms on the length alone; ``terms``
-    is a vocabulary, put out once for each length it may meet.
+    Words and terms meet on keys that two strings so near must share, see ``_keys``; each pair is
+    then measured once.
     """
-    t = terms.select("term", F.explode(F.sequence(F.length("term") - most, F.length("term") + most)).alias("size"))
-    near = words.select("word", F.length("word").alias("size")).distinct().join(t, "size").withColumn("edits", F.levenshtein("word", "term", most)).where("edits >= 0 AND word <> term")
+    t = terms.select("term").where("term IS NOT NULL").distinct().select("term", F.explode(_keys(F.col("term"), most, True)).alias("key"))
+    w = words.select("word").where("word IS NOT NULL").distinct().select("word", F.explode(_keys(F.col("word"), most, False)).alias("key"))
+    near = w.join(t, "key").select("word", "term").distinct().withColumn("edits", F.levenshtein("word", "term", most)).where("edits >= 0 AND word <> term")
     place = F.row_number().over(Window.partitionBy("word").orderBy("edits", "term"))
     return near.withColumn("place", place).where(F.col("place") <= k).select("word", "term", "edits", "place")
 
@@ -210,29 +264,32 @@ def closest(words: DataFrame, dictionaries: list[DataFrame], each: int = 5, k: i
     return best.select("word", term.alias("term"), (-F.col("away")).alias("similarity"), "place")
 
 
-def scope_matches(scopes: DataFrame, rules: DataFrame) -> DataFrame:
-    """``scope_path, check_name``: rules that see each distinct scope; see ``rules.in_scope``.
+def scope_matches(scopes: DataFrame, rules: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``scope_path, check_name``: rules that see each distinct scope, as ``rules.in_scope`` says.
 
-    The theta join on label sets becomes an equi-join: scopes and entries meet on each label, an
-    entry holds if all its labels were met, and entries whose negated labels were met are taken out.
+    The theta join on label sets becomes an equi-join: scopes and the parts of entries meet on each
+    label, a part holds if all its labels were met, and an entry if all its plain parts hold and no
+    negated one does. ``rules`` is a rule set: more than ``most`` rows are an error.
     """
-    d = scopes.select("scope_path").where("scope_path IS NOT NULL").distinct()
-    labels = d.select("scope_path", F.explode(F.concat(F.split("scope_path", r"\."), F.array(F.lit("*")))).alias("label")).distinct()
     spark = scopes.sparkSession
-    need, ban = [], []
-    for r in rules.select("check_name", "scope_path").distinct().collect():  # a rule set, not data
-        want, no = {"*"}, set()
+    parts = []  # check, entry, part, negated, label, labels of the part, plain parts of the entry
+    for e, r in enumerate(bounded(rules.select("check_name", "scope_path").distinct(), most, "the rules")):
+        want, ban = [frozenset("*")], []
         for negated, ls in scope_parts(r["scope_path"] or "text"):
-            (no if negated else want).update(ls)
-        need += [(r["check_name"], x, len(want)) for x in want]
-        ban += [(r["check_name"], x) for x in no]
-    wanted = spark.createDataFrame(need or [("", "", 1)], "check_name string, label string, n int")
-    met = labels.join(F.broadcast(wanted), "label").groupBy("scope_path", "check_name", "n").agg(F.count(F.lit(1)).alias("met")).where("met = n")
-    out = met.select("scope_path", "check_name")
-    if ban:
-        hit = labels.join(F.broadcast(spark.createDataFrame(ban, "check_name string, label string")), "label").select("scope_path", "check_name")
-        out = out.join(hit, ["scope_path", "check_name"], "left_anti")
-    return out
+            (ban if negated else want).append(ls)
+        if ban:
+            ban += [frozenset(["raw"]), frozenset(["summary"])]
+        if not any("sentence" in ls for ls in want):
+            ban.append(frozenset(["*sentence"]))  # what only entries that name sentences see
+        for p, (ls, negated) in enumerate([*((x, False) for x in want), *((x, True) for x in ban)]):
+            parts += [(r["check_name"], e, p, negated, x, len(ls), len(want)) for x in ls]
+    d = scopes.select("scope_path").where("scope_path IS NOT NULL").distinct()
+    extra = F.when(F.col("scope_path").startswith("sentence."), F.array(F.lit("*"), F.lit("*sentence"))).otherwise(F.array(F.lit("*")))
+    labels = d.select("scope_path", F.explode(F.array_distinct(F.concat(F.split("scope_path", r"\."), extra))).alias("label"))
+    wanted = spark.createDataFrame(parts, "check_name string, entry int, part int, negated boolean, label string, size int, plain int")
+    met = labels.join(F.broadcast(wanted), "label").groupBy("scope_path", "check_name", "entry", "part", "negated", "size", "plain").agg(F.count(F.lit(1)).alias("n")).where("n = size")
+    entries = met.groupBy("scope_path", "check_name", "entry", "plain").agg(F.count_if(~F.col("negated")).alias("held"), F.count_if("negated").alias("banned"))
+    return entries.where("held = plain AND banned = 0").select("scope_path", "check_name").distinct()
 
 
 def section_styles(files: DataFrame, path: str, sections: list[tuple[str, str]], otherwise: str) -> Column:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.functions.spell import distance
 from inkwell.operators import native as N
@@ -124,3 +125,39 @@ def test_line_starts_of_any_file(spark):
     assert sorted(map(tuple, N.line_starts(df, "k", "t").collect())) == [(1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 1, 0), (4, 1, 0), (4, 2, 2)]
     n = spark.read.parquet(f"{AT}/files.parquet").where("file_content IS NOT NULL").select("file_id").distinct().count()
     assert QUERIES["file_line_starts"](spark, AT).select("file_id").distinct().count() == n
+
+
+def test_nearest_finds_all_within_two_edits(spark):
+    import random
+
+    r = random.Random(4)
+    terms = sorted({"".join(r.choice("abcé") for _ in range(n)) for n in (0, 1, 2, 3, 5, 8, 14, 15, 16, 17, 18, 19, 20, 25, 60) for _ in range(12)})
+    words = []
+    for t in terms:
+        for _ in range(3):
+            w = list(t)
+            for _ in range(r.randint(0, 3)):
+                at = r.randint(0, len(w))
+                w[at : at + r.randint(0, 1)] = r.choice(["", "a", "x"])
+            words.append("".join(w))
+    words = sorted(set(words))
+    got = {(x.word, x.term, x.edits) for x in N.nearest(spark.createDataFrame([(w,) for w in words + [None]], "word string"), spark.createDataFrame([(t,) for t in terms + [None]], "term string"), k=10_000).collect()}
+    assert got == {(w, t, e) for w in words for t in terms if w != t and (e := distance(w, t)) <= 2}
+
+
+def test_scopes_meet_rules_as_in_scope_says(spark):
+    from inkwell.plans.rules import in_scope
+
+    scopes = ["text.md", "text.heading.h1.md", "sentence.text.md", "raw.md", "summary.md", "text.table.cell.md", "text.table.header.md", "paragraph.text.md", "meta.md", "sentence.text.list.md"]
+    entries = ["text", "heading", "~heading & text", "~table.header & text", "~heading", "sentence", "sentence & ~list", "raw", "summary", "table.cell", "~raw", "h1.heading"]
+    s = spark.createDataFrame([(x,) for x in scopes + [None]], "scope_path string")
+    rules = spark.createDataFrame([(f"R{i}", e) for i, e in enumerate(entries)], "check_name string, scope_path string")
+    got = {(r.scope_path, r.check_name) for r in N.scope_matches(s, rules).collect()}
+    assert got == {(x, f"R{i}") for x in scopes for i, e in enumerate(entries) if in_scope((e,), x)}
+
+
+def test_expressions_in_native_rules(spark):
+    df = spark.createDataFrame([(1, "An e-mail, email or E-Mail, foo and bar."), (2, None)], "doc_id long, text string")
+    assert N.count_matches(df, "text", ["e-?mail", "foo|bar"]).first().n == 5
+    masked = df.select(N.mask_phrases(F.col("text"), ["e-?mail", "foo"]).alias("t")).first().t
+    assert masked == "An ******, ***** or E-Mail, *** and bar."
