@@ -213,18 +213,53 @@ def sentence_case(text: str) -> str:
     return TITLE_WORD.sub(each, text)
 
 
-def recase(like: str, text: str) -> str:
-    """``text`` in the case of ``like``: all capitals, a capital first, all lower, or as it is."""
-    letters = [c for c in like if c.isalpha()]
+_CASES = {"lower": str.lower, "upper": str.upper, "title": lambda w: w[:1].upper() + w[1:].lower(), "mixed": lambda w: w}
+
+
+def case_of(text: str) -> str:
+    """``lower``, ``upper`` (of two letters or more), ``title`` (a capital first, none later), else ``mixed``; no letters are ``mixed``."""
+    letters = [c for c in text if c.isalpha()]
     if not letters:
-        return text
+        return "mixed"
+    if all(c.islower() for c in letters):
+        return "lower"
     if len(letters) > 1 and all(c.isupper() for c in letters):
-        return text.upper()
-    if all(w[:1].isupper() for w in like.split() if w[:1].isalpha()) and len(like.split()) > 1:
-        return " ".join(w[:1].upper() + w[1:] for w in text.split(" "))
-    if letters[0].isupper():
-        return text[:1].upper() + text[1:]
-    return text
+        return "upper"
+    return "title" if letters[0].isupper() and not any(c.isupper() for w in text.split() for c in w[1:]) else "mixed"
+
+
+def recase(like: str, text: str) -> str:
+    """``text`` in the case of ``like``.
+
+    Words that both begin or end with keep the case they have in ``like``, each its own; what was
+    changed between them takes the case of what it stands for, as one piece: a capital for its
+    first word only, unless every word it stands for has one. Where nothing stands there, the next
+    word tells, else the one before. Mixed case tells nothing and leaves the text as it is.
+    """
+    new, old = re.findall(r"[^\W_]+(?:['’][^\W_]+)*", text), re.findall(r"[^\W_]+(?:['’][^\W_]+)*", like)
+    if not new or not old:
+        return text
+    same = lambda a, b: a.lower() == b.lower()
+    head = next((i for i, (a, b) in enumerate(zip(new, old)) if not same(a, b)), min(len(new), len(old)))
+    room = min(len(new), len(old)) - head
+    tail = next((i for i in range(room) if not same(new[-1 - i], old[-1 - i])), room)
+    middle = old[head : len(old) - tail]
+    told = " ".join(middle) or (old[len(old) - tail] if tail else old[head - 1])
+    case, every = case_of(told), bool(middle) and all(case_of(w) in ("title", "upper") and w[:1].isupper() for w in middle) and len(middle) > 1
+    if every and case == "mixed" and all(case_of(w) == "title" for w in middle):
+        case = "title"
+    out, at = [], 0
+    for i, w in enumerate(new):
+        k = text.index(w, at)
+        if i < head:
+            c = case_of(old[i])
+        elif i >= len(new) - tail:
+            c = case_of(old[i - len(new)])
+        else:
+            c = "lower" if case == "title" and i > head and not every else case
+        out += [text[at:k], _CASES[c](w)]
+        at = k + len(w)
+    return "".join(out) + text[at:]
 
 
 def syllables(word: str) -> int:

@@ -28,8 +28,9 @@ class Controls:
     (all others off) and ``<word> Style.Rule["match"] = NO``.
     """
 
-    def __init__(self, text: str, word: str):
-        rx = re.compile(rf"(?:<!--|\{{/\*|/\*|#|//|--|;|%|\.\.)[ \t]*{re.escape(word)}[ \t]+(off|on|styles?[ \t]*=[ \t]*[^\n>]+?|[A-Za-z][\w.]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*\w+)[ \t]*(?:-->|\*/\}}?|$)", re.M)
+    def __init__(self, text: str, word: str, delimiters: tuple[str, str] | None = None):
+        opens, shuts = (f"{re.escape(d)}|" for d in delimiters) if delimiters else ("", "")
+        rx = re.compile(rf"(?:{opens}<!--|\{{/\*|/\*|#|//|--|;|%|\.\.)[ \t]*{re.escape(word)}[ \t]+(off|on|styles?[ \t]*=[ \t]*[^\n>]+?|[A-Za-z][\w.]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*\w+)[ \t]*(?:{shuts}-->|\*/\}}?|$)", re.M)
         # one timeline of settings for each thing that can be set, so that a place is looked up by bisection
         self.lines: dict[tuple, tuple[list[int], list]] = {}
         for m in rx.finditer(text) if word in text else ():
@@ -84,7 +85,7 @@ def lint_document(text: str | None, ext: str | None, path: str, program: Program
     if not rules:
         return []
     names = {r.name for r in rules}
-    src, state, controls = Source(text), State(), Controls(text, cfg.control_word)
+    src, state, controls = Source(text), State(), Controls(text, cfg.control_word, section.delimiters)
     if any(r.kind == "metric" for r in rules):
         state.counts = tag_counts(text)
     out: list[tuple] = []

@@ -96,6 +96,49 @@ def existence(rule: Rule, cfg: Config) -> Runner:
     return run
 
 
+MOST_SPELLINGS = 64
+
+
+def spellings(pattern: str, most: int = MOST_SPELLINGS) -> list[str] | None:
+    """All strings an expression of letters, ``?``, ``|`` and groups matches; None where they aren't few."""
+    import re._parser as parser
+
+    try:
+        tree = parser.parse(pattern)
+    except re.error:
+        return None
+
+    def of(seq) -> list[str] | None:
+        out = [""]
+        for op, arg in seq:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "SUBPATTERN":
+                more = of(arg[3])
+            elif name == "BRANCH":
+                parts = [of(x) for x in arg[1]]
+                more = None if None in parts else [y for x in parts for y in x]
+            elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
+                inner = of(arg[2])
+                more = None if inner is None else [*inner, ""]
+            elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+                more = [chr(c) for _, c in arg]  # alternatives of one letter are read as a class
+            else:
+                more = None
+            if more is None or len(out) * len(more) > most:
+                return None
+            out = [a + b for a in out for b in more]
+        return out
+
+    return None if re.search(r"(?<!\\)\[", pattern) else of(tree)
+
+
+def canonical(term: str, observed: str) -> str:
+    """A term's own spelling of what was met: the one that differs in case alone, else the term as it is written."""
+    return next((w for w in spellings(term) or () if w.lower() == observed.lower()), term)
+
+
 def substitution(rule: Rule, cfg: Config) -> Runner:
     p = rule.params
     swap = {str(k): str(v) for k, v in (p.get("swap") or {}).items()}
@@ -105,6 +148,7 @@ def substitution(rule: Rule, cfg: Config) -> Runner:
     rx = compiled(words_pattern([f"({k})" for k in flat], bool(p.get("nonword")), ignore, template=cfg.word_template))
     own = [compiled(("(?i)" if ignore else "") + k) for k in keys]
     skip, may = exceptions(rule, cfg), _cheap(keys, False)
+    parts = re.compile(p["pos"]) if p.get("pos") else None  # what the tags of the match, joined by spaces, must fit
     phrases = _phrases(cfg) if p.get("vocab", True) else None
 
     def run(text: str, state: State) -> list[Hit]:
@@ -117,6 +161,10 @@ def substitution(rule: Rule, cfg: Config) -> Runner:
             i = next((i for i, g in enumerate(m.groups()) if g is not None and (g or m.start(i + 1) > 0)), None)
             if i is None or skip and skip.search(got) or _inside(spans, *m.span()):
                 continue
+            if parts is not None:
+                words = state.tags.get(text) or state.tags.setdefault(text, tag(text))
+                if not parts.search(" ".join(t for _, t, at in words if m.start() <= at < m.end())):
+                    continue
             want = swap[keys[i]]
             if "$" in want and (k := own[i].search(got)):
                 want = re.sub(r"\$(\d+)", lambda x: (k.group(int(x.group(1))) or "") if int(x.group(1)) <= len(k.groups()) else "", want)
@@ -139,6 +187,9 @@ def substitution(rule: Rule, cfg: Config) -> Runner:
                 params, shown = tuple(choices), to_sentence(choices)
                 shown = shown[1:-1] if rule.message.count("'%s'") >= 1 and len(choices) == 1 else shown
             else:
+                want = canonical(want, got)
+                if got == want:
+                    continue
                 shown = recase(got, want) if p.get("matchcase") else want
                 shown = to_sentence(choices) if len(choices) > 1 else shown
             out.append(Hit(m.start(), m.end(), got, (shown, got), params))
@@ -352,7 +403,10 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\w+")
 
 def spelling(rule: Rule, cfg: Config) -> Runner:
     p = rule.params
-    dic = p.get("dictionary") or Dictionary(set())
+    dics = p.get("dictionary")
+    dics = [dics] if isinstance(dics, Dictionary) else list(dics or ())
+    if not dics:
+        raise RuleError(f"{rule.name}: a spelling rule needs a dictionary")
     ignore = {w.lower() for w in p.get("ignore_words") or ()}
     filters = [compiled(f) for f in p.get("filters") or ()]
     phrases = _phrases(cfg)
@@ -364,10 +418,10 @@ def spelling(rule: Rule, cfg: Config) -> Runner:
             shown = phrases.sub(lambda m: "*" * len(m.group()), text)
         out = []
         for m in _TOKEN.finditer(shown):
-            w = dic.convert(m.group())
+            w = dics[0].convert(m.group())
             if not checked(w, bool(p.get("custom"))) or any(f.search(w) for f in filters) or w.lower() in ignore:
                 continue
-            if not dic.accepts(w) and not (accept and accept.search(w)):
+            if not any(d.accepts(w) for d in dics) and not (accept and accept.search(w)):
                 out.append(Hit(m.start(), m.end(), m.group(), (w,)))
         return out
 

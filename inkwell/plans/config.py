@@ -60,6 +60,7 @@ class Section:
     block_ignores: list[str] = field(default_factory=list)
     token_ignores: list[str] = field(default_factory=list)
     lang: str | None = None
+    delimiters: tuple[str, str] | None = None  # what opens and closes comments beside those of the format
 
 
 @dataclass
@@ -77,6 +78,12 @@ class Config:
     ignored_classes: tuple[str, ...] = ("problematic", "pre", "code")
     word_template: str = r"\b(?:%s)\b"
     control_word: str = "lint"  # what control comments begin with
+    ignore_syntax: bool = False  # every document is one text
+    fragments: dict[str, str] = field(default_factory=dict)  # endings of code whose comments hold markup, with its ending
+    view: dict[str, str] | None = None  # names and paths of the values of data documents that are linted; all where there is none
+    transform: str | None = None
+    packages: list[str] = field(default_factory=list)
+    vocabularies: list[str] = field(default_factory=list)
 
     def section_of(self, path: str) -> Section:
         """What holds for a path: the styles of the last matching section, the settings of all, later ones first."""
@@ -90,6 +97,7 @@ class Config:
                 out.block_ignores += s.block_ignores
                 out.token_ignores += s.token_ignores
                 out.lang = s.lang or out.lang
+                out.delimiters = s.delimiters or out.delimiters
         return out
 
     def level_of(self, rule: Rule, section: Section | None = None) -> str:
@@ -119,8 +127,13 @@ def _setting(value: str) -> tuple[bool, str | None]:
     return value.upper() in ("YES", "ON", "TRUE"), None
 
 
-def read_config(text: str) -> Config:
-    """A configuration from INI text: top keys, ``[formats]``, ``[*]`` and sections by glob."""
+def read_config(text: str, styles: str | None = None) -> Config:
+    """A configuration from INI text: top keys, ``[formats]``, ``[*]`` and sections by glob.
+
+    With ``styles``, the folder of the styles, vocabularies and views are read from below it. A
+    format that turns code into markup makes its comments fragments. An unknown key that isn't the
+    name of a rule or style is an error.
+    """
     ini = configparser.ConfigParser(default_section="\x00", delimiters=("=",), comment_prefixes=("#", ";"), interpolation=None, strict=False)
     ini.optionxform = str
     ini.read_string("[\x01]\n" + text)
@@ -131,24 +144,46 @@ def read_config(text: str) -> Config:
         if name == "\x01":
             cfg.min_level = rows.get("MinAlertLevel", cfg.min_level)
             cfg.word_template = rows.get("WordTemplate", cfg.word_template)
+            if cfg.min_level not in LEVELS:
+                raise ValueError(f"MinAlertLevel must be one of {', '.join(LEVELS)}")
+            if unknown := set(rows) - TOP_KEYS:
+                raise ValueError(f"unknown keys {', '.join(sorted(unknown))}")
+            cfg.packages, cfg.vocabularies = split(rows.get("Packages", "")), split(rows.get("Vocab", ""))
+            for name_ in cfg.vocabularies if styles else ():
+                accept, reject = read_vocabulary(styles, name_)
+                cfg.accept += [x for x in accept if x not in cfg.accept]
+                cfg.reject += [x for x in reject if x not in cfg.reject]
             for key, attr in (("SkippedScopes", "skipped_scopes"), ("IgnoredScopes", "ignored_scopes"), ("IgnoredClasses", "ignored_classes")):
                 if key in rows:
                     setattr(cfg, attr, tuple(split(rows[key])))
             continue
         if name == "formats":
-            cfg.formats = {f".{k.lstrip('.')}": f".{v.lstrip('.')}" for k, v in rows.items()}
+            from inkwell.sources.blocks import CODE, FORMATS
+
+            for k, v in ((f".{k.lstrip('.')}", f".{v.lstrip('.')}") for k, v in rows.items()):
+                (cfg.fragments if k in CODE and FORMATS.get(v) not in (None, "txt", "data") else cfg.formats)[k] = v
+            continue
+        if name == "asciidoctor":
             continue
         s = Section(name)
         for k, v in rows.items():
             if k == "BasedOnStyles":
-                s.styles = split(v)
+                s.styles = list(dict.fromkeys(split(v)))
             elif k == "BlockIgnores":
                 s.block_ignores = split(v)
             elif k in ("TokenIgnores", "IgnorePatterns"):
                 s.token_ignores = split(v)
             elif k == "Lang":
                 s.lang = v
-            elif k[:1].isupper() and k not in ("CommentDelimiters", "Transform", "View", "Packages", "Vocab"):
+            elif k == "CommentDelimiters":
+                if len(pair := split(v)) != 2:
+                    raise ValueError("CommentDelimiters takes what opens and what closes a comment")
+                s.delimiters = (pair[0], pair[1])
+            elif k == "Transform":
+                cfg.transform = v
+            elif k == "View":
+                cfg.view = read_view(f"{styles}/config/views/{v}.yml") if styles else cfg.view
+            elif k[:1].isupper():
                 on, level = _setting(v)
                 s.checks[k] = on
                 if level:
@@ -159,6 +194,33 @@ def read_config(text: str) -> Config:
     return cfg
 
 
+TOP_KEYS = set("StylesPath MinAlertLevel IgnoredScopes WordTemplate SkippedScopes IgnoredClasses Vocab NLPEndpoint Packages".split())
+
+
+def read_vocabulary(styles: str, name: str) -> tuple[list[str], list[str]]:
+    """The accepted and rejected expressions of a vocabulary folder; a file that isn't there holds none."""
+    from pathlib import Path
+
+    at = Path(styles) / "config" / "vocabularies" / name
+    if not at.is_dir():
+        raise ValueError(f"there is no vocabulary {name}")
+    return tuple(vocabulary(f.read_text(encoding="utf-8")) if (f := at / x).is_file() else [] for x in ("accept.txt", "reject.txt"))
+
+
+def read_view(path: str) -> dict[str, str]:
+    """Names and paths of a view file: ``scopes`` with ``name`` and ``expr``."""
+    from pathlib import Path
+
+    import yaml
+
+    spec = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    out = {}
+    for i, s in enumerate(spec.get("scopes") or []):
+        expr = re.sub(r"\.?all\(\)|\[\]|\[\*\]", ".*", str(s["expr"])).lstrip(".")
+        out[s.get("name") or f"value{i}"] = re.sub(r"\[(\d+)\]", r".\1", expr).replace("..", ".")
+    return out
+
+
 def vocabulary(text: str) -> list[str]:
     """The expressions of a vocabulary file: one a line, without comments."""
     return [x for x in (line.strip() for line in text.splitlines()) if x and not x.startswith("# ")]

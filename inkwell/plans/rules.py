@@ -33,7 +33,19 @@ OPEN_KINDS = {"consistency", "spelling"}  # unknown keys are let through
 
 
 class RuleError(ValueError):
-    """A rule that can't be used, with its name and the reason."""
+    """A rule that can't be used, with the reason and, where they are known, its file, line and column."""
+
+    def __init__(self, text: str, path: str | None = None, line: int = 1, column: int = 1):
+        super().__init__(text)
+        self.text, self.path, self.line, self.column = text, path, line, column
+
+    def as_line(self) -> str:
+        return f"{self.path or 'rule'}:{self.line}:{self.column}:{self.text}"
+
+    def as_json(self) -> str:
+        import json
+
+        return json.dumps({"Path": self.path, "Line": self.line, "Span": self.column, "Text": self.text}, ensure_ascii=False)
 
 
 @dataclass(frozen=True)
@@ -90,14 +102,65 @@ def load_rules(folder: str, enabled: set[str] | None = None) -> list[Rule]:
         name = f"{p.parent.name}.{p.stem}"
         if ".test" in p.suffixes or p.stem.endswith(".test") or (enabled is not None and not {name, p.parent.name} & enabled):
             continue
+        text = p.read_text(encoding="utf-8")
         try:
-            spec = yaml.safe_load(p.read_text(encoding="utf-8")) or {}
+            spec = yaml.safe_load(text) or {}
         except yaml.YAMLError as e:
-            raise RuleError(f"{name}: not readable as YAML: {str(e)[:200]}") from e
-        out.setdefault(name, parse_rule(name, spec))
+            at = getattr(e, "problem_mark", None)
+            raise RuleError(f"{name}: not readable as YAML: {str(e)[:200]}", str(p), at.line + 1 if at else 1, at.column + 1 if at else 1) from e
+        try:
+            rule = parse_rule(name, spec)
+            if rule.kind == "spelling":
+                rule.params.update(dictionaries_of(rule, folder))
+        except RuleError as e:
+            keys = re.findall(r"\b\w+\b", e.text.partition("unknown keys")[2]) or ["extends"]
+            line = next((i for i, x in enumerate(text.splitlines(), 1) if x.startswith(keys[0] + ":")), 1)
+            raise RuleError(e.text, str(p), line) from e
+        out.setdefault(name, rule)
     return [out[k] for k in sorted(out)]
 
 
+def dictionaries_of(rule: Rule, folder: str) -> dict[str, Any]:
+    """``dictionary`` and ``ignore_words`` of a spelling rule, from the files it names.
+
+    ``aff`` and ``dic`` name one dictionary; else ``dictionaries`` are names, or all there are, in
+    ``dicpath`` or ``config/dictionaries``; with ``append`` those of ``config/dictionaries`` come
+    in too. ``ignore`` names word lists. A rule without any dictionary is an error.
+    """
+    from pathlib import Path
+
+    from inkwell.functions.spell import read_dictionary
+
+    p, home = rule.params, Path(folder)
+    named = lambda x, *at: next((str(f) for f in (Path(x), home / x, *(home / a / x for a in at)) if f.exists()), None)
+    own, got = home / "config" / "dictionaries", []
+    if p.get("dic") and p.get("aff"):
+        dic, aff = named(p["dic"], "config/dictionaries"), named(p["aff"], "config/dictionaries")
+        if not (dic and aff):
+            raise RuleError(f"{rule.name}: there is no dictionary {p['dic']} with {p['aff']}")
+        got = [read_dictionary(dic, aff)]
+    else:
+        at = named(p["dicpath"]) if p.get("dicpath") else str(own)
+        if at is None:
+            raise RuleError(f"{rule.name}: there is no folder {p['dicpath']}")
+        names = p.get("dictionaries") or []
+        names = [names] if isinstance(names, str) else names
+        files = [Path(at) / f"{n}.dic" for n in names] if names else sorted(Path(at).glob("*.dic"))
+        if p.get("append"):
+            files += sorted(own.glob("*.dic"))
+        for f in dict.fromkeys(files):
+            if not f.is_file():
+                raise RuleError(f"{rule.name}: there is no dictionary {f}")
+            got.append(read_dictionary(str(f), str(f.with_suffix(".aff"))))
+    if not got:
+        raise RuleError(f"{rule.name}: a spelling rule needs a dictionary")
+    words: set[str] = set()
+    for x in [p["ignore"]] if isinstance(p.get("ignore"), str) else p.get("ignore") or []:
+        if f := named(x, "config/ignore"):
+            words |= {w.strip() for w in Path(f).read_text(encoding="utf-8").splitlines() if w.strip()}
+    return {"dictionary": got, "ignore_words": words}
+
+
 _GLOBAL_FLAG = re.compile(r"\(\?([imsx]+)\)")
 _GO_NAMED = re.compile(r"\(\?<([A-Za-z_]\w*)>")
 

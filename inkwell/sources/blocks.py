@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from inkwell.functions.text import sentences
 from inkwell.plans.config import Config
 from inkwell.session import spread
+from inkwell.sources.light import light_blocks, plain_mdx, plain_myst, plain_quarto
 
 BLOCK_SCHEMA = (
     "doc_id long, block_seq int, scope string, sections array<string>, text string, line int, offset int, "
@@ -24,7 +25,7 @@ BLOCK_SCHEMA = (
 
 # Endings and the format each stands for, and the tags of the HTML reader.
 FORMATS = {
-    ".md": "md", ".markdown": "md", ".mdown": "md", ".qmd": "md", ".mdx": "md", ".html": "html", ".htm": "html", ".xhtml": "html", ".txt": "txt", ".org": "org", ".json": "data", ".yml": "data", ".yaml": "data",
+    ".md": "md", ".markdown": "md", ".mdown": "md", ".qmd": "qmd", ".rmd": "qmd", ".mdx": "mdx", ".myst": "myst", ".rst": "rst", ".rest": "rst", ".adoc": "adoc", ".asciidoc": "adoc", ".asc": "adoc", ".qdoc": "qdoc", ".html": "html", ".htm": "html", ".xhtml": "html", ".txt": "txt", ".org": "org", ".json": "data", ".yml": "data", ".yaml": "data",
 }
 COMMENTS = {
     "c": (".c .h .cpp .cc .cxx .hpp .java .cs .swift .scala .kt .go .rs .js .jsx .ts .tsx .php .css .scss .sass .less .proto .qml", r"//[^\n]*|/\*.*?\*/", r'"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`'),
@@ -121,8 +122,9 @@ class Source:
         return line, max(0, offset) - self.starts[line - 1] + 1
 
 
-def plain_blocks(text: str, ext: str) -> list[Block]:
-    return [Block(f"text{ext}", text, [(0, 0, len(text))], True)] if text else []
+def plain_blocks(text: str, ext: str, split: bool = True) -> list[Block]:
+    """A text as one block; one of unknown format isn't split further."""
+    return [Block(f"text{ext}", text, [(0, 0, len(text))], split)] if text else []
 
 
 _TOKEN = re.compile(r"<!--(.*?)-->|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>", re.S)
@@ -427,6 +429,29 @@ def sub_blocks(b: Block) -> list[Block]:
     return [*out, b]
 
 
+DIALECTS = {"md": lambda t: t, "mdx": plain_mdx, "myst": plain_myst, "qmd": plain_quarto}
+
+
+def fragments(comments: list[Block], cfg: Config, kind: str, ext: str) -> list[Block]:
+    """Comments that hold markup, read as such; places go through the comment's runs back to the source."""
+    out = []
+    for c in comments:
+        text = c.text
+        inner = DIALECTS[kind](text) if kind in DIALECTS else text
+        blocks = md_blocks(inner, ext, cfg) if kind in DIALECTS else light_blocks(text, ext, cfg, kind) if kind in ("org", "rst", "adoc", "qdoc") else html_blocks(text, ext, cfg)
+        for b in blocks:
+            b.runs = [(at + x - src, c.source(x), y - x) for at, src, n in b.runs for x, y in _cut_at(c, src, src + n)]
+            b._starts = None
+            out.append(b)
+    return out
+
+
+def _cut_at(c: Block, a: int, b: int) -> list[tuple[int, int]]:
+    """A stretch of a block's text cut where its runs end, so that each part lies together in the source."""
+    cuts = sorted({a, b, *(at for at, _, _ in c.runs if a < at < b)})
+    return list(zip(cuts, cuts[1:]))
+
+
 def document_blocks(text: str | None, ext: str | None, cfg: Config, nested: bool = True, ignores: tuple[list[str], list[str]] = ([], [])) -> list[Block]:
     """All blocks of a document in the order they are linted: text blocks with their parts, ``raw``, then ``summary``."""
     if not text:
@@ -435,20 +460,25 @@ def document_blocks(text: str | None, ext: str | None, cfg: Config, nested: bool
     shown = text
     for pattern in [*ignores[0], *ignores[1]]:
         shown = re.sub(pattern, lambda m: re.sub(r"[^\n]", "*", m.group()), shown)  # ignored text keeps its length
-    kind = FORMATS.get(ext)
-    if kind == "md" or kind == "org":
-        top = md_blocks(shown, ext, cfg)
+    kind = None if cfg.ignore_syntax else FORMATS.get(ext)
+    if kind in DIALECTS:
+        top = md_blocks(DIALECTS[kind](shown), ext, cfg)
+    elif kind in ("org", "rst", "adoc", "qdoc"):
+        top = light_blocks(shown, ext, cfg, kind)
     elif kind == "html":
         top = html_blocks(shown, ext, cfg)
     elif kind == "data":
-        top = data_blocks(shown, ext)
-    elif ext in CODE:
+        top = data_blocks(shown, ext, cfg.view)
+    elif ext.lower() in CODE and not cfg.ignore_syntax:
         top = code_blocks(shown, ext)
+        if fragment := FORMATS.get(cfg.fragments.get(ext, "")):
+            top = fragments(top, cfg, fragment, cfg.fragments[ext])
     else:
-        top = plain_blocks(shown, ext)
+        top = plain_blocks(shown, ext, kind == "txt")
+        nested = nested and kind == "txt"
     out = [x for b in top for x in (sub_blocks(b) if nested else [b])]
     out.append(Block(f"raw{ext}", text, [(0, 0, len(text))]))
-    if kind in ("md", "html", "org"):
+    if kind not in (None, "txt", "data"):
         prose = [b for b in top if not any(k in b.scope for k in (".heading", ".table", ".attr", ".frontmatter"))]
         s = Block(f"summary{ext}")
         for i, b in enumerate(prose):
