@@ -143,3 +143,31 @@ def lint(docs: DataFrame, rules: list[Rule], cfg: Config | None = None, key: str
 
     cols = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (F.col(path) if path else F.lit("")).alias("p"), F.expr(ext).alias("e"))
     return spread(cols.where("k IS NOT NULL AND t IS NOT NULL"), "k").mapInPandas(run, ALERT_SCHEMA)
+
+
+HIT_SCHEMA = "doc_id long, block_seq int, check_name string, begin_at long, end_at long, match_text string, args array<string>"
+
+
+def block_hits(docs: DataFrame, rules: list[Rule], cfg: Config | None = None, key: str = "doc_id", text: str = "text", by_line: bool = False) -> DataFrame:
+    """What each rule finds in the blocks of each document (``HIT_SCHEMA``), before any place is deduplicated or limited.
+
+    A document is one block, or with ``by_line`` a block a line, in order; rules that remember do so
+    within a document. Offsets count from the block's beginning; a rule on the whole text has -1.
+    Null texts and null keys give nothing, repeated rows give repeated hits. Documents stay where they lie.
+    """
+    cfg = cfg or Config(styles=sorted({r.style for r in rules}))
+
+    def run(batches):
+        program = Program(rules, cfg)
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf["k"], pdf["t"]):
+                state = State()
+                for i, block in enumerate(t.split("\n") if by_line else [t]):
+                    for r in program.rules:
+                        for h in program.runners[r.name](block, state):
+                            rows.append((k, i, r.name, h.begin, h.end, h.match, [str(x) for x in h.args]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HIT_SCHEMA.split(", ")]).astype({"doc_id": "int64", "block_seq": "int32", "begin_at": "int64", "end_at": "int64"})
+
+    cols = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    return spread(cols, "k").mapInPandas(run, HIT_SCHEMA)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions import text as X
+from inkwell.functions.spell import Dictionary
 from inkwell.operators import native as N
 from inkwell.operators import reports as R
-from inkwell.operators.lint import lint
-from inkwell.operators.matching import GRADES
-from inkwell.plans.config import Config, glob_regex
+from inkwell.operators.lint import block_hits, lint
+from inkwell.operators.matching import GRADES, SCRIPTS
+from inkwell.plans.config import Config, filter_rules, glob_regex
 from inkwell.plans.rules import Rule, parse_rule
+from inkwell.session import bounded
 from inkwell.sources.blocks import extract_blocks, tag_counts
 from inkwell.sources.files import json_values
 
@@ -429,6 +431,182 @@ def html_tag_counts(spark, d):
     return x.groupBy("file_id", F.lower("tag").alias("tag_name")).agg(F.count(F.lit(1)).alias("n")).where("tag_name NOT LIKE 'table%'")
 
 
+# ---------------------------------------------------------------- the rule kinds of the engine, over whole tables
+
+
+def _hits(spark, d, *rules: Rule, by_line: bool = False, cfg: Config | None = None) -> DataFrame:
+    return block_hits(_read(spark, d, "documents"), list(rules), cfg, by_line=by_line)
+
+
+def _rule(kind: str, name: str = "Own.Rule", **spec) -> Rule:
+    return parse_rule(name, {"extends": kind, "message": "'%s'"} | spec)
+
+
+def _spans_sql(pattern: str, more: str = "") -> str:
+    """Offsets of all matches in each document, as the engine gives them."""
+    return f"""WITH m AS (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS ps, regexp_extract_all(text, '{pattern}') AS ms FROM documents),
+u AS (SELECT doc_id, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS match_text, unnest(range(len(ms))) AS i FROM m),
+c AS (SELECT *, sum(length(p) + length(match_text)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u)
+SELECT doc_id, CAST(e - length(match_text) AS BIGINT) AS begin_at, CAST(e AS BIGINT) AS end_at, match_text FROM c {more}"""
+
+
+@query(_spans_sql(_WEASEL, "WHERE NOT regexp_matches(match_text, '(?i)every|clear')"))
+def rule_existence(spark, d):
+    return _hits(spark, d, _rule("existence", tokens=WEASEL, ignorecase=True, exceptions=["every", "clear"])).select("doc_id", "begin_at", "end_at", "match_text")
+
+
+@query(
+    _spans_sql(_SWAP).replace("SELECT doc_id, CAST(e - length(match_text)", "SELECT doc_id, expected, CAST(e - length(match_text)")
+    + "JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SWAP.items()) + ") t(k, expected) ON lower(match_text) = k WHERE match_text <> expected"
+)
+def rule_substitution(spark, d):
+    return _hits(spark, d, _rule("substitution", swap=SWAP, ignorecase=True, message="'%s' for '%s'")).select("doc_id", F.get("args", F.lit(0)).alias("expected"), "begin_at", "end_at", "match_text")
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]{12,}')) AS VARCHAR) AS n, regexp_extract(text, '[A-Za-z]{12,}') AS match_text FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]{12,}')) > 9")
+def rule_occurrence(spark, d):
+    return _hits(spark, d, _rule("occurrence", token="[A-Za-z]{12,}", max=9)).select("doc_id", F.get("args", F.lit(0)).alias("n"), "match_text")
+
+
+_GAP_ENDS = r"[.!?][\s]|\n\s*\n"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ts, regexp_split_to_array(text, '[A-Za-z]+') AS ps FROM documents),
+u AS (SELECT doc_id, unnest(ts) AS token, unnest(ps[1:len(ts)]) AS gap, unnest(range(len(ts))) AS i FROM t),
+l AS (SELECT *, lag(token) OVER w AS b, sum(length(gap) + length(token)) OVER w AS e FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, CAST(e - length(token) - length(gap) - length(b) AS BIGINT) AS begin_at, CAST(e AS BIGINT) AS end_at, token FROM l
+WHERE lower(token) = lower(b) AND NOT regexp_matches(gap || token[1], '{_GAP_ENDS}')""")
+def rule_repetition(spark, d):
+    return _hits(spark, d, _rule("repetition", tokens=["[A-Za-z]+"], ignorecase=True)).select("doc_id", "begin_at", "end_at", F.get("args", F.lit(0)).alias("token"))
+
+
+@query(_LINES + " UNION ALL ".join(_pair_sql(a, b).replace(f"'{a}' AS first_form, '{b}' AS second_form", f"'Own.{a}' AS check_name") for a, b in sorted(PAIRS.items())))
+def rule_consistency(spark, d):
+    return _hits(spark, d, *[_rule("consistency", f"Own.{a}", either={a: b}, ignorecase=True) for a, b in PAIRS.items()], by_line=True).select("doc_id", "block_seq", "check_name")
+
+
+@query(_LINES.rstrip() + f""", u AS (SELECT doc_id, block_seq, unnest(regexp_extract_all(block, '{FIRST}', 1)) AS term FROM l),
+g AS (SELECT doc_id, term, min(block_seq) AS since FROM (SELECT doc_id, block_seq, unnest(regexp_extract_all(block, '{SECOND}', 1)) AS term FROM l) GROUP BY 1, 2)
+SELECT u.doc_id, u.block_seq, u.term, count(*) AS n FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.term = u.term WHERE since IS NULL OR since > block_seq GROUP BY ALL""")
+def rule_conditional(spark, d):
+    hits = _hits(spark, d, _rule("conditional", first=FIRST, second=SECOND), by_line=True)
+    return hits.groupBy("doc_id", "block_seq", F.col("match_text").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_LINES + r"""SELECT doc_id, block_seq, block AS match_text, 'Own.Lower' AS check_name FROM l WHERE regexp_matches(block, '[A-Z]') AND regexp_matches(block, '^[ -~]*$')
+UNION ALL SELECT doc_id, block_seq, block, 'Own.Upper' FROM l WHERE regexp_matches(block, '[a-z]') AND regexp_matches(block, '^[ -~]*$') UNION ALL SELECT doc_id, block_seq, block, 'Own.First' FROM l WHERE NOT regexp_matches(block, '^[A-Z0-9]') AND regexp_matches(block, '^[ -~]*$')""")
+def rule_capitalization(spark, d):
+    """Of lines, those in ASCII, as engines fold other letters differently."""
+    rules = [_rule("capitalization", "Own.Lower", match="$lower"), _rule("capitalization", "Own.Upper", match="$upper"), _rule("capitalization", "Own.First", match="^[A-Z0-9]")]
+    return _hits(spark, d, *rules, by_line=True).where(F.col("match_text").rlike(r"^[ -~]*\z")).select("doc_id", "block_seq", "match_text", "check_name")
+
+
+_MW, _ML = r"regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')", r"len(regexp_extract_all(text, '\p{L}'))"
+_MS = r"greatest(1, len(regexp_extract_all(text, '[.!?]+(?:[\p{Z}\t-\r\x1c-\x1f\x85]|$)')))"
+
+
+@query(f"""WITH m AS (SELECT doc_id, CAST(len({_MW}) AS DOUBLE) AS w, CAST({_MS} AS DOUBLE) AS s, CAST({_ML} AS DOUBLE) AS c FROM documents),
+v AS (SELECT doc_id, 4.71 * (c / w) + 0.5 * (w / s) - 21.43 AS v FROM m WHERE w > 0) SELECT doc_id, floor(v * 10000 + 0.5) / 10000 AS value FROM v WHERE round(v, 6) > 8""")
+def rule_metric(spark, d):
+    hits = _hits(spark, d, _rule("metric", formula=GRADES["Automated Readability"], condition="> 8"))
+    return hits.select("doc_id", (F.floor(F.get("args", F.lit(0)).cast("double") * 10000 + 0.5) / 10000.0).alias("value"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, {_MW} AS ws, CAST({_MS} AS DOUBLE) AS s, CAST({_ML} AS DOUBLE) AS c FROM documents),
+n AS (SELECT doc_id, CAST(len(ws) AS DOUBLE) AS w, s, c, CAST(len(list_filter(ws, lambda x: length(x) > 6)) AS DOUBLE) AS g FROM m),
+v AS (SELECT doc_id, (0.0588 * (c / w) * 100 - 0.296 * (s / w) * 100 - 15.8 + w / s + g * 100 / w) / 2 AS v FROM n WHERE w > 0) SELECT doc_id, floor(v * 10000 + 0.5) / 10000 AS value FROM v WHERE v > 20""")
+def rule_readability(spark, d):
+    hits = _hits(spark, d, _rule("readability", metrics=["Coleman-Liau", "LIX"], grade=20))
+    return hits.select("doc_id", (F.floor(F.get("args", F.lit(0)).cast("double") * 10000 + 0.5) / 10000.0).alias("value"))
+
+
+@query(rf"""WITH {_DICT}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:[''’][\p{{L}}\p{{Nl}}\p{{No}}]+)*|[\p{{L}}\p{{N}}_]+')) AS word FROM documents)
+SELECT doc_id, word AS match_text, count(*) AS n FROM t WHERE NOT regexp_matches(word, '[A-Z][a-z]+[A-Z]+\w+|[A-Z]+$|[^a-zA-Z_'']') AND lower(word) NOT IN (SELECT word FROM d) GROUP BY 1, 2""")
+def rule_spelling(spark, d):
+    words = {r["word"] for r in bounded(_dictionary(spark, d), 2_000_000, "the dictionary")}
+    hits = _hits(spark, d, _rule("spelling", dictionary=Dictionary(words)))
+    return hits.groupBy("doc_id", "match_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ts FROM documents), u AS (SELECT doc_id, unnest(ts) AS w, unnest(range(len(ts))) AS i FROM t),
+l AS (SELECT doc_id, w, lead(w) OVER x AS a, lead(w, 2) OVER x AS b FROM u WINDOW x AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, count(*) AS n FROM l WHERE lower(w) = 'the' AND lower(a) <> 'the' AND lower(b) = 'rule' GROUP BY 1""")
+def rule_sequence(spark, d):
+    """Patterns alone: a word, any other word, and a word, over the letters of each text."""
+    letters = F.regexp_replace("text", "[^A-Za-z]+", " ")
+    docs = _read(spark, d, "documents").select("doc_id", letters.alias("text"))
+    rule = _rule("sequence", tokens=[{"pattern": "the"}, {"pattern": "the", "negate": True}, {"pattern": "rule"}], ignorecase=True)
+    return block_hits(docs, [rule]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _long_words(text: str) -> list[dict]:
+    import re
+
+    return [{"begin": m.start(), "end": m.end()} for m in re.finditer("[A-Za-z]{14,}", text)]
+
+
+SCRIPTS["long_words"] = _long_words
+
+
+@query(_spans_sql("[A-Za-z]{14,}"))
+def rule_script(spark, d):
+    return _hits(spark, d, _rule("script", script=_long_words)).select("doc_id", "begin_at", "end_at", "match_text")
+
+
+def table_rules(spark, d, kind: str | None = None) -> list[Rule]:
+    """The rules of the table compiled: existence and occurrence from their tokens, substitution by a common mark, the others by name and scope."""
+    out = []
+    for r in bounded(_read(spark, d, "rules"), 1_000_000, "the rules"):
+        if kind is None or r["extends"] == kind:
+            tokens = list(r["tokens"] or [])
+            own = {"existence": {"tokens": tokens}, "occurrence": {"token": r"(?:" + OR(N.longest_first(tokens)) + r")", "max": 3}, "spelling": {"custom": True}}.get(r["extends"], {})
+            if r["extends"] in ("existence", "occurrence"):
+                own["ignorecase"] = bool(r["ignore_case"])
+            own |= {"substitution": {"swap": {t: "…" for t in tokens}, "ignorecase": bool(r["ignore_case"])}, "repetition": {"tokens": tokens}, "consistency": {"either": dict(zip(tokens[::2], tokens[1::2]))}}.get(r["extends"], {})
+            own |= {"conditional": {"first": OR(tokens), "second": OR(tokens)}, "capitalization": {"match": "$sentence"}, "metric": {"formula": "words", "condition": "> 0"}, "readability": {"grade": 0}, "sequence": {"tokens": [{"pattern": OR(tokens)}]}, "script": {"script": "long_words"}}.get(r["extends"], {})
+            spec = {"extends": r["extends"], "message": r["message"], "level": r["severity"], "scope": r["scope_path"], "limit": r["alert_limit"], "link": r["link_url"] or "", "description": r["description"] or ""}
+            out.append(parse_rule(r["check_name"], spec | own))
+    return out
+
+
+def _table_sql(more: str) -> str:
+    return rf"""WITH r AS (SELECT check_name, alert_limit, (CASE WHEN ignore_case THEN '(?i)' ELSE '' END) || '\b(?:' || (SELECT string_agg(t, '|' ORDER BY length(t) DESC, t) FROM unnest(tokens) x(t)) || ')\b' AS rx FROM rules WHERE extends = 'existence'),
+m AS (SELECT doc_id, check_name, alert_limit, len(regexp_extract_all(text, rx)) AS n FROM documents, r WHERE regexp_matches(text, rx)) {more}"""
+
+
+@query(_table_sql("SELECT doc_id, check_name, n FROM m"))
+def table_existence(spark, d):
+    """All existence rules of the table over whole texts."""
+    hits = block_hits(_read(spark, d, "documents"), table_rules(spark, d, "existence"))
+    return hits.groupBy("doc_id", "check_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_table_sql("SELECT doc_id, check_name, CASE WHEN alert_limit > 0 THEN least(n, alert_limit) ELSE n END AS n FROM m"))
+def table_lint(spark, d):
+    """The same rules through the whole of linting, on raw text: places, dedup and limits."""
+    import dataclasses
+
+    rules = [dataclasses.replace(r, scope=("raw",)) for r in table_rules(spark, d, "existence")]
+    return lint(_read(spark, d, "documents"), rules).groupBy("doc_id", "check_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT check_name, extends, severity FROM rules WHERE (extends IN ('existence', 'substitution') AND severity <> 'suggestion') OR scope_path = 'heading' AND extends NOT IN ('metric', 'readability')")
+def rules_filtered(spark, d):
+    """A filter expression over the compiled rules."""
+    rules = filter_rules(table_rules(spark, d), '(.Extends in ["existence", "substitution"] and .Level != "suggestion") or "heading" in .Scope')
+    return spark.createDataFrame([(r.name, r.kind, r.level) for r in rules], "check_name string, extends string, severity string")
+
+
+@query("""WITH p AS (SELECT file_id, string_split(file_content, chr(10) || chr(10)) AS ps FROM files WHERE file_format = 'text' AND length(file_content) > 0),
+u AS (SELECT file_id, unnest(ps) AS p, unnest(range(len(ps))) AS seq, len(ps) AS k FROM p), b AS (SELECT file_id, seq, p || CASE WHEN seq < k - 1 THEN chr(10) || chr(10) ELSE '' END AS block FROM u)
+SELECT file_id, CAST(sum(length(block)) OVER (PARTITION BY file_id ORDER BY seq) - length(block) AS BIGINT) AS start_at, length(block) AS size FROM b WHERE length(block) > 0""")
+def text_paragraphs(spark, d):
+    """Paragraph blocks of plain text, by the reader, with their places."""
+    files = _read(spark, d, "files").where("file_format = 'text'")
+    b = extract_blocks(files, nested=True, key="file_id", text="file_content", ext="'.txt'").where(F.col("scope").startswith("paragraph."))
+    return b.select(F.col("doc_id").alias("file_id"), F.col("offset").cast("long").alias("start_at"), F.length("text").alias("size"))
+
+
 # ---------------------------------------------------------------- the engine itself (no SQL: checked by tests)
 
 
