@@ -18,21 +18,21 @@ def sanitized(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[0-9A-Za-z_]+"))
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]+"))
 
 
 def sentence_count(c: Column) -> Column:
     """Runs of closing marks, one at least where the text has words."""
-    n = F.regexp_count(c, F.lit(r"[.!?]+"))
+    n = F.regexp_count(c, F.lit(r"[.!?。！？।؟]+"))
     return F.when(word_count(c) > 0, F.greatest(n, F.lit(1))).otherwise(F.lit(0))
 
 
 def letter_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[A-Za-z]"))
+    return F.regexp_count(c, F.lit(r"\p{L}"))
 
 
 def long_word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[A-Za-z]{7,}"))
+    return F.regexp_count(c, F.lit(r"\p{L}{7,}"))
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -53,7 +53,14 @@ def paragraphs(c: Column) -> Column:
 
 
 def cap_first(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
+    """A capital first, of letters in ASCII alone."""
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.concat(F.translate(F.substring(c, 1, 1), small, large), F.substring(c, F.lit(2), F.length(c)))
+
+
+def ascii_shape(c: Column) -> Column:
+    """The text with every character beyond printable ASCII as a question mark, so that engines measure its edits alike."""
+    return F.regexp_replace(c, r"[^ -~]", "?")
 
 
 def titled(c: Column) -> Column:

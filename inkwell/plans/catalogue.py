@@ -150,16 +150,16 @@ def conditional_presence(spark, d):
 
 
 @query(A + r"""SELECT match_text, match_text = lower(match_text) AS is_lower, match_text = upper(match_text) AS is_upper, regexp_matches(match_text, '^[A-Z][a-z]*( [A-Z][a-z]*)*$') AS is_capped, count(*) AS n
-FROM a WHERE regexp_matches(match_text, '^[A-Za-z][A-Za-z ]*$') GROUP BY ALL""")
+FROM a WHERE match_text IS NOT NULL GROUP BY ALL""")
 def capitalization_forms(spark, d):
     m = F.col("match_text")
-    x = _alerts(spark, d).where(m.rlike("^[A-Za-z][A-Za-z ]*$")).groupBy("match_text").agg(F.count(F.lit(1)).alias("n"))
-    return x.select("match_text", (m == F.lower(m)).alias("is_lower"), (m == F.upper(m)).alias("is_upper"), m.rlike("^[A-Z][a-z]*( [A-Z][a-z]*)*$").alias("is_capped"), "n")
+    x = _alerts(spark, d).where("match_text IS NOT NULL").groupBy("match_text").agg(F.count(F.lit(1)).alias("n"))
+    return x.select("match_text", (m == F.lower(m)).alias("is_lower"), (m == F.upper(m)).alias("is_upper"), m.rlike(r"^[A-Z][a-z]*( [A-Z][a-z]*)*\z").alias("is_capped"), "n")
 
 
-_W, _L = r"len(regexp_extract_all(text, '[0-9A-Za-z_]+'))", r"len(regexp_extract_all(text, '[A-Za-z]'))"
-_S = rf"CASE WHEN {_W} > 0 THEN greatest(len(regexp_extract_all(text, '[.!?]+')), 1) ELSE 0 END"
-_G = r"len(regexp_extract_all(text, '[A-Za-z]{7,}'))"
+_W, _L = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))", r"len(regexp_extract_all(text, '\p{L}'))"
+_S = rf"CASE WHEN {_W} > 0 THEN greatest(len(regexp_extract_all(text, '[.!?。！？।؟]+')), 1) ELSE 0 END"
+_G = r"len(regexp_extract_all(text, '\p{L}{7,}'))"
 
 
 def _metrics(spark, d):
@@ -173,11 +173,12 @@ def document_metrics(spark, d):
 
 
 @query(f"""WITH m AS (SELECT doc_id, CAST({_W} AS DOUBLE) AS w, CAST({_S} AS DOUBLE) AS s, CAST({_L} AS DOUBLE) AS l, CAST({_G} AS DOUBLE) AS g FROM documents)
-SELECT doc_id, round(4.71 * (l / w) + 0.5 * (w / s) - 21.43, 4) AS ari, round(0.0588 * (l / w) * 100 - 0.296 * (s / w) * 100 - 15.8, 4) AS cli, round(w / s + g * 100 / w, 4) AS lix FROM m WHERE w > 0""")
+SELECT doc_id, floor((4.71 * (l / w) + 0.5 * (w / s) - 21.43) * 10000 + 0.5) / 10000 AS ari, floor((0.0588 * (l / w) * 100 - 0.296 * (s / w) * 100 - 15.8) * 10000 + 0.5) / 10000 AS cli, floor((w / s + g * 100 / w) * 10000 + 0.5) / 10000 AS lix FROM m WHERE w > 0""")
 def readability_grades(spark, d):
     w, s, n, g = (F.col(c).cast("double") for c in ("words", "sentences", "letters", "long_words"))
     x = _metrics(spark, d).where("words > 0")
-    return x.select("doc_id", F.round(4.71 * (n / w) + 0.5 * (w / s) - 21.43, 4).alias("ari"), F.round(0.0588 * (n / w) * 100 - 0.296 * (s / w) * 100 - 15.8, 4).alias("cli"), F.round(w / s + g * 100 / w, 4).alias("lix"))
+    four = lambda v: F.floor(v * 10000 + 0.5) / 10000.0  # to four places; engines round ties apart
+    return x.select("doc_id", four(4.71 * (n / w) + 0.5 * (w / s) - 21.43).alias("ari"), four(0.0588 * (n / w) * 100 - 0.296 * (s / w) * 100 - 15.8).alias("cli"), four(w / s + g * 100 / w).alias("lix"))
 
 
 @query(f"""WITH m AS (SELECT doc_id, CAST({_W} AS DOUBLE) AS w, CAST({_S} AS DOUBLE) AS s FROM documents) SELECT doc_id, round(w / s, 6) AS value FROM m WHERE w > 0 AND round(w / s, 6) > 20""")
@@ -194,23 +195,25 @@ def _dictionary(spark, d):
 _DICT = """d AS (SELECT DISTINCT unnest(string_split(lower(x), ' ')) AS word FROM (SELECT unnest(tokens) AS x FROM rules UNION ALL SELECT term FROM vocab_terms UNION ALL SELECT word FROM common_words))"""
 
 
-@query(rf"""WITH {_DICT}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[a-z]{{4,}}\b')) AS word FROM documents)
+@query(rf"""WITH {_DICT}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM documents)
 SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE word NOT IN (SELECT word FROM d) GROUP BY 1""")
 def spelling_unknown(spark, d):
-    return N.unknown_words(_read(spark, d, "documents"), "doc_id", "text", _dictionary(spark, d), java(r"\b[a-z]{4,}\b"))
+    docs = _read(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return N.unknown_words(docs, "doc_id", "text", _dictionary(spark, d), r"\p{L}+")
 
 
-@query(rf"""WITH {_DICT}, w AS (SELECT DISTINCT lower(match_text) AS word FROM alerts WHERE regexp_matches(match_text, '^[A-Za-z]{{4,}}$')),
-p AS (SELECT w.word, d.word AS term, levenshtein(w.word, d.word) AS edits FROM w JOIN d ON abs(length(w.word) - length(d.word)) <= 2 AND regexp_matches(d.word, '^[a-z]{{4,}}$') AND levenshtein(w.word, d.word) <= 2 AND w.word <> d.word)
+@query(rf"""WITH {_DICT}, e AS (SELECT DISTINCT regexp_replace(word, '[^ -~]', '?', 'g') AS term FROM d), w AS (SELECT DISTINCT regexp_replace(lower(match_text), '[^ -~]', '?', 'g') AS word FROM alerts WHERE match_text IS NOT NULL),
+p AS (SELECT w.word, term, levenshtein(w.word, term) AS edits FROM w JOIN e ON abs(length(w.word) - length(term)) <= 2 AND levenshtein(w.word, term) <= 2 AND w.word <> term)
 SELECT word, term, CAST(edits AS INT) AS edits, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY edits, term) AS place FROM p) WHERE place <= 3""")
 def spelling_suggest(spark, d):
-    words = _read(spark, d, "alerts").where(F.col("match_text").rlike("^[A-Za-z]{4,}$")).select(F.lower("match_text").alias("word"))
-    return N.nearest(words, _dictionary(spark, d).where(F.col("word").rlike("^[a-z]{4,}$")).withColumnRenamed("word", "term"))
+    """Terms within two edits of any match, in the shape that all engines measure alike."""
+    words = _read(spark, d, "alerts").where("match_text IS NOT NULL").select(X.ascii_shape(F.lower("match_text")).alias("word"))
+    return N.nearest(words, _dictionary(spark, d).select(X.ascii_shape(F.col("word")).alias("term")))
 
 
 @query()
 def spelling_ranked(spark, d):
-    """The whole of what ``spelling_suggest`` asks for words near ASCII terms: any match, the whole dictionary, no bound on the edits."""
+    """The whole dictionary ranked by similarity, with no bound on the edits."""
     words = _read(spark, d, "alerts").select(F.col("match_text").alias("word"))
     return N.closest(words, [_dictionary(spark, d).withColumnRenamed("word", "term")])
 
@@ -386,24 +389,19 @@ def paragraph_split(spark, d):
     return _read(spark, d, "files").select("file_id", F.posexplode(X.paragraphs(F.col("file_content"))).alias("seq", "p")).select("file_id", "seq", F.length("p").alias("size"))
 
 
-@query("""WITH l AS (SELECT file_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files WHERE file_format = 'data'))
+@query("""WITH l AS (SELECT file_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files))
 SELECT file_id, CAST(i + 1 AS INT) AS line_no, CAST(sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY i) - length(line) - 1 AS BIGINT) AS start_at FROM l""")
 def line_starts(spark, d):
-    return N.line_starts(_read(spark, d, "files").where("file_format = 'data'"), "file_id", "file_content")
-
-
-@query()
-def file_line_starts(spark, d):
-    """``line_starts`` for files of any format."""
     return N.line_starts(_read(spark, d, "files"), "file_id", "file_content")
 
 
-@query(r"""WITH m AS (SELECT DISTINCT match_text FROM alerts WHERE regexp_matches(match_text, '^[ -~]*$'))
-SELECT match_text, upper(substr(match_text, 1, 1)) || substr(match_text, 2) AS capped, regexp_matches(match_text, '^[A-Za-z]*$') AS letters_only, regexp_replace(match_text, '.', '*', 'g') AS masked, trim(match_text) AS trimmed, reverse(match_text) AS reversed FROM m""")
+@query(r"""WITH m AS (SELECT DISTINCT match_text FROM alerts WHERE match_text IS NOT NULL)
+SELECT match_text, CASE WHEN regexp_matches(match_text, '^[a-z]') THEN upper(substr(match_text, 1, 1)) || substr(match_text, 2) ELSE match_text END AS capped, regexp_matches(match_text, '^\p{L}*$') AS letters_only,
+regexp_replace(match_text, '[^\n]', '*', 'g') AS masked, trim(match_text, ' ') AS trimmed, length(match_text) AS size FROM m""")
 def scalar_functions(spark, d):
     m = F.col("match_text")
-    return _read(spark, d, "alerts").where(m.rlike("^[ -~]*$")).select("match_text").distinct().select(
-        "match_text", X.cap_first(m).alias("capped"), X.is_letters(m).alias("letters_only"), X.masked(m).alias("masked"), F.trim(m).alias("trimmed"), F.reverse(m).alias("reversed")
+    return _read(spark, d, "alerts").where("match_text IS NOT NULL").select("match_text").distinct().select(
+        "match_text", X.cap_first(m).alias("capped"), X.is_letters(m).alias("letters_only"), X.masked(m).alias("masked"), F.trim(m).alias("trimmed"), F.length(m).alias("size")
     )
 
 
@@ -414,20 +412,38 @@ def json_view(spark, d):
     return v.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("k_sum"))
 
 
-@query(r"""WITH l AS (SELECT file_id, unnest(x) AS line, CAST(unnest(range(len(x))) + 1 AS INT) AS line_no FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files WHERE file_format = 'data')),
-s AS (SELECT *, levenshtein(line, 'level: warning') AS edits FROM l WHERE regexp_matches(line, '^[ -~]+$'))
+@query(r"""WITH l AS (SELECT file_id, regexp_replace(unnest(x), '[^ -~]', '?', 'g') AS line, CAST(unnest(range(len(x))) + 1 AS INT) AS line_no FROM (SELECT file_id, string_split(file_content, chr(10)) AS x FROM files)),
+s AS (SELECT *, levenshtein(line, 'level: warning') AS edits FROM l)
 SELECT file_id, line_no, CAST(edits AS INT) AS edits FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY edits, line_no) AS n FROM s) WHERE n = 1""")
 def closest_line(spark, d):
-    x = _read(spark, d, "files").where("file_format = 'data'").select("file_id", F.posexplode(F.split("file_content", "\n")).alias("i", "line")).where(F.col("line").rlike("^[ -~]+$"))
-    best = F.min(F.struct(F.levenshtein("line", F.lit("level: warning")).alias("edits"), (F.col("i") + 1).alias("line_no")))
+    x = _read(spark, d, "files").select("file_id", F.posexplode(F.split("file_content", "\n")).alias("i", "line"))
+    best = F.min(F.struct(F.levenshtein(X.ascii_shape(F.col("line")), F.lit("level: warning")).alias("edits"), (F.col("i") + 1).alias("line_no")))
     return x.groupBy("file_id").agg(best.alias("b")).select("file_id", "b.line_no", "b.edits")
 
 
-@query(r"""SELECT file_id, tag_name, count(*) AS n FROM (SELECT file_id, lower(unnest(regexp_extract_all(regexp_replace(file_content, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1))) AS tag_name
-FROM files WHERE file_format = 'markup' AND normed_ext = '.html') WHERE NOT starts_with(tag_name, 'table') GROUP BY 1, 2""")
+# Extensions of pages, and of markup that isn't one.
+PAGES = [".html", ".htm", ".xhtml", ".shtml"]
+OTHER_MARKUP = [".md", ".markdown", ".mdown", ".mkd", ".qmd", ".rmd", ".mdx", ".myst", ".rst", ".rest", ".org", ".adoc", ".asciidoc", ".asc", ".wiki", ".mediawiki", ".tex", ".typ", ".xml", ".dita"]
+
+
+def is_page(normed: str, real: str, text: str):
+    """Whether markup is HTML: the first of the extensions that is known says so, else the start of the text."""
+    known = lambda c: F.when(F.lower(c).isin(PAGES), True).when(F.lower(c).isin(OTHER_MARKUP), False)
+    return F.coalesce(known(normed), known(real), F.col(text).rlike(r"(?i)^\uFEFF?\s*(?:<\?xml[^>]*>\s*)?(?:<!--(?s:.*?)-->\s*)*<(?:!doctype\s+html|html|head|body)\b"), F.lit(False))
+
+
+def _page_sql() -> str:
+    of = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    known = lambda c: f"CASE WHEN lower({c}) IN ({of(PAGES)}) THEN true WHEN lower({c}) IN ({of(OTHER_MARKUP)}) THEN false END"
+    return f"coalesce({known('normed_ext')}, {known('real_ext')}, regexp_matches(file_content, '(?i)^\\x{{FEFF}}?\\s*(?:<\\?xml[^>]*>\\s*)?(?:<!--(?s:.*?)-->\\s*)*<(?:!doctype\\s+html|html|head|body)\\b'), false)"
+
+
+@query(rf"""SELECT file_id, tag_name, count(*) AS n FROM (SELECT file_id, lower(unnest(regexp_extract_all(regexp_replace(file_content, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1))) AS tag_name
+FROM files WHERE file_format = 'markup' AND {_page_sql()}) WHERE NOT starts_with(tag_name, 'table') GROUP BY 1, 2""")
 def html_tag_counts(spark, d):
     t = F.regexp_replace("file_content", r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "")
-    x = _read(spark, d, "files").where("file_format = 'markup' AND normed_ext = '.html'").select("file_id", F.explode(F.regexp_extract_all(t, F.lit(r"<([A-Za-z][A-Za-z0-9]*)[^<>]*>"), 1)).alias("tag"))
+    pages = _read(spark, d, "files").where(F.col("file_format") == "markup").where(is_page("normed_ext", "real_ext", "file_content"))
+    x = pages.select("file_id", F.explode(F.regexp_extract_all(t, F.lit(r"<([A-Za-z][A-Za-z0-9]*)[^<>]*>"), 1)).alias("tag"))
     return x.groupBy("file_id", F.lower("tag").alias("tag_name")).agg(F.count(F.lit(1)).alias("n")).where("tag_name NOT LIKE 'table%'")
 
 
@@ -493,12 +509,11 @@ def rule_conditional(spark, d):
     return hits.groupBy("doc_id", "block_seq", F.col("match_text").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_LINES + r"""SELECT doc_id, block_seq, block AS match_text, 'Own.Lower' AS check_name FROM l WHERE regexp_matches(block, '[A-Z]') AND regexp_matches(block, '^[ -~]*$')
-UNION ALL SELECT doc_id, block_seq, block, 'Own.Upper' FROM l WHERE regexp_matches(block, '[a-z]') AND regexp_matches(block, '^[ -~]*$') UNION ALL SELECT doc_id, block_seq, block, 'Own.First' FROM l WHERE NOT regexp_matches(block, '^[A-Z0-9]') AND regexp_matches(block, '^[ -~]*$')""")
+@query(_LINES + r"""SELECT doc_id, block_seq, block AS match_text, 'Own.Lower' AS check_name FROM l WHERE block <> lower(block)
+UNION ALL SELECT doc_id, block_seq, block, 'Own.Upper' FROM l WHERE block <> upper(block) UNION ALL SELECT doc_id, block_seq, block, 'Own.First' FROM l WHERE NOT regexp_matches(block, '^[A-Z0-9]')""")
 def rule_capitalization(spark, d):
-    """Of lines, those in ASCII, as engines fold other letters differently."""
     rules = [_rule("capitalization", "Own.Lower", match="$lower"), _rule("capitalization", "Own.Upper", match="$upper"), _rule("capitalization", "Own.First", match="^[A-Z0-9]")]
-    return _hits(spark, d, *rules, by_line=True).where(F.col("match_text").rlike(r"^[ -~]*\z")).select("doc_id", "block_seq", "match_text", "check_name")
+    return _hits(spark, d, *rules, by_line=True).select("doc_id", "block_seq", "match_text", "check_name")
 
 
 _MW, _ML = r"regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')", r"len(regexp_extract_all(text, '\p{L}'))"
@@ -642,17 +657,6 @@ def file_blocks(spark, d):
     return extract_blocks(files, key="file_id", text="file_content", ext="ext").select("doc_id", "block_seq", "scope", "text", "line", "offset")
 
 
-# Extensions of pages, and of markup that isn't one.
-PAGES = [".html", ".htm", ".xhtml", ".shtml"]
-OTHER_MARKUP = [".md", ".markdown", ".mdown", ".mkd", ".qmd", ".rmd", ".mdx", ".myst", ".rst", ".rest", ".org", ".adoc", ".asciidoc", ".asc", ".wiki", ".mediawiki", ".tex", ".typ", ".xml", ".dita"]
-
-
-def is_page(normed: str, real: str, text: str):
-    """Whether markup is HTML: the first of the extensions that is known says so, else the start of the text."""
-    known = lambda c: F.when(F.lower(c).isin(PAGES), True).when(F.lower(c).isin(OTHER_MARKUP), False)
-    return F.coalesce(known(normed), known(real), F.col(text).rlike(r"(?i)^\uFEFF?\s*(?:<\?xml[^>]*>\s*)?(?:<!--(?s:.*?)-->\s*)*<(?:!doctype\s+html|html|head|body)\b"), F.lit(False))
-
-
 @query()
 def page_tags(spark, d):
     """Pages are told by ``normed_ext``, else ``real_ext``, else by how the text begins."""
