@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from inkwell.operators.matching import Program, State
 from inkwell.plans.config import Config, vocabulary_rules
-from inkwell.plans.rules import Rule, message
+from inkwell.plans.rules import Rule, message, scope_parts
 from inkwell.session import spread
-from inkwell.sources.blocks import Source, document_blocks, tag_counts
+from inkwell.sources.blocks import Source, block_counts, document_blocks, tag_counts
 
+INLINE_KINDS = {"link", "strong", "emphasis", "code"}
 ALERT_SCHEMA = (
     "doc_id long, path string, alert_seq int, line int, col_begin int, col_end int, check_name string, severity string, message string, "
     "description string, link string, match_text string, action_name string, action_params array<string>"
@@ -85,9 +86,12 @@ def lint_document(text: str | None, ext: str | None, path: str, program: Program
     if not rules:
         return []
     names = {r.name for r in rules}
-    src, state, controls = Source(text), State(), Controls(text, cfg.control_word, section.delimiters)
+    src, state = Source(text), State()
+    text = src.text
+    controls = Controls(text, cfg.control_word, section.delimiters)
     if any(r.kind == "metric" for r in rules):
-        state.counts = tag_counts(text)
+        plain = document_blocks(text, ext, cfg, False, (section.block_ignores, section.token_ignores))
+        state.counts = block_counts(plain) | (tag_counts(text) if (ext or "").lower() in (".html", ".htm", ".xhtml") else {})
     out: list[tuple] = []
     seen: set[tuple] = set()
     counts: dict[str, int] = {}
@@ -127,6 +131,8 @@ def lint(docs: DataFrame, rules: list[Rule], cfg: Config | None = None, key: str
     """
     cfg = cfg or Config(styles=sorted({r.style for r in rules}))
     rules = [*rules, *vocabulary_rules(cfg)]
+    if any(x in INLINE_KINDS for r in rules for entry in r.scope for _, ls in scope_parts(entry) for x in ls):
+        cfg.inline = True
     if any(r.style == "Builtin" for r in rules) and "Builtin" not in cfg.styles:
         cfg.checks = {"Builtin": True} | cfg.checks
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.text import solution
 from inkwell.operators.native import closest
 from inkwell.plans.rules import LEVELS
+from inkwell.session import bounded
 
 
 def distinct_alerts(alerts: DataFrame, key: str = "alert_id") -> DataFrame:
@@ -91,19 +92,51 @@ def write_table(alerts: DataFrame, to: str) -> None:
     alerts.write.mode("overwrite").parquet(to)
 
 
-def render(alerts: DataFrame, template: str, path: str) -> str:
-    """A report by a template with ``{path}`` and, for each alert, ``{line}:{col} {severity} {check} {message}`` placeholders.
-
-    ``template`` is ``head|row|foot``; rows stream through the driver one file at a time.
-    """
+def _rendered(rows, template: str, path: str):
+    """Lines of a report by a template ``head|row|foot`` over rows in path order."""
     head, row, foot = (template.split("|") + ["", ""])[:3]
-    out, at = [], None
-    for r in alerts.orderBy(path, "line", "col_begin", "check_name").toLocalIterator():
+    at = None
+    for r in rows:
         if r[path] != at:
-            out += ([foot] if at is not None else []) + [head.format(path=r[path])]
+            if at is not None and foot:
+                yield foot
+            if head:
+                yield head.format(path=r[path])
             at = r[path]
-        out.append(row.format(line=r["line"], col=r["col_begin"], severity=r["severity"], check=r["check_name"], message=r["message"]))
-    return "\n".join(x for x in out + ([foot] if at is not None else []) if x)
+        yield row.format(line=r["line"], col=r["col_begin"], severity=r["severity"], check=r["check_name"], message=r["message"])
+    if at is not None and foot:
+        yield foot
+
+
+def rendered(alerts: DataFrame, template: str, path: str) -> DataFrame:
+    """``report_line``: a report by a template, each file's lines together and in order.
+
+    ``template`` is ``head|row|foot`` with ``{path}`` and, for each alert, ``{line}:{col} {severity}
+    {check} {message}`` placeholders. It is written by partition (``write_lines``); nothing passes the driver.
+    """
+    import pandas as pd
+
+    cols = ["line", "col_begin", "severity", "check_name", "message"]
+
+    def run(batches):
+        rows = (r for pdf in batches for r in pdf.to_dict("records"))
+        part: list[str] = []
+        for line in _rendered(rows, template, path):
+            part.append(line)
+            if len(part) == 10_000:
+                yield pd.DataFrame({"report_line": part})
+                part = []
+        yield pd.DataFrame({"report_line": part}, dtype="object")
+
+    x = alerts.select(path, *cols).repartition(path).sortWithinPartitions(path, "line", "col_begin", "check_name")
+    return x.mapInPandas(run, "report_line string")
+
+
+def render(alerts: DataFrame, template: str, path: str, most: int = 100_000) -> str:
+    """The same report as one string, for up to ``most`` alerts; more are an error."""
+    rows = bounded(alerts.select(path, "line", "col_begin", "severity", "check_name", "message"), most, "the report")
+    rows.sort(key=lambda r: (r[path], r["line"], r["col_begin"], r["check_name"]))
+    return "\n".join(_rendered(rows, template, path))
 
 
 def suggestions(alerts: DataFrame, fixed: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -353,8 +353,6 @@ def alert_solutions(spark, d):
 r AS (SELECT file_id, match_text, alert_id AS other_id, row_number() OVER (PARTITION BY file_id, match_text ORDER BY line_no, col_begin, alert_id) AS k FROM a WHERE match_text IS NOT NULL)
 SELECT alert_id, other_id FROM l JOIN r USING (file_id, match_text, k) WHERE alert_id <> other_id""")
 def nth_equal_value(spark, d):
-    from pyspark.sql import Window
-
     a = _alerts(spark, d).where("match_text IS NOT NULL").select("file_id", "match_text", "alert_id", "linted_at", "line_no", "col_begin")
     w = Window.partitionBy("file_id", "match_text")
     x = a.withColumn("k", F.row_number().over(w.orderBy("linted_at", "alert_id"))).withColumn("j", F.row_number().over(w.orderBy(F.col("line_no").asc_nulls_last(), F.col("col_begin").asc_nulls_last(), "alert_id")))
@@ -366,8 +364,6 @@ def nth_equal_value(spark, d):
 e AS (SELECT *, CASE WHEN regexp_matches(comment_source, 'eslint-disable|noqa') THEN 'off' WHEN regexp_matches(comment_source, 'region') THEN 'on' END AS s FROM c)
 SELECT comment_id, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no, comment_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'on') AS state FROM e""")
 def control_state(spark, d):
-    from pyspark.sql import Window
-
     c = _read(spark, d, "code_comments").select("comment_id", "file_id", "line_no", "comment_source").dropDuplicates(["comment_id"])
     s = F.when(F.col("comment_source").rlike("eslint-disable|noqa"), "off").when(F.col("comment_source").rlike("region"), "on")
     w = Window.partitionBy("file_id").orderBy(F.col("line_no").asc_nulls_last(), "comment_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -612,14 +608,16 @@ def rules_filtered(spark, d):
     return spark.createDataFrame([(r.name, r.kind, r.level) for r in rules], "check_name string, extends string, severity string")
 
 
-@query("""WITH p AS (SELECT file_id, string_split(file_content, chr(10) || chr(10)) AS ps FROM files WHERE file_format = 'text' AND length(file_content) > 0),
+@query("""WITH t AS (SELECT file_id, replace(replace(replace(file_content, '&rsquo;', ''''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM files WHERE file_format = 'text'),
+p AS (SELECT file_id, string_split(t, chr(10) || chr(10)) AS ps FROM t WHERE length(t) > 0),
 u AS (SELECT file_id, unnest(ps) AS p, unnest(range(len(ps))) AS seq, len(ps) AS k FROM p), b AS (SELECT file_id, seq, p || CASE WHEN seq < k - 1 THEN chr(10) || chr(10) ELSE '' END AS block FROM u)
-SELECT file_id, CAST(sum(length(block)) OVER (PARTITION BY file_id ORDER BY seq) - length(block) AS BIGINT) AS start_at, length(block) AS size FROM b WHERE length(block) > 0""")
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS nth, length(block) AS size FROM b WHERE length(block) > 0""")
 def text_paragraphs(spark, d):
-    """Paragraph blocks of plain text, by the reader, with their places."""
+    """Paragraph blocks of plain text, by the reader, in the order of their places."""
     files = _read(spark, d, "files").where("file_format = 'text'")
     b = extract_blocks(files, nested=True, key="file_id", text="file_content", ext="'.txt'").where(F.col("scope").startswith("paragraph."))
-    return b.select(F.col("doc_id").alias("file_id"), F.col("offset").cast("long").alias("start_at"), F.length("text").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("offset"))
+    return b.select(F.col("doc_id").alias("file_id"), nth.alias("nth"), F.length("text").alias("size"))
 
 
 # ---------------------------------------------------------------- the engine itself (no SQL: checked by tests)

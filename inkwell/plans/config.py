@@ -78,6 +78,7 @@ class Config:
     ignored_classes: tuple[str, ...] = ("problematic", "pre", "code")
     word_template: str = r"\b(?:%s)\b"
     control_word: str = "lint"  # what control comments begin with
+    inline: bool = False  # links, emphasis and code are blocks too; linting turns it on where a rule asks for them
     ignore_syntax: bool = False  # every document is one text
     fragments: dict[str, str] = field(default_factory=dict)  # endings of code whose comments hold markup, with its ending
     view: dict[str, str] | None = None  # names and paths of the values of data documents that are linted; all where there is none

@@ -25,29 +25,32 @@ BLOCK_SCHEMA = (
 
 # Endings and the format each stands for, and the tags of the HTML reader.
 FORMATS = {
-    ".md": "md", ".markdown": "md", ".mdown": "md", ".qmd": "qmd", ".rmd": "qmd", ".mdx": "mdx", ".myst": "myst", ".rst": "rst", ".rest": "rst", ".adoc": "adoc", ".asciidoc": "adoc", ".asc": "adoc", ".qdoc": "qdoc", ".html": "html", ".htm": "html", ".xhtml": "html", ".txt": "txt", ".org": "org", ".json": "data", ".yml": "data", ".yaml": "data",
+    ".md": "md", ".markdown": "md", ".mdown": "md", ".qmd": "qmd", ".rmd": "qmd", ".mdx": "mdx", ".myst": "myst", ".rst": "rst", ".rest": "rst", ".adoc": "adoc", ".asciidoc": "adoc", ".asc": "adoc", ".qdoc": "qdoc", ".html": "html", ".htm": "html", ".xhtml": "html", ".txt": "txt", ".org": "org", ".json": "data", ".yml": "data", ".yaml": "data", ".toml": "data",
 }
 COMMENTS = {
     "c": (".c .h .cpp .cc .cxx .hpp .java .cs .swift .scala .kt .go .rs .js .jsx .ts .tsx .php .css .scss .sass .less .proto .qml", r"//[^\n]*|/\*.*?\*/", r'"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`'),
-    "hash": (".py .rb .r .pl .pm .sh .jl .toml .ps1", r'#[^\n]*|"""(?:.*?)"""|\'\'\'(?:.*?)\'\'\'|=begin.*?=end', r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''),
+    "hash": (".py .rb .r .pl .pm .sh .jl .ps1", r'#[^\n]*|"""(?:.*?)"""|\'\'\'(?:.*?)\'\'\'|=begin.*?=end', r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''),
     "dash": (".hs .elm .lua .sql", r"--\[\[.*?\]\]|\{-.*?-\}|--[^\n]*", r'"(?:\\.|[^"\\\n])*"'),
     "semi": (".clj .lisp .el", r";[^\n]*", r'"(?:\\.|[^"\\])*"'),
 }
 CODE = {e: k for k, (es, *_) in COMMENTS.items() for e in es.split()}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strong sub sup tt u var wbr br".split())
+# Inline tags that are scopes of their own, for rules that ask for them.
+INLINE_SCOPES = {"a": "link", "strong": "strong", "b": "strong", "em": "emphasis", "i": "emphasis", "code": "code", "tt": "code"}
 SCOPE_TAGS = {"th": "table.header", "td": "table.cell", "li": "list", "blockquote": "blockquote", "caption": "table.caption", "figcaption": "figure.caption"}
 
 
 class Block:
     """A scoped piece of text made of pieces of the source; appending and finding places stay linear in its length."""
 
-    __slots__ = ("scope", "split", "runs", "_pieces", "_size", "_starts")
+    __slots__ = ("scope", "split", "runs", "inlines", "_pieces", "_size", "_starts")
 
     def __init__(self, scope: str, text: str = "", runs: list[tuple[int, int, int]] | None = None, split: bool = False):
         self.scope, self.split = scope, split
         self.runs: list[tuple[int, int, int]] = runs if runs is not None else []
         self._pieces, self._size = [text] if text else [], len(text)
         self._starts: list[int] | None = None
+        self.inlines: list[tuple] = []  # (kind, begin, end) in the text, or (kind, code, source) of code, which is starred out there
 
     def __len__(self) -> int:
         return self._size
@@ -110,16 +113,69 @@ class Block:
         return Block(scope, self.text[a:b], runs, self.split)
 
 
+def inline_blocks(b: Block, ext: str) -> list[Block]:
+    """Links, strong and emphasized text and code of a block as blocks beside it; only rules that name them see these."""
+    out = []
+    for kind, a, e in b.inlines:
+        out.append(Block(f"code{ext}", a, [(0, e, len(a))]) if kind == "code" else b.part(a, e, f"{kind}{ext}"))
+    return [x for x in out if x.text.strip()]
+
+
+_REWRITTEN = re.compile("&rsquo;|\r\n?")
+
+
 class Source:
-    """Line starts of a document, for places by line and column."""
+    """A document's text as it is read, and the places of its offsets in the document as stored.
+
+    Line ends become line feeds and the quote entity its character. Lines and columns, and
+    offsets by ``original``, are those of the text as stored.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self._at: list[int] = []  # offsets behind rewrites, in the text as read
+        self._gone: list[int] = []  # characters that had gone by then
+        self._quotes: list[int] = []
+        if "\r" in text or "&rsquo;" in text:
+            out, at, gone, size = [], 0, 0, 0
+            for m in _REWRITTEN.finditer(text):
+                new = "'" if m.group()[0] == "&" else "\n"
+                out += [text[at : m.start()], new]
+                size += m.start() - at + 1
+                at = m.end()
+                if len(m.group()) > 1:
+                    gone += len(m.group()) - 1
+                    self._at.append(size)
+                    self._gone.append(gone)
+                if new == "'":
+                    self._quotes.append(size)
+            self.text = "".join(out) + text[at:]
+        self.starts = [0, *(m.end() for m in re.finditer("\n", self.text))]
+
+    def original(self, offset: int) -> int:
+        """The offset in the text as stored."""
+        i = bisect_right(self._at, offset)
+        return offset + (self._gone[i - 1] if i else 0)
+
+    def runs(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Runs by offsets in the text as stored, cut where something was rewritten."""
+        if not self._at:
+            return runs
+        out = []
+        for at, src, n in runs:
+            x = src
+            for y in [*self._at[bisect_right(self._at, src) : bisect_right(self._at, src + n - 1)], src + n]:
+                out.append((at + x - src, self.original(x), y - x))
+                x = y
+        return out
 
     def place(self, offset: int) -> tuple[int, int]:
-        line = bisect_right(self.starts, max(0, offset))
-        return line, max(0, offset) - self.starts[line - 1] + 1
+        """Line and column, both from 1."""
+        offset = max(0, offset)
+        line = bisect_right(self.starts, offset)
+        begin = self.starts[line - 1]
+        wider = 6 * (bisect_right(self._quotes, offset) - bisect_right(self._quotes, begin)) if self._quotes else 0
+        return line, offset - begin + 1 + wider
 
 
 def plain_blocks(text: str, ext: str, split: bool = True) -> list[Block]:
@@ -159,6 +215,8 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
             b.scope = scope()
             b.split = b.scope in (f"text{ext}",) or "blockquote" in b.scope or "list" in b.scope
             out.append(b)
+            if cfg.inline:
+                out.extend(inline_blocks(now, ext))
         now = Block("")
 
     def literal(a: int, b: int) -> None:
@@ -171,6 +229,7 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
         now.add("*" * (b - at) if mask else text[at:b], base + at)
 
     inline: list[str] = []
+    opened: dict[str, tuple[int, int]] = {}
     at = 0
     for m in [*_TOKEN.finditer(text), None]:
         end = m.start() if m else len(text)
@@ -207,8 +266,12 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
                 now.add(" ", base + m.start(), len(m.group()))
             elif shut and tag in inline:
                 inline.remove(tag)
+                if cfg.inline and tag in INLINE_SCOPES and tag in opened:
+                    begin, src = opened.pop(tag)
+                    now.inlines.append(("code", html.unescape(text[src : m.start()]), base + src) if INLINE_SCOPES[tag] == "code" else (INLINE_SCOPES[tag], begin, len(now)))
             elif not shut:
                 inline.append(tag)
+                opened[tag] = (len(now), at)
             continue
         flush()
         if shut:
@@ -217,6 +280,7 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
                 while classes.pop()[0] != tag:
                     pass  # elements left open inside end with it
             inline.clear()
+            opened.clear()
         else:
             seen.append(tag)
             if tag in ("div", "section", "aside", "article", "p", "ul", "ol", "table"):
@@ -232,7 +296,7 @@ _MD_INLINE = re.compile(
 
 
 def _md_inline(b: Block, text: str, base: int) -> None:
-    at = 0
+    at, marks = 0, {}
     for m in _MD_INLINE.finditer(text):
         if m.start() < at:
             continue
@@ -241,11 +305,20 @@ def _md_inline(b: Block, text: str, base: int) -> None:
         if m.group("esc"):
             b.add(m.group()[1:], base + m.start() + 1)
         elif m.group("code"):
+            b.inlines.append(("code", m.group("body"), base + m.start("body")))
             b.add("*" * len(m.group("body")), base + m.start("body"))
         elif m.group("label") is not None:
+            begin = len(b)
             _md_inline(b, m.group("label"), base + m.start("label"))
+            if m.group()[0] != "!":
+                b.inlines.append(("link", begin, len(b)))
         elif m.group("ent"):
             b.add(html.unescape(m.group()), base + m.start(), len(m.group()))
+        elif (mark := m.group("mark")) and mark != "~~":
+            if mark in marks:
+                b.inlines.append(("strong" if len(mark) == 2 else "emphasis", marks.pop(mark), len(b)))
+            else:
+                marks[mark] = len(b)
     b.add(text[at:], base + at)
 
 
@@ -274,6 +347,8 @@ def md_blocks(text: str, ext: str, cfg: Config) -> list[Block]:
         if open_block is not None and not quiet and (b := open_block.trimmed()):
             b.split = open_block.split
             out.append(b)
+            if cfg.inline:
+                out.extend(inline_blocks(open_block, ext))
         open_block = None
 
     def piece(kind: str, body: str, at: int, split: bool = False) -> None:
@@ -377,15 +452,20 @@ def code_blocks(text: str, ext: str) -> list[Block]:
 
 
 def data_blocks(text: str, ext: str, paths: dict[str, str] | None = None) -> list[Block]:
-    """String values of JSON or YAML, by name; ``paths`` names the values wanted by dotted path, ``*`` for any part."""
+    """String values of JSON, YAML or TOML, by name; ``paths`` names the values wanted by dotted path, ``*`` for any part."""
     try:
         value = json.loads(text)
     except ValueError:
         import yaml
 
         try:
-            value = yaml.safe_load(text)
-        except yaml.YAMLError:
+            if ext.lower() == ".toml":
+                import tomllib
+
+                value = tomllib.loads(text)
+            else:
+                value = yaml.safe_load(text)
+        except (yaml.YAMLError, ValueError):
             return []
     found: list[tuple[str, str]] = []
 
@@ -452,34 +532,39 @@ def _cut_at(c: Block, a: int, b: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def document_blocks(text: str | None, ext: str | None, cfg: Config, nested: bool = True, ignores: tuple[list[str], list[str]] = ([], [])) -> list[Block]:
-    """All blocks of a document in the order they are linted: text blocks with their parts, ``raw``, then ``summary``."""
+def document_blocks(text: str | None, ext: str | None, cfg: Config, nested: bool = True, ignores: tuple[list[str], list[str]] = ([], []), shown: bool = False) -> list[Block]:
+    """All blocks of a document in the order they are linted: text blocks with their parts, ``raw``, then ``summary``.
+
+    With ``shown``, only the text that the readers see, as one block.
+    """
     if not text:
         return []
     ext = cfg.formats.get((ext or "").lower(), (ext or ".txt").lower())
-    shown = text
+    seen = text
     for pattern in [*ignores[0], *ignores[1]]:
-        shown = re.sub(pattern, lambda m: re.sub(r"[^\n]", "*", m.group()), shown)  # ignored text keeps its length
+        seen = re.sub(pattern, lambda m: re.sub(r"[^\n]", "*", m.group()), seen)  # ignored text keeps its length
+    if shown:
+        return plain_blocks(seen, ext)
     kind = None if cfg.ignore_syntax else FORMATS.get(ext)
     if kind in DIALECTS:
-        top = md_blocks(DIALECTS[kind](shown), ext, cfg)
+        top = md_blocks(DIALECTS[kind](seen), ext, cfg)
     elif kind in ("org", "rst", "adoc", "qdoc"):
-        top = light_blocks(shown, ext, cfg, kind)
+        top = light_blocks(seen, ext, cfg, kind)
     elif kind == "html":
-        top = html_blocks(shown, ext, cfg)
+        top = html_blocks(seen, ext, cfg)
     elif kind == "data":
-        top = data_blocks(shown, ext, cfg.view)
+        top = data_blocks(seen, ext, cfg.view)
     elif ext.lower() in CODE and not cfg.ignore_syntax:
-        top = code_blocks(shown, ext)
+        top = code_blocks(seen, ext)
         if fragment := FORMATS.get(cfg.fragments.get(ext, "")):
             top = fragments(top, cfg, fragment, cfg.fragments[ext])
     else:
-        top = plain_blocks(shown, ext, kind == "txt")
+        top = plain_blocks(seen, ext, kind == "txt")
         nested = nested and kind == "txt"
     out = [x for b in top for x in (sub_blocks(b) if nested else [b])]
     out.append(Block(f"raw{ext}", text, [(0, 0, len(text))]))
     if kind not in (None, "txt", "data"):
-        prose = [b for b in top if not any(k in b.scope for k in (".heading", ".table", ".attr", ".frontmatter"))]
+        prose = [b for b in top if b.scope.startswith("text") and not any(k in b.scope for k in (".heading", ".table", ".attr", ".frontmatter"))]
         s = Block(f"summary{ext}")
         for i, b in enumerate(prose):
             s.join(b, "\n\n" if i else "")
@@ -500,9 +585,10 @@ def extract_blocks(docs: DataFrame, cfg: Config | None = None, nested: bool = Fa
             for k, t, e in zip(pdf["k"], pdf["t"], pdf["e"]):
                 if t:
                     src = Source(t)
-                    for i, b in enumerate(document_blocks(t, e, cfg, nested)):
+                    for i, b in enumerate(document_blocks(src.text, e, cfg, nested)):
                         at = b.source(0)
-                        rows.append((k, i, b.scope, b.scope.split("."), b.text, src.place(at)[0] if at >= 0 else 1, at, [{"at": a, "src": s, "n": n} for a, s, n in b.runs]))
+                        runs = [{"at": a, "src": s, "n": n} for a, s, n in src.runs(b.runs)]
+                        rows.append((k, i, b.scope, b.scope.split("."), b.text, src.place(at)[0] if at >= 0 else 1, src.original(at) if at >= 0 else at, runs))
             yield pd.DataFrame(rows, columns=["doc_id", "block_seq", "scope", "sections", "text", "line", "offset", "runs"]).astype({"doc_id": "int64", "block_seq": "int32", "line": "int32", "offset": "int32"})
 
     cols = docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t", f"{ext} AS e").where("k IS NOT NULL")
@@ -517,3 +603,16 @@ def tag_counts(text: str | None) -> dict[str, int]:
             t = m.group(3).lower()
             out[t] = out.get(t, 0) + 1
     return out
+
+
+def block_counts(blocks: list[Block]) -> dict[str, int]:
+    """How many blocks of each kind a document has, as metric formulas name them; those of tables are left out."""
+    out: dict[str, int] = {}
+    for b in blocks:
+        parts = b.scope.split(".")
+        if parts[0] != "text":
+            continue
+        kind = "heading_" + parts[2] if parts[1] == "heading" else parts[1] if len(parts) > 2 else "paragraphs"
+        if not kind.startswith(("table", "class", "attr", "frontmatter")):
+            out[kind] = out.get(kind, 0) + 1
+    return out
