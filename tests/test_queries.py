@@ -124,7 +124,7 @@ def test_line_starts_of_any_file(spark):
     df = spark.createDataFrame([(1, "é\n\nab"), (2, ""), (3, None), (4, "x\n")], "k long, t string")
     assert sorted(map(tuple, N.line_starts(df, "k", "t").collect())) == [(1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 1, 0), (4, 1, 0), (4, 2, 2)]
     n = spark.read.parquet(f"{AT}/files.parquet").where("file_content IS NOT NULL").select("file_id").distinct().count()
-    assert QUERIES["file_line_starts"](spark, AT).select("file_id").distinct().count() == n
+    assert QUERIES["line_starts"](spark, AT).select("file_id").distinct().count() == n
 
 
 def test_nearest_finds_all_within_two_edits(spark):
