@@ -114,10 +114,10 @@ PROSE = "The cat is on the mat and it is not sure that the dog is in the house.
 def test_kinds(spark):
     texts = [PROSE] * 40 + [
         None, " \n ", "- a cat\n- the dog\n- on it\n- a mat", "1. The cat is here.\n2. The dog is not.\n3. It is a day.", "key_a = 1\nkey_b: true\nkey_c = warning", "a cat\nthe dog\nthe mat\nan old tree\nthe rain", "| a | b | c |\n|---|---|---|\n| d | e | f |",
-        "x,1,yes\ny,2,no\nz,3,yes", "a\tb\tc\nd\te\tf", "the cat    12   yes\nthe dog    3    no\na mat      44   no", "Zxq7Kp/Q1+wL9vBn3TtYzz0aPqRw8kLmXc5\nHh2JkQz/Xv9+bNw7LpTtR4sYyUq1Mn0Zz8", "good day good day good day good day good day good day good day good day", "+<=} +?{\\ ~ |~<%}% #*<^ ]!?/= @{+?|",
+        "x,1,yes\ny,2,no\nz,3,yes", "a\tb\tc\nd\te\tf", "the cat    12   yes\nthe dog    3    no\na mat      44   no", "Zxq7Kp/Q1+wL9vBn3TtYzz0aPqRw8kLmXc5\nHh2JkQz/Xv9+bNw7LpTtR4sYyUq1Mn0Zz8", "good day good day good day good day good day good day good day good day", "+<=} +?{\\ ~ |~<%}% #*<^ ]!?/= @{+?|", "(a) the cat;\n(b) the dog;\n(c) an old mat;",
     ]
     got = _stats(spark, texts)
-    want = ["blank", "blank", "list", "list", "list", "list", "table", "table", "table", "table", "junk", "junk", "junk"]
+    want = ["blank", "blank", "list", "list", "list", "list", "table", "table", "table", "table", "junk", "junk", "junk", "list"]
     assert [got[40 + i].doc_kind for i in range(len(want))] == want and got[0].doc_kind == "prose"
     assert got[40].mean_word_length is None and got[0].common_share > 0.3 and got[0].ended_share == 1
 
