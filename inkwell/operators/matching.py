@@ -10,8 +10,11 @@ from __future__ import annotations
 import ast
 import math
 import re
+import signal
+import threading
 from bisect import bisect_right
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from inkwell.functions.spell import Dictionary, checked
@@ -501,6 +504,29 @@ def sequence(rule: Rule, cfg: Config) -> Runner:
 SCRIPTS: dict[str, Callable[[str], list[dict]]] = {}
 
 
+#: Seconds that a script may take over one block.
+SCRIPT_LIMIT = 2.0
+
+
+@contextmanager
+def _limited(seconds: float, name: str):
+    """Ends what runs inside after so many seconds, where signals can be had: in the main thread, as Python workers are."""
+    if threading.current_thread() is not threading.main_thread() or not hasattr(signal, "setitimer"):
+        yield
+        return
+
+    def stop(*_):
+        raise RuleError(f"{name}: the script took more than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def script(rule: Rule, cfg: Config) -> Runner:
     f = rule.params["script"]
     f = SCRIPTS.get(f) if isinstance(f, str) else f
@@ -508,7 +534,9 @@ def script(rule: Rule, cfg: Config) -> Runner:
         raise RuleError(f"{rule.name}: no script is registered as {rule.params['script']!r}")
 
     def run(text: str, state: State) -> list[Hit]:
-        return [Hit(m["begin"], m["end"], text[m["begin"] : m["end"]], (text[m["begin"] : m["end"]],), (m["message"],) if m.get("message") else None) for m in f(text)]
+        with _limited(SCRIPT_LIMIT, rule.name):
+            found = list(f(text))
+        return [Hit(m["begin"], m["end"], text[m["begin"] : m["end"]], (text[m["begin"] : m["end"]],), (m["message"],) if m.get("message") else None) for m in found]
 
     return run
 

@@ -260,8 +260,8 @@ def html_blocks(text: str, ext: str, cfg: Config, base: int = 0, blocks: list[Bl
             continue
         if tag in INLINE:
             if tag == "img" and attrs.get("alt"):
-                where = text.find(attrs["alt"], m.start())
-                out.append(Block(f"text.attr.alt{ext}", attrs["alt"], [(0, base + where, len(attrs["alt"]))]))
+                where = base + m.start(4) + m.group(4).find(attrs["alt"])
+                out.append(Block(f"text.attr.alt{ext}", attrs["alt"], [(0, where, len(attrs["alt"]))]))
             elif tag == "br":
                 now.add(" ", base + m.start(), len(m.group()))
             elif shut and tag in inline:

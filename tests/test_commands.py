@@ -77,3 +77,22 @@ def test_report_by_partition(spark):
     at = lines.index("a")
     assert lines[at : at + 4] == ["a", "2:1 n", "3:1 n", "-"] and sorted(lines) == sorted(["a", "2:1 n", "3:1 n", "-", "b", "1:2 m", "-"])
     assert R.rendered(a.limit(0), "{path}|x|y", "path").collect() == []
+
+
+def test_scripts_end_in_time(monkeypatch):
+    import pytest
+
+    from inkwell.operators import matching as M
+    from inkwell.plans.rules import RuleError
+
+    monkeypatch.setattr(M, "SCRIPT_LIMIT", 0.2)
+
+    def endless(text):
+        while True:
+            pass
+
+    with pytest.raises(RuleError):
+        M.script(parse_rule("S.R", {"extends": "script", "message": "x", "script": endless}), Config())("x", M.State())
+    page = '<img class="the dog" alt="the dog">'
+    b = document_blocks(page, ".html", Config(), False)[0]
+    assert b.text == "the dog" and page[b.source(0) :].startswith("the dog")
