@@ -48,6 +48,8 @@ def _lint(args) -> int:
         lines = R.line_report(alerts, F.col("path"), F.col("line"), F.col("col_begin"), F.col("check_name"), F.col("message"))
         for r in lines.orderBy("report_line").toLocalIterator():
             print(r["report_line"])
+        if args.output == "cli":
+            print(R.summary(alerts, docs.count()))
     status = 0 if args.no_exit else R.exit_status(alerts)
     spark.stop()
     return status
@@ -63,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument(flag)
         s.add_argument("--ext", default=".txt")
         s.add_argument("--glob", default="*")
-        s.add_argument("--output", default="line", choices=["line", "json"])
+        s.add_argument("--output", default="line", choices=["line", "json", "cli"])
         s.add_argument("--no-exit", action="store_true")
         s.add_argument("--ignore-syntax", action="store_true")
     for name, n in (("ls-metrics", 1), ("compile", 1), ("run", 2), ("fix", 1), ("tag", 1)):

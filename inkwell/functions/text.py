@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -165,6 +166,10 @@ def _edited(match: str, params: list[str]) -> str:
     return match
 
 
+#: Callables for ``suggest``, by name: a match to suggestions. They are looked up where an alert is fixed, so a cluster's workers import them.
+ACTIONS: dict[str, Callable[[str], list[str]]] = {}
+
+
 def solution(match: str | None, name: str | None, params: list[str] | None) -> tuple[list[str], str | None]:
     """All suggestions of an action for a match, and what went wrong; ``suggest spellings`` isn't for this function."""
     match, params = match or "", [p or "" for p in (params if params is not None else [])]
@@ -177,7 +182,12 @@ def solution(match: str | None, name: str | None, params: list[str] | None) -> t
     if not params:
         return [], "no parameters"
     if name == "suggest":
-        return [], f"script '{params[0]}' not found"
+        if (own := ACTIONS.get(params[0])) is None:
+            return [], f"script '{params[0]}' not found"
+        try:
+            return [str(x) for x in own(match)], None
+        except Exception as e:  # a script's own failure is its answer
+            return [], str(e)
     if name == "convert":
         return [match.lower() if params[0] == "simple" else match], None
     try:

@@ -56,6 +56,14 @@ def totals(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def summary(alerts: DataFrame, files: int) -> str:
+    """One line of totals, as under a table of alerts; three counts are all that reaches the driver."""
+    n = {r["severity"]: r["n"] for r in totals(alerts).where(F.col("severity").isin(*LEVELS)).collect()}
+    each = [f"{n.get(k, 0)} {k}{'' if n.get(k, 0) == 1 else 's'}" for k in ("error", "warning", "suggestion")]
+    mark = "\u2716" if n.get("error") else "\u2714"
+    return f"{mark} {each[0]}, {each[1]} and {each[2]} in {files} file{'' if files == 1 else 's'}."
+
+
 def by_file(alerts: DataFrame, path: str) -> DataFrame:
     """A row for each file with its alerts as an array of structs in place order.
 

@@ -28,8 +28,12 @@ FORMATS = {
     ".md": "md", ".markdown": "md", ".mdown": "md", ".qmd": "qmd", ".rmd": "qmd", ".mdx": "mdx", ".myst": "myst", ".rst": "rst", ".rest": "rst", ".adoc": "adoc", ".asciidoc": "adoc", ".asc": "adoc", ".qdoc": "qdoc", ".html": "html", ".htm": "html", ".xhtml": "html", ".txt": "txt", ".org": "org", ".json": "data", ".yml": "data", ".yaml": "data", ".toml": "data",
 }
 COMMENTS = {
-    "c": (".c .h .cpp .cc .cxx .hpp .java .cs .swift .scala .kt .go .rs .js .jsx .ts .tsx .php .css .scss .sass .less .proto .qml", r"//[^\n]*|/\*.*?\*/", r'"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`'),
-    "hash": (".py .rb .r .pl .pm .sh .jl .ps1", r'#[^\n]*|"""(?:.*?)"""|\'\'\'(?:.*?)\'\'\'|=begin.*?=end', r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''),
+    "c": (".c .h .cpp .cc .cxx .hpp .java .cs .swift .scala .kt .go .rs .js .jsx .ts .tsx .css .scss .sass .less .proto .qml", r"//[^\n]*|/\*.*?\*/", r'"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`'),
+    "py": (".py .pyi .pyw", r'#[^\n]*|[rRuU]?"""(?:.*?)"""|[rRuU]?\'\'\'(?:.*?)\'\'\'', r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''),
+    "php": (".php", r"//[^\n]*|#(?!\[)[^\n]*|/\*.*?\*/", r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\''),
+    "jl": (".jl", r"#=.*?=#|#[^\n]*", r'"""(?:.*?)"""|"(?:\\.|[^"\\])*"'),
+    "ps": (".ps1 .psm1", r"<#.*?#>|#[^\n]*", r'"(?:`.|[^"`])*"|\'[^\']*\''),
+    "hash": (".rb .r .pl .pm .sh .bash", r"#[^\n]*|=begin.*?=end", r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''),
     "dash": (".hs .elm .lua .sql", r"--\[\[.*?\]\]|\{-.*?-\}|--[^\n]*", r'"(?:\\.|[^"\\\n])*"'),
     "semi": (".clj .lisp .el", r";[^\n]*", r'"(?:\\.|[^"\\])*"'),
 }
@@ -423,6 +427,22 @@ def md_blocks(text: str, ext: str, cfg: Config) -> list[Block]:
     return out
 
 
+def _docstring(text: str, at: int) -> bool:
+    """Whether a string of Python that begins at an offset documents a module, class or function: it is the first statement."""
+    k = at
+    while k and text[k - 1] in " \t":
+        k -= 1
+    if k and text[k - 1] != "\n":
+        return False
+    while k:
+        begin = text.rfind("\n", 0, k - 1) + 1
+        line = text[begin : k - 1].split("#")[0].rstrip() if "#" in text[begin : k - 1] else text[begin : k - 1].rstrip()
+        if line:
+            return line.endswith(":")
+        k = begin
+    return True
+
+
 def code_blocks(text: str, ext: str) -> list[Block]:
     """Comments of source code; lines of comments that follow each other at one indent are one block, string contents are no comments."""
     kind = CODE[ext.lower()]
@@ -430,17 +450,19 @@ def code_blocks(text: str, ext: str) -> list[Block]:
     out: list[Block] = []
     last: tuple[int, int] | None = None  # line and indent of the comment before
     src = Source(text)
-    for m in re.finditer(rf"(?P<s>(?!\"\"\"|'''){strings})|(?P<c>{com})" if kind == "hash" else rf"(?P<c>{com})|(?P<s>{strings})", text, re.S):
-        if m.group("c") is None or text[m.start() : m.end()].startswith("#!"):
+    for m in re.finditer(rf"(?P<c>{com})|(?P<s>{strings})", text, re.S):
+        if m.group("c") is None or m.start() == 0 and m.group().startswith("#!"):
             continue
         raw = m.group("c")
+        if kind == "py" and raw[0] != "#" and not _docstring(text, m.start()):
+            continue
         line, col = src.place(m.start())
-        block = "\n" in raw or raw.startswith(("/*", "{-", "--[[", '"""', "'''", "=begin"))
+        block = "\n" in raw or raw[:1] in "rRuU\"'" or raw.startswith(("/*", "{-", "--[[", "=begin", "#=", "<#"))
         b = Block(f"text.comment.{'block' if block else 'line'}{ext}")
         at = m.start()
         for k, part in enumerate(raw.split("\n")):
-            lead = re.match(r"\s*(?:/\*+!?|\{-|--\[\[|\"\"\"|'''|=begin|///?!?|#+!?|-{2,}|;+|\*(?!/))?[ \t]?" if k == 0 or block else r"\s*", part).end()
-            body = re.sub(r"\s*(?:\*+/|-\}|\]\]|\"\"\"|'''|=end)\s*$", "", part[lead:])
+            lead = re.match(r"\s*(?:/\*+!?|\{-|--\[\[|[rRuU]?(?:\"\"\"|''')|=begin|#=|<#|///?!?|#+!?|-{2,}|;+|\*(?!/))?[ \t]?" if k == 0 or block else r"\s*", part).end()
+            body = re.sub(r"\s*(?:\*+/|-\}|\]\]|\"\"\"|'''|=end|=#|#>)\s*$", "", part[lead:])
             b.add(body + ("\n" if k < raw.count("\n") else ""), at + lead)
             at += len(part) + 1
         if not block and last == (line - 1, col) and out and out[-1].scope == b.scope:

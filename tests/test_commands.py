@@ -96,3 +96,21 @@ def test_scripts_end_in_time(monkeypatch):
     page = '<img class="the dog" alt="the dog">'
     b = document_blocks(page, ".html", Config(), False)[0]
     assert b.text == "the dog" and page[b.source(0) :].startswith("the dog")
+
+
+def test_comments_by_language(spark):
+    from inkwell.sources.blocks import code_blocks
+
+    of = lambda t, e: [b.text for b in code_blocks(t, e)]
+    py = '#!/bin/x\n"""Module."""\nx = """no"""\ndef f():  # why\n\n    """Doc.\n\n    More."""\n    y = f("# no")\n    """not one"""\n'
+    assert of(py, ".py") == ["Module.", "why", "Doc.\n\nMore."]
+    assert of("# one\n// two\n/* three */ $x = '# no';", ".php") == ["one\ntwo", "three"] and of('#= a\n b =# x = "# no" # c', ".jl") == ["a\nb", "c"] and of("<# a #> $x # b", ".ps1") == ["a", "b"]
+
+
+def test_suggesting_scripts_and_summary(spark, monkeypatch):
+    from inkwell.functions import text as X
+
+    monkeypatch.setitem(X.ACTIONS, "own", lambda m: [m.upper(), m * 2])
+    assert X.solution("a", "suggest", ["own"]) == (["A", "aa"], None) and X.solution("a", "suggest", ["none"])[1]
+    a = spark.createDataFrame([("error",), ("warning",), ("warning",), (None,)], "severity string")
+    assert R.summary(a, 1) == "\u2716 1 error, 2 warnings and 0 suggestions in 1 file." and R.summary(a.limit(0), 2).startswith("\u2714 0 errors")

@@ -39,7 +39,7 @@ def test_markdown_blocks():
 
 
 def test_comments_and_data():
-    t = '#!/bin/x\nx = "# no"  # one\n# two\n# three\n"""Doc."""\n'
+    t = '#!/bin/x\nx = "# no"  # one\n# two\n# three\ndef f():\n    """Doc."""\n'
     assert of(code_blocks(t, ".py")) == [("text.comment.line.py", "one"), ("text.comment.line.py", "two\nthree"), ("text.comment.block.py", "Doc.")]
     assert of(code_blocks("/* a\n * b */ int x; // c", ".c")) == [("text.comment.block.c", "a\nb"), ("text.comment.line.c", "c")]
     j = '{"a": {"b": "one"}, "c": ["one", "two"], "n": 1}'
